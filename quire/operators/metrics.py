@@ -26,12 +26,13 @@ def per_label(conf: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     gold_side = conf.groupBy(*g, F.col("gold").alias("label")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
     pred_side = conf.groupBy(*g, F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
-    cond = [gold_side[c].eqNullSafe(pred_side[c]) for c in g + ["label"]]
-    j = gold_side.join(pred_side, cond, "full_outer").select(
-        *[F.coalesce(gold_side[c], pred_side[c]).alias(c) for c in g + ["label"]],
-        F.coalesce(gold_side["support"], F.lit(0)).alias("support"),
-        F.coalesce(pred_side["n_pred"], F.lit(0)).alias("n_pred"),
-        F.coalesce(gold_side["tp"], F.lit(0)).alias("tp"))
+    a, b = gold_side.alias("a"), pred_side.alias("b")
+    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in g + ["label"]]
+    j = a.join(b, cond, "full_outer").select(
+        *[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in g + ["label"]],
+        F.coalesce(F.col("a.support"), F.lit(0)).alias("support"),
+        F.coalesce(F.col("b.n_pred"), F.lit(0)).alias("n_pred"),
+        F.coalesce(F.col("a.tp"), F.lit(0)).alias("tp"))
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(F.col("support") + F.col("n_pred") > 0,

@@ -46,10 +46,19 @@ def attach_gold(docs: DataFrame, gold: DataFrame, doc_col: str = "doc_id", gold_
     return docs.join(g, doc_col, "inner")
 
 
+# Fixed value: what an integer literal may look like (surrounding whitespace,
+# optional sign, digits with single underscores between them).
+INT_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+
+
 def parse_generated(df: DataFrame, text_col: str = "generated", out: str = "prediction") -> DataFrame:
-    """Generated label text to int; rows whose text is not an integer are dropped."""
-    parsed = F.expr(f"try_cast(trim(`{text_col}`) AS INT)")
-    return df.withColumn(out, parsed).filter(F.col(out).isNotNull())
+    """Generated label text to an integer; rows whose text is not an integer
+    literal (words, decimals such as ``1.0`` or ``3.``) are dropped."""
+    txt = F.col(text_col)
+    clean = F.regexp_replace(F.regexp_replace(txt, r"^\s+|\s+$", ""), "_", "")
+    parsed = F.when(txt.rlike(INT_TEXT), F.expr("try_cast(__clean AS BIGINT)"))
+    return (df.withColumn("__clean", clean).withColumn(out, parsed).drop("__clean")
+            .filter(F.col(out).isNotNull()))
 
 
 def doc_max_vote(df: DataFrame, doc_col: str = "doc_id", pred_col: str = "prediction") -> DataFrame:

@@ -288,17 +288,17 @@ def q_attach_gold(spark, d):
 
 
 def _generated(spark, d) -> DataFrame:
-    """Stand-in for generated label text: the prompt ``task:chunk`` of each
-    test chunk 'answers' with the chunk's last word (the generator itself is
-    not part of this library)."""
+    """Stand-in for generated label text (the generator is not part of this
+    library): each word of a test chunk counts as one sampled answer to the
+    prompt ``task:chunk``."""
     p = _plan(spark, d, PIPE_CFG)
     test = p.chunks.filter(F.col("split") == "test")
     return test.select("doc_id", "region", "sub", prediction_prompt("chunk").alias("prompt"),
-                       F.element_at(word_tokens("chunk"), -1).alias("generated"))
+                       F.posexplode(word_tokens("chunk")).alias("sample", "generated"))
 
 
 def q_parse_generated(spark, d):
-    return parse_generated(_generated(spark, d)).select("doc_id", "region", "sub", "prediction")
+    return parse_generated(_generated(spark, d)).select("doc_id", "region", "sub", "sample", "prediction")
 
 
 def q_doc_max_vote(spark, d):

@@ -382,13 +382,16 @@ def _doc_chunks(q: Sql) -> str:
 
 def _generated(p: PlanSql) -> str:
     return p.q.add(f"""SELECT doc_id, region, sub, '{TASK_NAME}:' || chunk AS prompt,
-  string_split(chunk, ' ')[-1] AS generated FROM {p.chunks} WHERE split = 'test'""")
+  CAST(generate_subscripts(string_split(chunk, ' '), 1) - 1 AS INTEGER) AS sample,
+  unnest(string_split(chunk, ' ')) AS generated FROM {p.chunks} WHERE split = 'test'""")
 
 
 def _parsed(p: PlanSql) -> str:
     g = _generated(p)
-    return p.q.add(f"""SELECT * FROM (SELECT doc_id, region, sub, TRY_CAST(trim(generated, ' ') AS INTEGER) AS prediction FROM {g})
-WHERE prediction IS NOT NULL""")
+    return p.q.add(rf"""SELECT * FROM (SELECT doc_id, region, sub, sample,
+  CASE WHEN regexp_full_match(generated, '\s*[+-]?[0-9]+(_[0-9]+)*\s*')
+       THEN TRY_CAST(replace(regexp_replace(generated, '^\s+|\s+$', '', 'g'), '_', '') AS BIGINT) END AS prediction
+FROM {{g}}) WHERE prediction IS NOT NULL""".replace("{g}", g))
 
 
 def _votes(p: PlanSql) -> str:
@@ -497,7 +500,7 @@ WHERE n_with_key < n_models""")
     p = _pipe()
     o["attach_gold"] = p.q.render(f"SELECT doc_id, {', '.join(rnd(x, x) for x in cols('p', kl))}, prediction_idx, prediction, gold FROM {p.with_gold(p.finetune_fit()[0])}")
     p = _pipe()
-    o["parse_generated"] = p.q.render(f"SELECT doc_id, region, sub, prediction FROM {_parsed(p)}")
+    o["parse_generated"] = p.q.render(f"SELECT doc_id, region, sub, sample, prediction FROM {_parsed(p)}")
     p = _pipe()
     o["doc_max_vote"] = p.q.render(f"SELECT * FROM {_votes(p)}")
     pb = _pipe(BINARY_CFG, K_BINARY, "SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
