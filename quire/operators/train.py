@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,8 @@ def chunk_logits(samples: DataFrame, features: DataFrame, params: DataFrame, k:
             .groupBy(*CHUNK_KEY, MODEL)
             .agg(*[F.sum(F.col("tf") * F.col(w)).alias(s) for w, s in zip(names("w", k), names("s", k))]))
     head = F.broadcast(_head(params, k))
-    scored = (samples.select(*CHUNK_KEY, MODEL, *keep).join(dots.drop(MODEL), CHUNK_KEY, "left")
+    # both sides are partitioned by chunk key: a hash join needs no exchange and no sort
+    scored = (samples.select(*CHUNK_KEY, MODEL, *keep).join(dots.drop(MODEL).hint("shuffle_hash"), CHUNK_KEY, "left")
               .join(head, MODEL, "left"))
     logits = [(F.coalesce(F.col(s), F.lit(0.0)) + F.coalesce(F.col(b), F.lit(0.0))).alias(l)
               for s, b, l in zip(names("s", k), names("b", k), names("l", k))]
@@ -77,32 +79,66 @@ def _onehot(label_idx: Column, c: int) -> Column:
     return F.when(label_idx == c, 1.0).otherwise(0.0)
 
 
+def partition_body(params: DataFrame, k: int) -> DataFrame:
+    """Body rows hash-partitioned on ``(model_id, term)`` with the session's
+    shuffle partition count: the gradient aggregation produces the same
+    partitioning, so the per-epoch update join moves only the gradient."""
+    n = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _body(params, k).repartition(n, MODEL, "term")
+
+
+def _as_params(body: DataFrame, head: DataFrame, k: int) -> DataFrame:
+    b = body.select(MODEL, F.lit("body").alias("part"), F.col("term").alias("param"), *names("w", k))
+    h = head.select(MODEL, F.lit("head").alias("part"), F.lit("bias").alias("param"),
+                    *[F.col(b_).alias(w) for b_, w in zip(names("b", k), names("w", k))])
+    return b.unionByName(h)
+
+
 def gradient_step(params: DataFrame, samples: DataFrame, features: DataFrame, k: int, lr: float,
                   body_rows: int | None = None) -> DataFrame:
     """One full-batch gradient step of mean cross-entropy for every model at once.
 
     ``samples``: ``CHUNK_KEY, model_id, label_idx`` (non-null labels);
-    ``features``: ``CHUNK_KEY, model_id, term, tf``.
+    ``features``: ``CHUNK_KEY, model_id, term, tf``.  The per-chunk residual
+    is computed once and kept (memory, then disk) for the body gradient, the
+    head gradient and the per-model sample count.
     """
     probs = with_probs(chunk_logits(samples, features, params, k, body_rows, keep=["label_idx"]), k)
     resid = probs.select(*CHUNK_KEY, MODEL,
                          *[(F.col(p) - _onehot(F.col("label_idx"), c)).alias(e)
                            for c, (p, e) in enumerate(zip(names("p", k), names("e", k)))])
+    resid = resid.persist(StorageLevel.MEMORY_AND_DISK)
     head_g = resid.groupBy(MODEL).agg(F.count(F.lit(1)).alias("n"),
                                       *[F.sum(e).alias(g) for e, g in zip(names("e", k), names("gh", k))])
-    body_g = (features.select(*CHUNK_KEY, "term", "tf").join(resid, CHUNK_KEY)
+    body_g = (features.select(*CHUNK_KEY, "term", "tf").join(resid.hint("shuffle_hash"), CHUNK_KEY)
               .groupBy(MODEL, "term")
               .agg(*[F.sum(F.col("tf") * F.col(e)).alias(g) for e, g in zip(names("e", k), names("gb", k))]))
     n = F.broadcast(head_g)  # one row per model
-    body = (_body(params, k).join(body_g, [MODEL, "term"], "left").join(n, MODEL, "left")
-            .select(MODEL, F.lit("body").alias("part"), F.col("term").alias("param"),
+    body = (_body(params, k).join(body_g.hint("shuffle_hash"), [MODEL, "term"], "left").join(n, MODEL, "left")
+            .select(MODEL, "term",
                     *[(F.col(w) - F.lit(lr) * F.coalesce(F.col(g) / F.col("n"), F.lit(0.0))).alias(w)
                       for w, g in zip(names("w", k), names("gb", k))]))
     head = (_head(params, k).join(n, MODEL, "left")
-            .select(MODEL, F.lit("head").alias("part"), F.lit("bias").alias("param"),
-                    *[(F.col(b) - F.lit(lr) * F.coalesce(F.col(g) / F.col("n"), F.lit(0.0))).alias(w)
-                      for b, g, w in zip(names("b", k), names("gh", k), names("w", k))]))
-    return body.unionByName(head)
+            .select(MODEL, *[(F.col(b) - F.lit(lr) * F.coalesce(F.col(g) / F.col("n"), F.lit(0.0))).alias(b)
+                             for b, g in zip(names("b", k), names("gh", k))]))
+    out = _as_params(body, head, k)
+    out._quire_resid = resid  # released by the caller once the step is materialised
+    return out
+
+
+def _release(df: DataFrame) -> None:
+    resid = getattr(df, "_quire_resid", None)
+    if resid is not None:
+        resid.unpersist()
+
+
+def materialise_step(step: DataFrame, k: int) -> DataFrame:
+    """Write one epoch's parameters to the checkpoint folder: the body
+    partitioned on ``(model_id, term)``, the head (one row per model) as is."""
+    body = cut_lineage(_body(step, k), keep_partitioning=True)
+    head = cut_lineage(_head(step, k))
+    _release(step)
+    return _as_params(body, head, k)
 
 
 def mean_loss(params: DataFrame, samples: DataFrame, features: DataFrame, k: int,
@@ -132,11 +168,13 @@ def fit(params: DataFrame, samples: DataFrame, features: DataFrame, k: int, lr:
     samples = samples.filter(F.col("label_idx").isNotNull())
     features = features.filter(F.col("label_idx").isNotNull())
     spark = params.sparkSession
+    params = _as_params(cut_lineage(partition_body(params, k), keep_partitioning=True),
+                        cut_lineage(_head(params, k)), k)
     per_epoch: list[DataFrame] = []
     hist: list[tuple[int, int, float | None]] = []
     current = params
     for epoch in range(1, epochs + 1):
-        current = cut_lineage(gradient_step(current, samples, features, k, lr, body_rows))
+        current = materialise_step(gradient_step(current, samples, features, k, lr, body_rows), k)
         per_epoch.append(current)
         if dev_samples is not None:
             ds = dev_samples.filter(F.col("label_idx").isNotNull())

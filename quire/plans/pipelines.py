@@ -78,7 +78,8 @@ class FusedPlan:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return term_counts(self.chunks, carry=["split", "label_idx"])
+        # terms are extracted once; vocabulary and features both read this copy
+        return cut_lineage(term_counts(self.chunks, carry=["split", "label_idx"]), keep_partitioning=True)
 
     @cached_property
     def vocab(self) -> DataFrame:

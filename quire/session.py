@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,13 +71,16 @@ def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    if not keep_partitioning:
-        return df.checkpoint(eager=True)
     prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    if keep_partitioning:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    # The checkpoint writer recomputes its input after the eager count; keeping
+    # the rows for the duration of the write makes that a read, not a rerun.
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return df.checkpoint(eager=True)
+        return kept.checkpoint(eager=True)
     finally:
+        kept.unpersist()
         spark.conf.set("spark.sql.adaptive.enabled", prev)
 
 
