@@ -45,11 +45,16 @@ def _assign(df: DataFrame, new: Column, split_col: str, where: Column | None) ->
 
 def cut_key(df: DataFrame, frac: float, seed: int = DEFAULT_SEED, doc_col: str = "doc_id",
             where: Column | None = None, prefix: int = 4) -> str | None:
-    """The largest key of the second part (``None`` when it is empty)."""
+    """The largest key of the second part (``None`` when it is empty).
+
+    Two small jobs: a histogram of key prefixes (at most ``16**prefix`` rows,
+    cumulated in one task) locates the prefix bucket holding the cut; inside
+    that bucket keys are counted (copies of a key collapse map-side) and
+    cumulated to find the cut key.  Keys are expected to be unique per row.
+    """
     rows = df if where is None else df.filter(where)
     keyed = rows.select(split_key(doc_col, seed).alias("k"))
     buckets = keyed.groupBy(F.substring("k", 1, prefix).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    # one row per key prefix: at most 16**prefix rows, a single small task
     w_all = Window.partitionBy()
     w_cum = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     cum = buckets.select("b", "c", F.sum("c").over(w_cum).alias("cum"), F.sum("c").over(w_all).alias("n"))
@@ -58,8 +63,10 @@ def cut_key(df: DataFrame, frac: float, seed: int = DEFAULT_SEED, doc_col: str =
     if hit is None:
         return None
     inside = int(hit["m"] - (hit["cum"] - hit["c"]))
-    row = (keyed.filter(F.substring("k", 1, prefix) == hit["b"]).orderBy("k").limit(inside)
-           .agg(F.max("k").alias("k")).first())
+    per_key = keyed.filter(F.substring("k", 1, prefix) == hit["b"]).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    w_key = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    row = (per_key.select("k", F.sum("c").over(w_key).alias("cum")).filter(F.col("cum") >= inside)
+           .agg(F.min("k").alias("k")).first())
     return row["k"]
 
 

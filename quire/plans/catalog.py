@@ -151,7 +151,7 @@ def q_label_map(spark, d):
 
 def q_encode_labels(spark, d):
     p = _plan(spark, d, PIPE_CFG)
-    return p.chunks.filter(F.col("region") == 0).filter(F.col("sub") == 0).select("doc_id", "split", "label", "label_idx")
+    return p.chunk_index.filter((F.col("region") == 0) & (F.col("sub") == 0)).select("doc_id", "split", "label", "label_idx")
 
 
 def q_decode_labels(spark, d):

@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,18 +69,37 @@ class FusedPlan:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """``doc_id, region, sub, split, label, label_idx, chunk`` partitioned by chunk key.
-        Test rows keep their raw label only (their index is not used)."""
+        """``doc_id, region, sub, split, label, label_idx, chunk`` partitioned by
+        chunk key (computed from the corpus when read; not stored).  Test rows
+        keep their raw label only (their index is not used)."""
         enc = encode_labels(self.split_docs, self.label_map, "label", "label_idx", self.k)
         enc = enc.withColumn("label_idx", F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label_idx")))
         ch = chunk_documents(enc, "text", self.cfg.n_regions, self.cfg.max_tokens, self.cfg.unit,
                              keep=["doc_id", "split", "label", "label_idx"])
-        return cut_lineage(partition_chunks(ch), keep_partitioning=True)
-
-    @cached_property
+        return partition_chunks(ch)
+
+    def _materialise_chunks(self) -> None:
+        """One pass over the chunk text writes two slim tables: the chunk index
+        (keys and labels, no text) and the term counts.  The chunk rows are
+        kept only while both are written, so the text is never stored twice."""
+        if "_index" in self.__dict__:
+            return
+        kept = self.chunks.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._index = cut_lineage(kept.drop("chunk"), keep_partitioning=True)
+            self._counts = cut_lineage(term_counts(kept, carry=["split", "label_idx"]), keep_partitioning=True)
+        finally:
+            kept.unpersist()
+
+    @property
+    def chunk_index(self) -> DataFrame:
+        self._materialise_chunks()
+        return self._index
+
+    @property
     def counts(self) -> DataFrame:
-        # terms are extracted once; vocabulary and features both read this copy
-        return cut_lineage(term_counts(self.chunks, carry=["split", "label_idx"]), keep_partitioning=True)
+        self._materialise_chunks()
+        return self._counts
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -94,7 +114,7 @@ class FusedPlan:
         return cut_lineage(restrict_to_vocabulary(self.counts, self.vocab, self.vocab_rows), keep_partitioning=True)
 
     def samples(self, splits, model: Column) -> DataFrame:
-        return (self.chunks.filter(F.col("split").isin(list(splits)))
+        return (self.chunk_index.filter(F.col("split").isin(list(splits)))
                 .select(*CHUNK_KEY, model.cast("int").alias("model_id"), "label_idx"))
 
     def feats(self, splits, model: Column) -> DataFrame:
