@@ -17,11 +17,23 @@ from quire.functions.text import terms
 CHUNK_KEY = ["doc_id", "region", "sub"]
 
 
+def partitions_for(source: DataFrame, factor: int = 2) -> int:
+    """Partition count for chunk-keyed tables derived from ``source`` (a file
+    scan): ``factor`` per input split (splits follow
+    ``spark.sql.files.maxPartitionBytes``), at least the default parallelism,
+    at most ``spark.sql.shuffle.partitions``.  Reading the split count plans
+    the scan only; it runs no job."""
+    spark = source.sparkSession
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits = source.rdd.getNumPartitions()
+    return max(1, min(cap, max(spark.sparkContext.defaultParallelism, factor * splits)))
+
+
 def partition_chunks(chunks: DataFrame, key: list[str] | None = None, n: int | None = None) -> DataFrame:
     """Hash-partition chunk rows on the chunk key (a long document's chunks
-    spread out).  The partition count is explicit (default: the session's
-    shuffle partitions) so the hash partitioning survives a checkpoint and
-    later chunk-keyed aggregations and joins reuse it without a shuffle."""
+    spread out).  The partition count is explicit so the hash partitioning
+    survives a checkpoint and later chunk-keyed aggregations and joins reuse it
+    without a shuffle."""
     if n is None:
         n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return chunks.repartition(n, *(key or CHUNK_KEY))

@@ -79,14 +79,6 @@ def _onehot(label_idx: Column, c: int) -> Column:
     return F.when(label_idx == c, 1.0).otherwise(0.0)
 
 
-def partition_body(params: DataFrame, k: int) -> DataFrame:
-    """Body rows hash-partitioned on ``(model_id, term)`` with the session's
-    shuffle partition count: the gradient aggregation produces the same
-    partitioning, so the per-epoch update join moves only the gradient."""
-    n = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _body(params, k).repartition(n, MODEL, "term")
-
-
 def _as_params(body: DataFrame, head: DataFrame, k: int) -> DataFrame:
     b = body.select(MODEL, F.lit("body").alias("part"), F.col("term").alias("param"), *names("w", k))
     h = head.select(MODEL, F.lit("head").alias("part"), F.lit("bias").alias("param"),
@@ -133,9 +125,8 @@ def _release(df: DataFrame) -> None:
 
 
 def materialise_step(step: DataFrame, k: int) -> DataFrame:
-    """Write one epoch's parameters to the checkpoint folder: the body
-    partitioned on ``(model_id, term)``, the head (one row per model) as is."""
-    body = cut_lineage(_body(step, k), keep_partitioning=True)
+    """Write one epoch's parameters (body and head) to the checkpoint folder."""
+    body = cut_lineage(_body(step, k))
     head = cut_lineage(_head(step, k))
     _release(step)
     return _as_params(body, head, k)
@@ -168,8 +159,7 @@ def fit(params: DataFrame, samples: DataFrame, features: DataFrame, k: int, lr:
     samples = samples.filter(F.col("label_idx").isNotNull())
     features = features.filter(F.col("label_idx").isNotNull())
     spark = params.sparkSession
-    params = _as_params(cut_lineage(partition_body(params, k), keep_partitioning=True),
-                        cut_lineage(_head(params, k)), k)
+    params = _as_params(cut_lineage(_body(params, k)), cut_lineage(_head(params, k)), k)
     per_epoch: list[DataFrame] = []
     hist: list[tuple[int, int, float | None]] = []
     current = params

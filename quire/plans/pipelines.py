@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.chunking import chunk_documents
 from quire.operators.encoding import encode_labels, fit_label_map
-from quire.operators.features import (CHUNK_KEY, partition_chunks, restrict_to_vocabulary, term_counts,
+from quire.operators.features import (CHUNK_KEY, partition_chunks, partitions_for, restrict_to_vocabulary, term_counts,
                                       term_vocabulary)
 from quire.operators.metrics import metrics
 from quire.operators.params import FUSED_ID, fuse_models
@@ -53,6 +53,7 @@ class FusedPlan:
     def __init__(self, docs: DataFrame, cfg: FusedConfig = FusedConfig()):
         self.cfg = cfg
         self.docs = docs.select("doc_id", "text", F.col(cfg.label_col).alias("label"))
+        self.n_parts = partitions_for(docs)
 
     # -- corpus -----------------------------------------------------------
     @cached_property
@@ -76,7 +77,7 @@ class FusedPlan:
         enc = enc.withColumn("label_idx", F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label_idx")))
         ch = chunk_documents(enc, "text", self.cfg.n_regions, self.cfg.max_tokens, self.cfg.unit,
                              keep=["doc_id", "split", "label", "label_idx"])
-        return partition_chunks(ch)
+        return partition_chunks(ch, n=self.n_parts)
 
     def _materialise_chunks(self) -> None:
         """One pass over the chunk text writes two slim tables: the chunk index

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -61,21 +62,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder (survives executor loss).
+    """Materialise ``df`` in the shared checkpoint folder and continue from the
+    stored copy (survives executor loss; lineage stops here).
 
-    With ``keep_partitioning`` the checkpoint job runs without adaptive
-    re-planning so the frame's hash partitioning is recorded with it; later
-    aggregations and joins on those keys then need no shuffle.  Use it only for
-    frames whose partitioning keys are (near) unique, as AQE skew handling is
-    off for that one job.
+    By default the rows are written as parquet under the checkpoint folder and
+    read back: one job, output partitions sized by adaptive execution, and the
+    copy gets column pruning and filter pushdown.
+
+    With ``keep_partitioning`` the frame's hash partitioning is recorded with it
+    (a reliable RDD checkpoint taken without adaptive re-planning), so later
+    aggregations and joins on those keys need no shuffle.  Use it only for
+    frames partitioned on (near) unique keys, as skew handling is off for that
+    one job.  The rows are kept while the checkpoint writer runs so they are
+    not computed twice.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    folder = ensure_checkpoint_dir(spark)
+    if not keep_partitioning:
+        path = folder.rstrip("/") + f"/quire-tables/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
     prev = spark.conf.get("spark.sql.adaptive.enabled")
-    if keep_partitioning:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-    # The checkpoint writer recomputes its input after the eager count; keeping
-    # the rows for the duration of the write makes that a read, not a rerun.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return kept.checkpoint(eager=True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.chunking import chunk_documents
 from quire.operators.encoding import decode_labels
-from quire.operators.features import CHUNK_KEY, partition_chunks, term_counts
+from quire.operators.features import CHUNK_KEY, partition_chunks, partitions_for, term_counts
 from quire.operators.params import FUSED_ID
 from quire.operators.score import chunk_softmax, doc_argmax, doc_mean_probs, score_chunks
 
@@ -25,7 +25,8 @@ def score_documents(docs: DataFrame, params: DataFrame, label_map: DataFrame, k:
                     max_tokens: int | None = 400, unit: str = "word", model_id: int = FUSED_ID,
                     body_rows: int | None = None) -> DataFrame:
     """``(doc_id, p_0..p_{k-1}, prediction_idx, prediction)`` for a batch of ``(doc_id, text)`` rows."""
-    chunks = partition_chunks(chunk_documents(docs, "text", n_regions, max_tokens, unit, keep=["doc_id"]))
+    chunks = partition_chunks(chunk_documents(docs, "text", n_regions, max_tokens, unit, keep=["doc_id"]),
+                              n=partitions_for(docs))
     counts = term_counts(chunks)
     m = F.lit(model_id).cast("int").alias("model_id")
     samples = chunks.select(*CHUNK_KEY, m)
