@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import part_len, part_start
+from quire.functions.joins import broadcast_if_small
 from quire.functions.ranking import global_row_number
 from quire.functions.text import tokens_for
 
@@ -107,7 +108,9 @@ def token_windows(df: DataFrame, vocab: DataFrame, text_col: str = "text", doc_c
     """
     pos = df.select(F.col(doc_col).alias("doc_id"),
                     F.posexplode(F.split(F.col(text_col), " ", -1)).alias("pos", "term"))
-    ids = pos.join(vocab, "term", "inner")
+    # every token position meets the vocabulary: broadcast it when its counted
+    # size is small, otherwise a shuffle join whose hot terms AQE splits
+    ids = pos.join(broadcast_if_small(vocab.select("term", "term_id"), row_bytes=40), "term", "inner")
     grouped = (ids.groupBy("doc_id", F.floor(F.col("pos") / body_len).cast("int").alias("win"))
                .agg(F.array_sort(F.collect_list(F.struct("pos", "term_id"))).alias("toks")))
     body = F.transform(F.col("toks"), lambda t: t["term_id"])

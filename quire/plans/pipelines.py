@@ -173,3 +173,15 @@ class FusedPlan:
 
     def metrics(self, params: DataFrame | None = None) -> DataFrame:
         return metrics(self.with_gold(params), "gold", "prediction")
+
+
+def fuse_stored(spark, models_path: str, base_path: str | None, vocab: DataFrame, k: int,
+                model_ids: list[int] | None = None, weights=None, apply_first_weight: bool = False) -> DataFrame:
+    """Fuse parameter tables stored with ``write_params`` without any training:
+    average the stored models' bodies into the stored base model (or, without
+    one, an all-zero base over ``vocab``)."""
+    from quire.operators.params import read_params
+
+    models = read_params(spark, models_path, model_ids)
+    base = read_params(spark, base_path) if base_path else init_params(vocab, [FUSED_ID], k)
+    return fuse_models(base, models, k, weights=weights, apply_first_weight=apply_first_weight)

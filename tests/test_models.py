@@ -102,3 +102,16 @@ def test_fuse_models_and_params_roundtrip(spark, tmpdir_path):
     write_params(fused, tmpdir_path + "/p")
     back = read_params(spark, tmpdir_path + "/p", [FUSED_ID])
     assert back.count() == fused.count()
+
+
+def test_fuse_stored_models(spark, tmpdir_path):
+    from quire.plans.pipelines import fuse_stored
+
+    _, _, vocab, _, _ = _toy(spark)
+    models = init_params(vocab, [0, 1, 2], 2).withColumn("w_1", F.col("model_id").cast("double"))
+    write_params(models, tmpdir_path + "/regions")
+    fused = fuse_stored(spark, tmpdir_path + "/regions", None, vocab, 2, weights=[1, 1, 1])
+    body = {r.w_1 for r in fused.filter("part = 'body'").collect()}
+    assert body == {1.0}  # (0 + 1 + 2) / 3
+    with pytest.raises(ValueError):
+        fuse_stored(spark, tmpdir_path + "/regions", None, vocab, 2, weights=[1, 1]).collect()
