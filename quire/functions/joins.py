@@ -10,11 +10,13 @@ BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
+def fits_broadcast(rows: int, row_bytes: int = 64) -> bool:
+    return rows <= BROADCAST_MAX_ROWS and rows * row_bytes <= BROADCAST_MAX_BYTES
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
     """Broadcast ``df`` when ``rows`` (counted if not given) times ``row_bytes``
     stays under the limits; otherwise return it unchanged so the planner uses a
     shuffle join (AQE splits skewed keys of the big side)."""
     n = df.count() if rows is None else rows
-    if n <= BROADCAST_MAX_ROWS and n * row_bytes <= BROADCAST_MAX_BYTES:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if fits_broadcast(n, row_bytes) else df

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.joins import broadcast_if_small
+from quire.functions.joins import broadcast_if_small, fits_broadcast
+from quire.functions.ranking import global_row_number
 from quire.functions.text import terms
 
 CHUNK_KEY = ["doc_id", "region", "sub"]
@@ -62,8 +63,23 @@ def term_vocabulary(counts: DataFrame, min_df: int = 2) -> DataFrame:
             .filter(F.col("df") >= min_df))
 
 
-def restrict_to_vocabulary(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
-    """Keep only vocabulary terms (semi join; the vocabulary is broadcast only
-    when its counted size is small)."""
-    v = broadcast_if_small(vocab.select("term"), vocab_rows, row_bytes=48)
-    return counts.join(v, "term", "left_semi")
+def number_terms(vocab: DataFrame) -> DataFrame:
+    """Add a dense integer ``term_id`` (1-based, ascending term order) without
+    ranking the whole vocabulary in one task."""
+    ranked = global_row_number(vocab, "term", "__rn")
+    return ranked.withColumn("term_id", F.col("__rn").cast("int")).drop("__rn")
+
+
+def restrict_to_vocabulary(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = None,
+                           n: int | None = None) -> DataFrame:
+    """Keep only vocabulary terms and attach their integer ``term_id``.
+
+    A small vocabulary (counted) is broadcast and the chunk partitioning of
+    ``counts`` is kept.  A large one is joined by shuffle (hot terms are split
+    by AQE) and the result is hash-partitioned on the chunk key again."""
+    rows = vocab.count() if vocab_rows is None else vocab_rows
+    v = vocab.select("term", "term_id")
+    if fits_broadcast(rows, row_bytes=48):
+        return counts.join(F.broadcast(v), "term", "inner")
+    out = counts.join(v, "term", "inner")
+    return out.repartition(n or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *CHUNK_KEY)

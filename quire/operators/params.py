@@ -116,7 +116,7 @@ def fuse_models(base: DataFrame, models: DataFrame, k: int, weights=None, apply_
                 model_id: int = FUSED_ID) -> DataFrame:
     """Linear text models: check keys, average the bodies, put them into ``base``."""
     w = [f"w_{c}" for c in range(k)]
-    keys = ["part", "param"]
+    keys = ["part", "param", "param_id"]
     body = models.filter(F.col("part") == "body")
     assert_compatible(body, keys)
     avg = average_models(body, keys, w, weights=weights, apply_first_weight=apply_first_weight)

@@ -24,20 +24,26 @@ from quire.operators.features import CHUNK_KEY
 from quire.session import cut_lineage
 
 MODEL = "model_id"
+HEAD_ID = -1  # param_id of the head row
 
 
 def init_params(vocab: DataFrame, model_ids: list[int], k: int) -> DataFrame:
-    """All-zero parameters: one body row per (model, vocabulary term), one head row per model."""
+    """All-zero parameters: one body row per (model, vocabulary term), one head
+    row per model.  ``vocab`` has ``term`` and its integer ``term_id``; body
+    rows keep both (``param``, ``param_id``) and joins use the integer."""
     zeros = [F.lit(0.0).alias(w) for w in names("w", k)]
     ids = F.array(*[F.lit(int(m)) for m in model_ids])
-    body = vocab.select(F.explode(ids).alias(MODEL), F.lit("body").alias("part"), F.col("term").alias("param"), *zeros)
+    body = vocab.select(F.explode(ids).alias(MODEL), F.lit("body").alias("part"), F.col("term").alias("param"),
+                        F.col("term_id").cast("int").alias("param_id"), *zeros)
     head = (vocab.sparkSession.range(1)
-            .select(F.explode(ids).alias(MODEL), F.lit("head").alias("part"), F.lit("bias").alias("param"), *zeros))
+            .select(F.explode(ids).alias(MODEL), F.lit("head").alias("part"), F.lit("bias").alias("param"),
+                    F.lit(HEAD_ID).alias("param_id"), *zeros))
     return body.unionByName(head)
 
 
 def _body(params: DataFrame, k: int) -> DataFrame:
-    return params.filter(F.col("part") == "body").select(MODEL, F.col("param").alias("term"), *names("w", k))
+    return params.filter(F.col("part") == "body").select(
+        MODEL, F.col("param_id").alias("term_id"), F.col("param").alias("term"), *names("w", k))
 
 
 def _head(params: DataFrame, k: int) -> DataFrame:
@@ -55,8 +61,8 @@ def chunk_logits(samples: DataFrame, features: DataFrame, params: DataFrame, k:
     small; the head has one row per model.
     """
     keep = list(keep or [])
-    body = broadcast_if_small(_body(params, k), body_rows, row_bytes=40 + 8 * k)
-    dots = (features.select(*CHUNK_KEY, MODEL, "term", "tf").join(body, [MODEL, "term"])
+    body = broadcast_if_small(_body(params, k).drop("term"), body_rows, row_bytes=24 + 8 * k)
+    dots = (features.select(*CHUNK_KEY, MODEL, "term_id", "tf").join(body, [MODEL, "term_id"])
             .groupBy(*CHUNK_KEY, MODEL)
             .agg(*[F.sum(F.col("tf") * F.col(w)).alias(s) for w, s in zip(names("w", k), names("s", k))]))
     head = F.broadcast(_head(params, k))
@@ -80,8 +86,9 @@ def _onehot(label_idx: Column, c: int) -> Column:
 
 
 def _as_params(body: DataFrame, head: DataFrame, k: int) -> DataFrame:
-    b = body.select(MODEL, F.lit("body").alias("part"), F.col("term").alias("param"), *names("w", k))
-    h = head.select(MODEL, F.lit("head").alias("part"), F.lit("bias").alias("param"),
+    b = body.select(MODEL, F.lit("body").alias("part"), F.col("term").alias("param"),
+                    F.col("term_id").alias("param_id"), *names("w", k))
+    h = head.select(MODEL, F.lit("head").alias("part"), F.lit("bias").alias("param"), F.lit(HEAD_ID).alias("param_id"),
                     *[F.col(b_).alias(w) for b_, w in zip(names("b", k), names("w", k))])
     return b.unionByName(h)
 
@@ -91,7 +98,7 @@ def gradient_step(params: DataFrame, samples: DataFrame, features: DataFrame, k:
     """One full-batch gradient step of mean cross-entropy for every model at once.
 
     ``samples``: ``CHUNK_KEY, model_id, label_idx`` (non-null labels);
-    ``features``: ``CHUNK_KEY, model_id, term, tf``.  The per-chunk residual
+    ``features``: ``CHUNK_KEY, model_id, term_id, tf``.  The per-chunk residual
     is computed once and kept (memory, then disk) for the body gradient, the
     head gradient and the per-model sample count.
     """
@@ -102,12 +109,12 @@ def gradient_step(params: DataFrame, samples: DataFrame, features: DataFrame, k:
     resid = resid.persist(StorageLevel.MEMORY_AND_DISK)
     head_g = resid.groupBy(MODEL).agg(F.count(F.lit(1)).alias("n"),
                                       *[F.sum(e).alias(g) for e, g in zip(names("e", k), names("gh", k))])
-    body_g = (features.select(*CHUNK_KEY, "term", "tf").join(resid.hint("shuffle_hash"), CHUNK_KEY)
-              .groupBy(MODEL, "term")
+    body_g = (features.select(*CHUNK_KEY, "term_id", "tf").join(resid.hint("shuffle_hash"), CHUNK_KEY)
+              .groupBy(MODEL, "term_id")
               .agg(*[F.sum(F.col("tf") * F.col(e)).alias(g) for e, g in zip(names("e", k), names("gb", k))]))
     n = F.broadcast(head_g)  # one row per model
-    body = (_body(params, k).join(body_g.hint("shuffle_hash"), [MODEL, "term"], "left").join(n, MODEL, "left")
-            .select(MODEL, "term",
+    body = (_body(params, k).join(body_g.hint("shuffle_hash"), [MODEL, "term_id"], "left").join(n, MODEL, "left")
+            .select(MODEL, "term_id", "term",
                     *[(F.col(w) - F.lit(lr) * F.coalesce(F.col(g) / F.col("n"), F.lit(0.0))).alias(w)
                       for w, g in zip(names("w", k), names("gb", k))]))
     head = (_head(params, k).join(n, MODEL, "left")

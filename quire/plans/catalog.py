@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import names
+from quire.functions.joins import broadcast_if_small
 from quire.functions.text import char_tokens, flatten_whitespace, word_tokens
 from quire.operators import labels as L
 from quire.operators import stats as S
@@ -198,7 +199,9 @@ def q_prompt_rows(spark, d):
 
 
 def q_term_features(spark, d):
-    f = _plan(spark, d, PIPE_CFG).features
+    p = _plan(spark, d, PIPE_CFG)
+    v = broadcast_if_small(p.vocab.select("term_id", "term"), p.vocab_rows, row_bytes=48)
+    f = p.features.join(v, "term_id")
     return _round_all(f.select("doc_id", "region", "sub", "term", "cnt", "tf"), ["tf"])
 
 
@@ -244,9 +247,12 @@ def q_check_compatible(spark, d):
     # region models as if each kept only the terms its own training chunks saw
     p = _plan(spark, d, PIPE_CFG)
     local = (p.features.filter(F.col("split") == "train")
-             .select(F.col("region").alias("model_id"), F.lit("body").alias("part"), F.col("term").alias("param"))
+             .select(F.col("region").alias("model_id"), F.lit("body").alias("part"), F.col("term_id").alias("param_id"))
              .distinct())
-    return check_compatible(local, ["part", "param"])
+    bad = check_compatible(local, ["part", "param_id"])
+    v = broadcast_if_small(p.vocab.select(F.col("term_id").alias("param_id"), F.col("term").alias("param")),
+                           p.vocab_rows, row_bytes=48)
+    return bad.join(v, "param_id").select("part", "param", "n_models", "n_with_key")
 
 
 def q_finetune_step(spark, d):

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quire.operators.chunking import chunk_documents
 from quire.operators.encoding import encode_labels, fit_label_map
-from quire.operators.features import (CHUNK_KEY, partition_chunks, partitions_for, restrict_to_vocabulary, term_counts,
-                                      term_vocabulary)
+from quire.operators.features import (CHUNK_KEY, number_terms, partition_chunks, partitions_for,
+                                      restrict_to_vocabulary, term_counts, term_vocabulary)
 from quire.operators.metrics import metrics
 from quire.operators.params import FUSED_ID, fuse_models
 from quire.operators.score import attach_gold, chunk_softmax, doc_argmax, doc_mean_probs, score_chunks
@@ -104,7 +104,7 @@ class FusedPlan:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return cut_lineage(term_vocabulary(self.counts.filter(F.col("split") == "train"), self.cfg.min_df))
+        return cut_lineage(number_terms(term_vocabulary(self.counts.filter(F.col("split") == "train"), self.cfg.min_df)))
 
     @cached_property
     def vocab_rows(self) -> int:
@@ -112,7 +112,9 @@ class FusedPlan:
 
     @cached_property
     def features(self) -> DataFrame:
-        return cut_lineage(restrict_to_vocabulary(self.counts, self.vocab, self.vocab_rows), keep_partitioning=True)
+        # term strings stay in the vocabulary; the stored features carry the integer id
+        feats = restrict_to_vocabulary(self.counts, self.vocab, self.vocab_rows, self.n_parts).drop("term")
+        return cut_lineage(feats, keep_partitioning=True)
 
     def samples(self, splits, model: Column) -> DataFrame:
         return (self.chunk_index.filter(F.col("split").isin(list(splits)))
@@ -120,7 +122,7 @@ class FusedPlan:
 
     def feats(self, splits, model: Column) -> DataFrame:
         return (self.features.filter(F.col("split").isin(list(splits)))
-                .select(*CHUNK_KEY, model.cast("int").alias("model_id"), "label_idx", "term", "tf"))
+                .select(*CHUNK_KEY, model.cast("int").alias("model_id"), "label_idx", "term_id", "tf"))
 
     # -- models -----------------------------------------------------------
     @cached_property

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.chunking import chunk_documents
 from quire.operators.encoding import decode_labels
-from quire.operators.features import CHUNK_KEY, partition_chunks, partitions_for, term_counts
+from quire.operators.features import CHUNK_KEY, partition_chunks, partitions_for, restrict_to_vocabulary, term_counts
 from quire.operators.params import FUSED_ID
 from quire.operators.score import chunk_softmax, doc_argmax, doc_mean_probs, score_chunks
 
@@ -25,13 +25,14 @@ def score_documents(docs: DataFrame, params: DataFrame, label_map: DataFrame, k:
                     max_tokens: int | None = 400, unit: str = "word", model_id: int = FUSED_ID,
                     body_rows: int | None = None) -> DataFrame:
     """``(doc_id, p_0..p_{k-1}, prediction_idx, prediction)`` for a batch of ``(doc_id, text)`` rows."""
-    chunks = partition_chunks(chunk_documents(docs, "text", n_regions, max_tokens, unit, keep=["doc_id"]),
-                              n=partitions_for(docs))
-    counts = term_counts(chunks)
+    n = partitions_for(docs)
+    chunks = partition_chunks(chunk_documents(docs, "text", n_regions, max_tokens, unit, keep=["doc_id"]), n=n)
+    body = params.filter((F.col("model_id") == model_id))
+    vocab = body.filter(F.col("part") == "body").select(F.col("param").alias("term"), F.col("param_id").alias("term_id"))
+    counts = restrict_to_vocabulary(term_counts(chunks), vocab, body_rows, n)
     m = F.lit(model_id).cast("int").alias("model_id")
     samples = chunks.select(*CHUNK_KEY, m)
-    feats = counts.select(*CHUNK_KEY, m, "term", "tf")
-    body = params.filter((F.col("model_id") == model_id))
+    feats = counts.select(*CHUNK_KEY, m, "term_id", "tf")
     probs = chunk_softmax(score_chunks(samples, feats, body, k, body_rows), k)
     docs_p = doc_argmax(doc_mean_probs(probs, k), k)
     return decode_labels(docs_p, label_map, "prediction_idx", "prediction", k)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.features import CHUNK_KEY, partition_chunks, term_counts, term_vocabulary
+from quire.operators.features import (CHUNK_KEY, number_terms, partition_chunks, restrict_to_vocabulary,
+                                      term_counts, term_vocabulary)
 from quire.operators.params import (FUSED_ID, assert_compatible, average_models, check_compatible, fuse_into,
                                     fuse_models, read_params, write_params)
 from quire.operators.train import fit, gradient_step, init_params
@@ -57,9 +58,10 @@ def _toy(spark):
         "doc_id long, region int, sub int, chunk string, label_idx int")
     chunks = partition_chunks(chunks, n=4)
     counts = term_counts(chunks, carry=["label_idx"])
-    vocab = term_vocabulary(counts, 1)
+    vocab = number_terms(term_vocabulary(counts, 1))
     samples = chunks.select(*CHUNK_KEY, F.lit(0).alias("model_id"), "label_idx")
-    feats = counts.select(*CHUNK_KEY, F.lit(0).alias("model_id"), "label_idx", "term", "tf")
+    feats = restrict_to_vocabulary(counts, vocab).select(*CHUNK_KEY, F.lit(0).alias("model_id"), "label_idx",
+                                                         "term_id", "tf")
     return chunks, counts, vocab, samples, feats
 
 
