@@ -340,16 +340,16 @@ def q_fold_summary(spark, d):
 
 # -- pipelines ------------------------------------------------------------------
 
-def q_pipeline_fused(spark, d):
+def q_fused_documents(spark, d):
     return _plan(spark, d, PIPE_CFG).with_gold().select("doc_id", "prediction", "gold")
 
 
-def q_pipeline_fuse_only(spark, d):
+def q_fuse_only_metrics(spark, d):
     p = _plan(spark, d, PIPE_CFG)
     return _round_all(p.metrics(p.fused), _MET)
 
 
-def q_pipeline_baseline(spark, d):
+def q_baseline_metrics(spark, d):
     p = _plan(spark, d, BASELINE_CFG)
     return _round_all(p.metrics(p.region_fit.params.withColumn("model_id", F.lit(FUSED_ID))), _MET)
 
@@ -364,12 +364,12 @@ def q_untrained_docs(spark, d):
     return p.with_gold(p.base).select("doc_id", "prediction", "gold")
 
 
-def q_pipeline_untrained(spark, d):
+def q_untrained_metrics(spark, d):
     p = _plan(spark, d, BASELINE_CFG)
     return _round_all(p.metrics(p.base), _MET)
 
 
-def q_pipeline_vote(spark, d):
+def q_vote_metrics(spark, d):
     votes = doc_max_vote(parse_generated(_generated(spark, d)))
     gold = table(spark, d, "labels").select("doc_id", F.col("quality").alias("gold"))
     return _round_all(metrics(votes.join(gold, "doc_id"), "gold", "prediction"), _MET)
@@ -424,11 +424,11 @@ QUERIES = {
     "metrics": q_metrics,
     "per_label_report": q_per_label_report,
     "fold_summary": q_fold_summary,
-    "pipeline_fused": q_pipeline_fused,
-    "pipeline_fuse_only": q_pipeline_fuse_only,
-    "pipeline_vote": q_pipeline_vote,
+    "fused_documents": q_fused_documents,
+    "fuse_only_metrics": q_fuse_only_metrics,
+    "vote_metrics": q_vote_metrics,
     "baseline_docs": q_baseline_docs,
     "untrained_docs": q_untrained_docs,
-    "pipeline_baseline": q_pipeline_baseline,
-    "pipeline_untrained": q_pipeline_untrained,
+    "baseline_metrics": q_baseline_metrics,
+    "untrained_metrics": q_untrained_metrics,
 }

@@ -164,11 +164,11 @@ FROM {self.features} WHERE split IN ({sp}){cond}""")
     def init_params(self, model_ids: list[int]) -> str:
         k = self.k
         z = ", ".join(f"CAST(0.0 AS DOUBLE) AS {w}" for w in cols("w", k))
-        ids = ", ".join(f"({m})" for m in model_ids)
-        return self.q.add(f"""SELECT CAST(m.id AS INTEGER) AS model_id, 'body' AS part, v.term AS param, {z}
-FROM {self.vocab} v, (VALUES {ids}) m(id)
+        ids = "[" + ", ".join(str(int(m)) for m in model_ids) + "]"
+        return self.q.add(f"""SELECT CAST(unnest({ids}) AS INTEGER) AS model_id, 'body' AS part, v.term AS param, {z}
+FROM {self.vocab} v
 UNION ALL
-SELECT CAST(m.id AS INTEGER), 'head', 'bias', {z} FROM (VALUES {ids}) m(id)""")
+SELECT CAST(unnest({ids}) AS INTEGER), 'head', 'bias', {z}""")
 
     def logits(self, params: str, samples: str, feats: str) -> str:
         k, q = self.k, self.q
@@ -479,10 +479,9 @@ FROM e JOIN g ON g.label = e.label GROUP BY e.label, e.pos"""
     o["fuse_into"] = params_final(p.q, p.fused(), K_LANG)
     p = _pipe()
     loc = p.q.add(f"SELECT DISTINCT region AS model_id, 'body' AS part, term AS param FROM {p.features} WHERE split = 'train'")
-    o["check_compatible"] = p.q.render(f"""SELECT part, param, n_models, n_with_key FROM (
-  SELECT part, param, count(DISTINCT model_id) AS n_with_key FROM {loc} GROUP BY part, param),
-  (SELECT count(DISTINCT model_id) AS n_models FROM {loc})
-WHERE n_with_key < n_models""")
+    o["check_compatible"] = p.q.render(f"""SELECT part, param, (SELECT count(DISTINCT model_id) FROM {loc}) AS n_models, n_with_key
+FROM (SELECT part, param, count(DISTINCT model_id) AS n_with_key FROM {loc} GROUP BY part, param)
+WHERE n_with_key < (SELECT count(DISTINCT model_id) FROM {loc})""")
     p = _pipe()
     o["finetune_step"] = params_final(p.q, p.finetune_fit()[0], K_LANG)
 
@@ -519,13 +518,13 @@ WHERE n_with_key < n_models""")
   SELECT 'macro_f1' AS metric, macro_f1 AS value FROM {mf} UNION ALL SELECT 'micro_f1', micro_f1 FROM {mf}) GROUP BY metric""")
 
     p = _pipe()
-    o["pipeline_fused"] = p.q.render(f"SELECT doc_id, prediction, gold FROM {p.with_gold(p.finetune_fit()[0])}")
+    o["fused_documents"] = p.q.render(f"SELECT doc_id, prediction, gold FROM {p.with_gold(p.finetune_fit()[0])}")
     p = _pipe()
-    o["pipeline_fuse_only"] = metrics_final(p.q, p.with_gold(p.fused()))
+    o["fuse_only_metrics"] = metrics_final(p.q, p.with_gold(p.fused()))
     p = _pipe()
     v = _votes(p)
     j = p.q.add(f"SELECT v.doc_id, v.prediction, l.quality AS gold FROM {v} v JOIN labels l ON l.doc_id = v.doc_id")
-    o["pipeline_vote"] = metrics_final(p.q, j)
+    o["vote_metrics"] = metrics_final(p.q, j)
 
     def baseline_params(b: PlanSql) -> str:
         return b.q.add(f"SELECT CAST({FUSED_ID} AS INTEGER) AS model_id, part, param, {', '.join(cols('w', K_LANG))} FROM {b.region_fit()[0]}")
@@ -533,11 +532,11 @@ WHERE n_with_key < n_models""")
     b = _pipe(BASELINE_CFG)
     o["baseline_docs"] = b.q.render(f"SELECT doc_id, prediction, gold FROM {b.with_gold(baseline_params(b))}")
     b = _pipe(BASELINE_CFG)
-    o["pipeline_baseline"] = metrics_final(b.q, b.with_gold(baseline_params(b)))
+    o["baseline_metrics"] = metrics_final(b.q, b.with_gold(baseline_params(b)))
     b = _pipe(BASELINE_CFG)
     o["untrained_docs"] = b.q.render(f"SELECT doc_id, prediction, gold FROM {b.with_gold(b.base())}")
     b = _pipe(BASELINE_CFG)
-    o["pipeline_untrained"] = metrics_final(b.q, b.with_gold(b.base()))
+    o["untrained_metrics"] = metrics_final(b.q, b.with_gold(b.base()))
     return o
 
 
