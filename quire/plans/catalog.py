@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import names
 from quire.functions.joins import broadcast_if_small
+from quire.operators.features import partitions_for
 from quire.functions.text import char_tokens, flatten_whitespace, word_tokens
 from quire.operators import labels as L
 from quire.operators import stats as S
@@ -46,9 +47,10 @@ def _plan(spark: SparkSession, sf_dir: str, cfg: FusedConfig, corpus: str = "doc
     plan = _PLANS.get(key)
     if plan is None or plan.docs.sparkSession is not spark or spark.sparkContext._jsc is None:
         docs = table(spark, sf_dir, "documents")
+        n_parts = partitions_for(docs)
         if corpus == "labelled":
             docs = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-        plan = FusedPlan(docs, cfg)
+        plan = FusedPlan(docs, cfg, n_parts)
         _PLANS[key] = plan
     return plan
 

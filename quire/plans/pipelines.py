@@ -50,10 +50,13 @@ class FusedConfig:
 class FusedPlan:
     """Lazily built stages of the fused pipeline over a ``(doc_id, text, <label_col>)`` corpus."""
 
-    def __init__(self, docs: DataFrame, cfg: FusedConfig = FusedConfig()):
+    def __init__(self, docs: DataFrame, cfg: FusedConfig = FusedConfig(), n_parts: int | None = None):
+        """``n_parts``: partition count of the chunk-keyed tables; by default
+        derived from ``docs``, which should then be a plain file scan (pass it
+        explicitly when ``docs`` is itself a join)."""
         self.cfg = cfg
         self.docs = docs.select("doc_id", "text", F.col(cfg.label_col).alias("label"))
-        self.n_parts = partitions_for(docs)
+        self.n_parts = n_parts or partitions_for(docs)
 
     # -- corpus -----------------------------------------------------------
     @cached_property
