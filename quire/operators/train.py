@@ -179,16 +179,17 @@ def fit(params: DataFrame, samples: DataFrame, features: DataFrame, k: int, lr:
             for r in mean_loss(current, ds, df_, k, body_rows).collect():  # one row per model
                 hist.append((int(r[MODEL]), epoch, float(r["loss"])))
     if dev_samples is None or not hist:
-        best = {}
         result = current
         model_ids = [r[0] for r in current.select(MODEL).distinct().collect()]
         hist = [(m, e, None) for m in model_ids for e in range(1, epochs + 1)]
         best = {m: epochs for m in model_ids}
     else:
+        # lowest dev loss per model; the earlier epoch wins a tie
+        best_loss: dict = {}
         best = {}
         for m, e, loss in hist:
-            if m not in best or loss < dict(((mm, ee), ll) for mm, ee, ll in hist)[(m, best[m])]:
-                best[m] = e
+            if m not in best_loss or loss < best_loss[m]:
+                best_loss[m], best[m] = loss, e
         parts = []
         for e, p in enumerate(per_epoch, start=1):
             ms = [m for m, be in best.items() if be == e]
