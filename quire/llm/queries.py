@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, quality_ledger
+from quire.llm import exact_dedup, packing, quality_ledger
 
 QUERIES = {
+    "op2_packing": packing.q_packing,
     "op5_exact_dedup": exact_dedup.q_exact_dedup,
     "op6_quality_rules": quality_ledger.q_quality_rules,
 }
