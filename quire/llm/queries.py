@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, packing, quality_ledger
+from quire.llm import exact_dedup, mixing, packing, quality_ledger
 
 QUERIES = {
     "op2_packing": packing.q_packing,
+    "op4_mixing": mixing.q_mixing,
     "op5_exact_dedup": exact_dedup.q_exact_dedup,
     "op6_quality_rules": quality_ledger.q_quality_rules,
 }
 
 ORACLE = {
+    "op4_mixing": mixing.SQL_MIXING,
     "op5_exact_dedup": exact_dedup.SQL_EXACT_DEDUP,
     "op6_quality_rules": quality_ledger.SQL_QUALITY_RULES,
 }
