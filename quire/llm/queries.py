@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, mixing, packing, quality_ledger
+from quire.llm import exact_dedup, mixing, near_dedup, packing, quality_ledger
 
 QUERIES = {
     "op2_packing": packing.q_packing,
+    "op3_near_dedup": near_dedup.q_near_dedup,
     "op4_mixing": mixing.q_mixing,
     "op5_exact_dedup": exact_dedup.q_exact_dedup,
     "op6_quality_rules": quality_ledger.q_quality_rules,
