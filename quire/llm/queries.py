@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, mixing, near_dedup, packing, quality_ledger
+from quire.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_ledger, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.q_line_dedup,
     "op2_packing": packing.q_packing,
     "op3_near_dedup": near_dedup.q_near_dedup,
     "op4_mixing": mixing.q_mixing,
     "op5_exact_dedup": exact_dedup.q_exact_dedup,
     "op6_quality_rules": quality_ledger.q_quality_rules,
+    "op8_warc": warc.q_warc,
 }
 
 ORACLE = {
     "op4_mixing": mixing.SQL_MIXING,
     "op5_exact_dedup": exact_dedup.SQL_EXACT_DEDUP,
     "op6_quality_rules": quality_ledger.SQL_QUALITY_RULES,
+    "op8_warc": warc.SQL_WARC,
 }
