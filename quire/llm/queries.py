@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_ledger, secrets, token_counts, warc
+from quire.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality_ledger, secrets, token_counts, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.q_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.q_mixing,
     "op5_exact_dedup": exact_dedup.q_exact_dedup,
     "op6_quality_rules": quality_ledger.q_quality_rules,
+    "op7_pii": pii.q_pii,
     "op8_warc": warc.q_warc,
     "op9_secret_scan": secrets.q_secret_scan,
     "op10_token_counts": token_counts.q_token_counts,
