@@ -1,6 +1,6 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-A text is a weighted set: its five-word shingles, each weighted by how often it occurs.  The
+A text is a weighted set: its five-word shingles, each weighing 1 + ln(occurrences).  The
 similarity of two texts is the probability Jaccard of these sets, which is the plain Jaccard
 where no shingle repeats.  Texts are linked at 0.8 or more; a class is a connected component.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quire.llm.batches import portions
-from quire.llm.shingles import mix64, probability_jaccard, shingles
+from quire.llm.shingles import mix64, probability_jaccard, shingles, weights
 from quire.llm.text import text_of
 from quire.session import cut_lineage
 
@@ -96,7 +96,7 @@ def signatures(df: DataFrame, text_col: str = "text", bands: int = BANDS, rows:
                 at, elem, count = shingles(raw)
                 has = np.bincount(at, minlength=len(raw)) > 0
                 dense = np.cumsum(has) - 1
-                sig = prob_minhash(dense[at], elem, count, int(has.sum()), bands * rows)
+                sig = prob_minhash(dense[at], elem, weights(count), int(has.sum()), bands * rows)
                 keys.append(band_keys(sig, bands, rows).ravel())
                 sizes.append(has)
             if not sizes:
@@ -124,11 +124,11 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 part = batch.slice(i, 128)
                 raw = [(t or "").encode("utf-8", "surrogatepass") for c in (2, 3) for t in part.column(c).to_pylist()]
                 at, elem, count = shingles(raw)
-                cut = np.searchsorted(at, np.arange(len(raw) + 1))
+                cut, heavy = np.searchsorted(at, np.arange(len(raw) + 1)), weights(count)
                 n = part.num_rows
                 for x in range(n):
                     p, q = slice(cut[x], cut[x + 1]), slice(cut[x + n], cut[x + n + 1])
-                    sims.append(probability_jaccard(elem[p], count[p], elem[q], count[q]))
+                    sims.append(probability_jaccard(elem[p], heavy[p], elem[q], heavy[q]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
     return both.mapInArrow(run, "a long, b long, sim double")

@@ -83,6 +83,12 @@ def shingles(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.nda
     return at[first], sh[first], np.diff(first, append=len(sh))
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """1 + ln(count): a shingle that a text repeats weighs more, but one long run of a repeated word
+    cannot make two otherwise different texts similar."""
+    return 1.0 + np.log(count)
+
+
 def probability_jaccard(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray, wb: np.ndarray) -> float:
     """Exact probability Jaccard of two weighted sets given as sorted unique hashes and weights:
     the sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""

@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,11 @@ def frame(spark, rows, parts=3):
 
 
 def bag(text):
+    """Shingle -> weight."""
+    return {g: 1 + math.log(n) for g, n in counts(text).items()}
+
+
+def counts(text):
     w = (text or "").encode().split()
     if not w:
         return Counter()
@@ -75,12 +81,14 @@ def test_sample_similarity_is_exact():
         at, e, c = S.shingles([a.encode(), b"", b.encode()])
         x, y = at == 0, at == 2
         assert not (at == 1).any() and c[x].sum() == max(1, len(a.split()) - 4)
-        assert abs(S.probability_jaccard(e[x], c[x], e[y], c[y]) - jp(bag(a), bag(b))) < 1e-12
+        w = S.weights(c)
+        assert abs(S.probability_jaccard(e[x], w[x], e[y], w[y]) - jp(bag(a), bag(b))) < 1e-12
 
 
 def test_signature_agreement_estimates_probability_jaccard():
     a, b = bag("a b c d e f g h i j k l m n " * 3), bag("a b c d e f g h i j k l m n " * 2 + "o p q r s t u v")
     at, e, c = S.shingles([" ".join(["a b c d e f g h i j k l m n"] * 3).encode(), ("a b c d e f g h i j k l m n " * 2 + "o p q r s t u v").encode()])
+    c = S.weights(c)
     sig = N.prob_minhash(at, e, c, 2, 20_000)
     assert abs((sig[0] == sig[1]).mean() - jp(a, b)) < 0.015
     alone = [N.prob_minhash(np.zeros((at == k).sum(), dtype=int), e[at == k], c[at == k], 1, 64)[0] for k in (0, 1)]

@@ -59,6 +59,7 @@ def test_near_stage(stages):
     rows = sorted(stages[2], key=lambda r: r["doc_id"])
     at, elem, count = S.shingles([r["text"].encode() for r in rows])
     cut = np.searchsorted(at, np.arange(len(rows) + 1))
+    count = S.weights(count)
     part = [(elem[a:b], count[a:b]) for a, b in zip(cut, cut[1:])]
     top = list(range(len(rows)))
 
