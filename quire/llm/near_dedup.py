@@ -12,12 +12,12 @@ positions make 32 bands of 6; at 0.8 a pair shares no band with probability 6e-5
 
 Candidates: texts that are equal word for word collapse first; only one row of each enters the
 bands.  Within a band bucket no list of all pairs is made.  Every text is first compared with
-one pivot, the first text (in a fixed random order) of any bucket it is in; then with the first
-text of each bucket in which the classes found so far still differ; then growing sets of pivots,
-4 ** t expected in round t, meet the members of other classes until every pair of a bucket that
-could join two classes has been compared.  Each round is linear in the members for each pivot,
-and the rest of the rounds disappear with the classes they join.  A pair whose distances to a
-common pivot differ by more than 0.2 cannot be linked (the distance is a metric) and is left out.
+one pivot, the first text (in a fixed random order) of any bucket it is in.  Where the classes
+found so far differ within a bucket, a quota of pivots of its largest class meets the rows of the
+others, and what joins is out of the next round; the quota grows eightfold each round, first over
+the largest class, then over the other rows, until every pair of a bucket that could join two
+classes has been compared.  A large group of copies joins in the first rounds, at a cost linear in
+its rows; pairs inside one class are never listed.
 Links, labels and members stay in distributed tables; each round is written to the shared folder.
 
 Defined results: null text is empty text; texts without a word are equal to each other; a text
@@ -46,6 +46,7 @@ from quire.session import cut_lineage
 THRESHOLD = 0.8
 EPS = 1e-9  # rounding of a similarity that is exactly at the threshold
 BANDS, ROWS = 32, 6
+GROWTH = 8  # of the pivots per bucket and round
 _U = np.uint64
 
 
@@ -142,66 +143,52 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
     while True:
         told = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("told"))
-        spread = labels.join(told, "node").select("node", F.col("label").alias("old"), F.least("label", "told").alias("label"))
-        jump = spread.alias("s").join(
-            spread.select(F.col("node").alias("via"), F.col("label").alias("on")).alias("v"), F.col("s.label") == F.col("v.via"))
-        after = cut_lineage(jump.select("s.node", "s.old", F.least("s.label", "v.on").alias("label")))
-        labels = after.select("node", "label")
-        if after.where("old <> label").isEmpty():
+        spread = cut_lineage(labels.join(told, "node").select("node", F.col("label").alias("old"), F.least("label", "told").alias("label")))
+        if spread.where("old <> label").isEmpty():
             return labels
+        on = spread.select(F.col("node").alias("via"), F.col("label").alias("on"))
+        labels = cut_lineage(spread.join(on, F.col("label") == F.col("via")).select("node", F.least("label", "on").alias("label")))
 
 
 def link_members(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(labels, links) of the bucket members (bucket, row).
+    """(labels, compared pairs) of the bucket members (bucket, row).
 
     ``u`` is a node's place in the fixed random order; a pair belongs to its earlier node."""
     u = F.xxhash64("row")
     size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(u.alias("u"), "row")).alias("pivot"))
-    shared = size.where("n > 1")
-    m = cut_lineage(members.join(shared, "bucket").select("bucket", "row", u.alias("u"), "n", "pivot"))
+    m = cut_lineage(members.join(size.where("n > 1"), "bucket").select("bucket", "row", u.alias("u"), "pivot"))
     wanted = cut_lineage(texts.join(m.select("row").distinct(), "row", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return cut_lineage(similarities(pairs, wanted))
 
-    def labelled(links: DataFrame) -> DataFrame:
-        """m with the label of each row's class so far."""
-        return (m.join(components(links).withColumnRenamed("node", "row"), "row", "left")
-                .withColumn("label", F.coalesce("label", "row")))
-
-    def still_open(now: DataFrame) -> DataFrame:
-        return now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-
     # Every row and the earliest pivot of its buckets.
     done = verified(m.groupBy("row").agg(F.min("pivot").alias("p")).where("p.row <> row")
                     .select(F.col("p.row").alias("a"), F.col("row").alias("b")))
-    turn = 0
+    quota, undecided = 1, m
     while True:
-        now = cut_lineage(labelled(done.where(F.col("sim") >= threshold - EPS)))
-        active = cut_lineage(now.join(still_open(now), "bucket", "left_semi"))
+        labels = components(done.where(F.col("sim") >= threshold - EPS))
+        now = cut_lineage(undecided.select("bucket", "row", "u").join(labels.withColumnRenamed("node", "row"), "row", "left")
+                          .withColumn("label", F.coalesce("label", "row")))
+        # The largest class of each bucket whose rows are not of one class.
+        parts = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(
+            F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
+        active = cut_lineage(now.join(parts, "bucket").withColumn("is_top", F.col("label") == F.col("top.label")))
         if active.isEmpty():
-            break
-        # Pivots of this turn: the bucket's first row, then those whose place falls below 4 ** turn / n.
+            return labels, done
+        # Pivots: ``quota`` rows of the largest class, by their place in the random order, then rows of the others.
         place = (F.col("u").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
-        chosen = (F.col("row") == F.col("pivot.row")) | ((F.lit(4.0 ** turn) >= F.col("n") * place) if turn else F.lit(False))
-        left = active.where(chosen).select("bucket", F.col("row").alias("a"), F.col("u").alias("ua"), F.col("label").alias("la"))
-        right = active.select("bucket", F.col("row").alias("b"), F.col("u").alias("ub"), F.col("label").alias("lb"), "pivot")
-        pairs = (left.join(right, "bucket")
-                 .where((F.struct("ua", "a") < F.struct("ub", "b")) & (F.col("la") != F.col("lb")))
-                 .groupBy("a", "b").agg(F.min("pivot.row").alias("via")).join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        if turn:  # both ends' distances to a shared pivot bound their own
-            to = done.select(F.col("a").alias("via"), F.col("b").alias("x"), "sim")
-            pairs = (pairs.join(to.select("via", F.col("x").alias("a"), F.col("sim").alias("sa")), ["via", "a"], "left")
-                     .join(to.select("via", F.col("x").alias("b"), F.col("sim").alias("sb")), ["via", "b"], "left")
-                     .where(F.coalesce(F.abs(F.col("sa") - F.col("sb")) <= 1 - threshold + EPS, F.lit(True))))
-        fresh = verified(pairs.select("a", "b"))
-        done = cut_lineage(done.unionByName(fresh))
-        # From this turn on every row has been a pivot of every bucket it is in.
-        if turn and active.where(F.col("n") > 4.0 ** turn).isEmpty():
-            break
-        turn += 1
-    links = done.where(F.col("sim") >= threshold - EPS)
-    return components(links), links
+        chosen = F.when(F.col("is_top"), place * F.col("top.c") <= quota).otherwise(
+            place * (F.col("all") - F.col("top.c")) <= quota - F.col("top.c"))
+        left = active.where(chosen).select("bucket", F.col("row").alias("a"), F.col("u").alias("ua"), F.col("label").alias("la"), "is_top")
+        right = active.where(~F.col("is_top")).select("bucket", F.col("row").alias("b"), F.col("u").alias("ub"), F.col("label").alias("lb"))
+        pairs = left.join(right, "bucket").where(
+            F.col("is_top") | ((F.col("la") != F.col("lb")) & (F.struct("ua", "a") < F.struct("ub", "b"))))
+        both_ways = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        done = cut_lineage(done.unionByName(verified(pairs.select("a", "b").distinct().join(both_ways, ["a", "b"], "left_anti"))))
+        # Where every row has been a pivot, all pairs that could join two classes have been compared.
+        undecided = active.where(F.col("all") > quota)
+        quota *= GROWTH
 
 
 def near_classes(sigs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -16,7 +16,7 @@ def frame(spark, rows, parts=3):
 
 def bag(text):
     """Shingle -> weight."""
-    return {g: 1 + math.log(n) for g, n in counts(text).items()}
+    return Counter({g: 1 + math.log(n) for g, n in counts(text).items()})
 
 
 def counts(text):
