@@ -21,6 +21,14 @@ def part_len(i: Column, n: Column, k: Column) -> Column:
     return F.floor(n / k).cast("int") + F.when(i < n % k, 1).otherwise(0)
 
 
+def part_index(p: Column, n: Column, k: Column) -> Column:
+    """The part that holds item ``p`` (0-based) of ``n`` items cut in ``k`` near-equal parts."""
+    short, longer = F.floor(n / k).cast("int"), n % k
+    edge = longer * (short + 1)
+    return F.when(p < edge, F.floor(p / (short + 1)).cast("int")).otherwise(
+        longer + F.floor((p - edge) / F.greatest(short, F.lit(1))).cast("int"))
+
+
 def softmax(cols: list[Column]) -> list[Column]:
     """Row-wise softmax over k columns, maximum subtracted first."""
     m = F.greatest(*cols) if len(cols) > 1 else cols[0]
@@ -33,12 +41,23 @@ def softmax(cols: list[Column]) -> list[Column]:
 
 def argmax_first(cols: list[Column]) -> Column:
     """Index of the largest column; the first one wins a tie."""
-    k = len(cols)
-    expr = F.lit(k - 1)
-    for c in range(k - 2, -1, -1):
-        cond = None
-        for d in range(c + 1, k):
-            t = cols[c] >= cols[d]
-            cond = t if cond is None else (cond & t)
-        expr = F.when(cond, F.lit(c)).otherwise(expr)
-    return expr.cast("int")
+    values = F.array(*cols)
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row (a bound variable is
+    never copied into the lambdas that use it)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def run_lengths(values: Column) -> Column:
+    """``array<struct<value, cnt>>``: each distinct element and how often it occurs.
+    One sort per row; the runs of equal neighbours are the counts."""
+    def runs(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        return let(starts, lambda st: F.transform(st, lambda i, j: F.struct(
+            a[i].alias("value"), (F.coalesce(F.get(st, j + 1), F.size(a)) - i).cast("long").alias("cnt"))))
+
+    empty = F.array().cast("array<struct<value:string,cnt:bigint>>")
+    return F.when(F.size(values) == 0, empty).otherwise(let(F.sort_array(values), runs))

@@ -11,19 +11,24 @@ of the partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.arrays import part_len, part_start
+from quire.functions.arrays import part_index, part_len, part_start
 from quire.functions.joins import broadcast_if_small
 from quire.functions.ranking import global_row_number
 from quire.functions.text import tokens_for
+from quire.session import cut_lineage
 
 CHUNK_KEY = ["doc_id", "region", "sub"]
 
 
-def _spans(tokens: Column, n_regions: int, max_tokens: int | None) -> Column:
-    n = F.size(tokens)
+def _spans(tokens: Column, n_regions: int, max_tokens: int | None, only: int | None = None) -> Column:
+    return _spans_of(F.size(tokens), n_regions, max_tokens, only)
+
+
+def _spans_of(n: Column, n_regions: int, max_tokens: int | None, only: int | None = None) -> Column:
+    """The chunks of ``n`` tokens: ``array<struct<region, sub, start, len>>``."""
     k_reg = F.lit(n_regions)
 
     def region_parts(i: Column) -> Column:
@@ -43,12 +48,14 @@ def _spans(tokens: Column, n_regions: int, max_tokens: int | None) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_regions - 1)), region_parts))
+    regions = F.sequence(F.lit(0), F.lit(n_regions - 1)) if only is None else F.array(F.lit(only))
+    return F.flatten(F.transform(regions, region_parts))
 
 
 def chunk_documents(df: DataFrame, text_col: str = "text", n_regions: int = 3, max_tokens: int | None = 400,
-                    unit: str = "word", keep: list[str] | None = None) -> DataFrame:
+                    unit: str = "word", keep: list[str] | None = None, only_region: int | None = None) -> DataFrame:
     """One row per (document, region, sub-chunk): ``keep + [region, sub, chunk]``.
+    With ``only_region`` the text of the other regions is never built.
 
     ``unit`` picks the tokens (see :func:`quire.functions.text.tokens_for`).
     Label and document id are carried to every chunk by listing them in ``keep``.
@@ -60,7 +67,7 @@ def chunk_documents(df: DataFrame, text_col: str = "text", n_regions: int = 3, m
     with_tokens = df.select(*keep, tokens_for(text_col, unit).alias(tok))
     tokens = F.col(tok)
     chunks = F.transform(
-        _spans(tokens, n_regions, max_tokens),
+        _spans(tokens, n_regions, max_tokens, only_region),
         lambda s: F.struct(
             s["region"].alias("region"),
             s["sub"].alias("sub"),
@@ -70,6 +77,59 @@ def chunk_documents(df: DataFrame, text_col: str = "text", n_regions: int = 3, m
     return with_tokens.select(*keep, F.inline(chunks))
 
 
+def _running_offsets(lengths: DataFrame) -> DataFrame:
+    """``g, o, len`` plus ``off``, the group's tokens before ``o``.  Rows are range-partitioned on
+    (g, o), so even one group that holds most rows is summed by many tasks; a group's partial
+    sums are one row per partition."""
+    ranged = cut_lineage(lengths.repartitionByRange("g", "o").withColumn("pid", F.spark_partition_id()))
+    earlier = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy("g", "pid").agg(F.sum("len").alias("s"))
+              .select("g", "pid", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base")))
+    before = Window.partitionBy("g", "pid").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("run", F.coalesce(F.sum("len").over(before), F.lit(0)))
+    return inside.join(starts, ["g", "pid"]).select("g", "o", "len", (F.col("base") + F.col("run")).cast("int").alias("off"))
+
+
+def chunk_paragraphs(df: DataFrame, group_col: str, order_col: str, text_col: str = "text", n_regions: int = 3,
+                     max_tokens: int = 400) -> DataFrame:
+    """Regions and chunks of texts that come as one paragraph per row:
+    ``group, region, sub, chunk``, as if the group's paragraphs were joined with one space.
+
+    No group is joined into one row.  Token counts per paragraph give each one its offset in
+    the group; a paragraph is cut where it crosses region or chunk ends, and only the pieces
+    of one chunk (at most ``max_tokens`` tokens) meet again.  (group, order) must be unique."""
+    tok = tokens_for(text_col, "word")
+    lengths = df.select(F.col(group_col).alias("g"), F.col(order_col).alias("o"), F.size(tok).alias("len"))
+    offsets = _running_offsets(lengths)
+    total = offsets.groupBy("g").agg(F.sum("len").cast("int").alias("n"))
+    n, off, size, k_reg = F.col("n"), F.col("off"), F.size("toks"), F.lit(n_regions)
+    parts = (df.select(F.col(group_col).alias("g"), F.col(order_col).alias("o"), tok.alias("toks"))
+             .join(offsets.select("g", "o", "off"), ["g", "o"]).join(total, "g"))
+
+    def pieces_of(i: Column) -> Column:
+        """This paragraph's pieces in region ``i``: only the chunks that it overlaps are listed."""
+        start, length = part_start(i, n, k_reg), part_len(i, n, k_reg)
+        a, b = F.greatest(off, start), F.least(off + size, start + length)
+        subs = F.when(length > max_tokens, F.floor(length / max_tokens).cast("int") + 1).otherwise(1)
+
+        def piece(j: Column) -> Column:
+            p, q = start + part_start(j, length, subs), start + part_start(j, length, subs) + part_len(j, length, subs)
+            return F.struct(i.alias("region"), j.alias("sub"), off.alias("at"), F.array_join(
+                F.slice(F.col("toks"), F.greatest(p, off) - off + 1, F.least(q, off + size) - F.greatest(p, off)), " ").alias("piece"))
+
+        return F.when(a < b, F.transform(F.sequence(
+            part_index(a - start, length, subs), part_index(b - 1 - start, length, subs)), piece)).otherwise(
+                F.array().cast("array<struct<region:int,sub:int,at:int,piece:string>>"))
+
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_regions - 1)), pieces_of))
+    pieces = parts.select("g", F.inline(cut))
+    chunks = pieces.groupBy("g", "region", "sub").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    empty = total.select("g", F.inline(F.filter(_spans_of(n, n_regions, max_tokens), lambda s: s["len"] == 0))).select(
+        "g", "region", "sub", F.lit("").alias("chunk"))
+    full = chunks.select("g", "region", "sub", F.array_join("p.piece", " ").alias("chunk"))
+    return full.unionByName(empty).withColumnRenamed("g", group_col)
+
+
 def split_regions(df: DataFrame, text_col: str = "text", n_regions: int = 3, unit: str = "word",
                   keep: list[str] | None = None) -> DataFrame:
     """Regions only (no length limit): ``keep + [region, sub=0, chunk]``."""

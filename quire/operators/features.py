@@ -1,66 +1,56 @@
 """Bag-of-terms features per chunk and the corpus vocabulary.
 
-Chunk rows are hash-partitioned on the chunk key once; counting terms per
-``(chunk, term)`` then needs no further shuffle (the grouping keys contain the
-partitioning keys), and the result stays partitioned by chunk so the
-per-chunk logit aggregation and the residual join of training reuse it.
+Terms are counted inside the chunk's own row (one sort of its terms), so the
+chunk text is never shuffled: only counted terms, as integer ids, move to the
+chunk-keyed store that training reads.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.joins import broadcast_if_small, fits_broadcast
+from quire.functions.arrays import let, run_lengths
+from quire.functions.joins import fits_broadcast, measure
 from quire.functions.ranking import global_row_number
 from quire.functions.text import terms
+from quire.session import store_bucketed
 
 CHUNK_KEY = ["doc_id", "region", "sub"]
+# Stored bytes of the feature table per byte of input file, and bytes aimed at per bucket.
+EXPANSION, BUCKET_BYTES = 4, 128 * 1024 * 1024
+
+
+def partitions_for(source: DataFrame) -> int:
+    """Bucket count of chunk-keyed tables derived from ``source`` (a file scan): by
+    the size of its files, at least the default parallelism, without an upper
+    limit.  Only the driver's file listing is used; no job runs."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(source.sparkSession.sparkContext.defaultParallelism, math.ceil(size * EXPANSION / BUCKET_BYTES))
+
+
+def chunk_terms(chunks: DataFrame, text_col: str = "chunk", carry: list[str] | None = None) -> DataFrame:
+    """``CHUNK_KEY + carry + [terms]``: per chunk its distinct lower-cased
+    letter/digit runs as ``array<struct<term, cnt, tf>>``; ``tf`` is the count
+    scaled so a chunk's values have unit L2 norm.  Narrow: row in, row out."""
+    def scaled(runs):
+        norm = F.sqrt(F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x["cnt"] * x["cnt"]).cast("double"))
+        return let(norm, lambda z: F.transform(runs, lambda x: F.struct(
+            x["value"].alias("term"), x["cnt"].alias("cnt"), (x["cnt"] / z).alias("tf"))))
 
+    return chunks.select(*CHUNK_KEY, *(carry or []), let(run_lengths(terms(text_col)), scaled).alias("terms"))
 
-def partitions_for(source: DataFrame, factor: int = 2) -> int:
-    """Partition count for chunk-keyed tables derived from ``source`` (a file
-    scan): ``factor`` per input split (splits follow
-    ``spark.sql.files.maxPartitionBytes``), at least the default parallelism,
-    at most ``spark.sql.shuffle.partitions``.  Reading the split count plans
-    the scan only; it runs no job."""
-    spark = source.sparkSession
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splits = source.rdd.getNumPartitions()
-    return max(1, min(cap, max(spark.sparkContext.defaultParallelism, factor * splits)))
-
-
-def partition_chunks(chunks: DataFrame, key: list[str] | None = None, n: int | None = None) -> DataFrame:
-    """Hash-partition chunk rows on the chunk key (a long document's chunks
-    spread out).  The partition count is explicit so the hash partitioning
-    survives a checkpoint and later chunk-keyed aggregations and joins reuse it
-    without a shuffle."""
-    if n is None:
-        n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return chunks.repartition(n, *(key or CHUNK_KEY))
-
-
-def term_counts(chunks: DataFrame, text_col: str = "chunk", key: list[str] | None = None,
-                carry: list[str] | None = None) -> DataFrame:
-    """``key + carry + [term, cnt, n_terms, tf]``: count of each lower-cased
-    letter/digit run in the chunk; ``tf`` is the count scaled so a chunk's
-    values have unit L2 norm (the per-chunk norm is a window on the chunk key,
-    which the rows are already partitioned by)."""
-    key = list(key or CHUNK_KEY)
-    carry = list(carry or [])
-    # terms are extracted once per chunk; size and explode read the array
-    with_terms = chunks.select(*key, *carry, terms(text_col).alias("__t"))
-    sized = with_terms.select(*key, *carry, F.size("__t").alias("n_terms"), "__t")
-    exploded = sized.select(*key, *carry, "n_terms", F.explode("__t").alias("term"))
-    counted = exploded.groupBy(*key, *carry, "n_terms", "term").agg(F.count(F.lit(1)).alias("cnt"))
-    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(*key)))
-    return counted.withColumn("tf", F.col("cnt") / norm)
-
-
-def term_vocabulary(counts: DataFrame, min_df: int = 2) -> DataFrame:
-    """``(term, df)`` for terms found in at least ``min_df`` chunks."""
-    return (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-            .filter(F.col("df") >= min_df))
+
+def term_rows(chunked: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``CHUNK_KEY + carry + [term, cnt, tf]``, one row per chunk and term."""
+    return chunked.select(*CHUNK_KEY, *(carry or []), F.inline("terms"))
+
+
+def term_vocabulary(rows: DataFrame) -> DataFrame:
+    """``(term, df)``: every term with the number of chunks that hold it."""
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def number_terms(vocab: DataFrame) -> DataFrame:
@@ -70,16 +60,22 @@ def number_terms(vocab: DataFrame) -> DataFrame:
     return ranked.withColumn("term_id", F.col("__rn").cast("int")).drop("__rn")
 
 
-def restrict_to_vocabulary(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = None,
-                           n: int | None = None) -> DataFrame:
-    """Keep only vocabulary terms and attach their integer ``term_id``.
-
-    A small vocabulary (counted) is broadcast and the chunk partitioning of
-    ``counts`` is kept.  A large one is joined by shuffle (hot terms are split
-    by AQE) and the result is hash-partitioned on the chunk key again."""
-    rows = vocab.count() if vocab_rows is None else vocab_rows
+def restrict_to_vocabulary(rows: DataFrame, vocab: DataFrame, size: tuple[int, float] | None = None) -> DataFrame:
+    """Keep only vocabulary terms and attach their ``term_id``.  A vocabulary of
+    measured small size is broadcast; a larger one is joined by shuffle, where
+    adaptive execution splits the hot terms."""
     v = vocab.select("term", "term_id")
-    if fits_broadcast(rows, row_bytes=48):
-        return counts.join(F.broadcast(v), "term", "inner")
-    out = counts.join(v, "term", "inner")
-    return out.repartition(n or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *CHUNK_KEY)
+    small = fits_broadcast(*(size or measure(v, "term")))
+    return rows.join(F.broadcast(v) if small else v, "term", "inner")
+
+
+def feature_store(chunked: DataFrame, vocab: DataFrame, n: int, carry: list[str], size: tuple[int, float] | None = None,
+                  partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """The stored training table, one row per chunk: ``CHUNK_KEY + carry +
+    [feats]`` with ``feats`` the chunk's ``array<struct<term_id, tf>>`` (null
+    without a known term), bucketed on the chunk key."""
+    known = restrict_to_vocabulary(term_rows(chunked), vocab, size)
+    # a chunk's terms are bounded by its own text
+    feats = known.groupBy(*CHUNK_KEY).agg(F.collect_list(F.struct("term_id", "tf")).alias("feats"))
+    joined = chunked.select(*CHUNK_KEY, *carry).join(feats, CHUNK_KEY, "left")
+    return store_bucketed(joined, n, CHUNK_KEY, partition_by)

@@ -31,9 +31,9 @@ def label_from_rationales(size) -> Column:
     return (_c(size) > 0).cast("int")
 
 
-def label_from_conclusion(conclusion) -> Column:
-    """0 (non-violation) when the conclusion reads 'inadmissible' in any case, else 1."""
-    return F.when(F.lower(_c(conclusion)) == F.lit("inadmissible"), 0).otherwise(1).cast("int")
+def label_from_conclusion(conclusion, word: str = "inadmissible") -> Column:
+    """0 (non-violation) when the conclusion reads ``word`` in any case, else 1."""
+    return F.when(F.lower(_c(conclusion)) == F.lit(word.lower()), 0).otherwise(1).cast("int")
 
 
 def rename_cast_label(df: DataFrame, src: str = "label", dst: str = "labels", to: str | None = "string") -> DataFrame:

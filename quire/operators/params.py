@@ -43,26 +43,32 @@ def model_factors(params: DataFrame, model_col: str = "model_id", group_cols: Se
     if weights is None:
         f = f.withColumn("__w", F.lit(1.0))
     else:
-        spark = params.sparkSession
-        if isinstance(weights, DataFrame):
-            wdf = weights.select(F.col(weights.columns[0]).alias(model_col), F.col(weights.columns[1]).alias("__w"))
-            f = f.join(wdf, model_col, "left")
-        else:
-            ids = [r[0] for r in models.select(model_col).distinct().orderBy(model_col).collect()]
-            if isinstance(weights, Mapping):
-                pairs = [(m, float(weights[m])) for m in ids]
-            else:
-                if len(weights) != len(ids):
-                    raise ValueError(f"Number of average weights ({len(weights)}) does not match "
-                                     f"number of models ({len(ids)})")
-                pairs = list(zip(ids, map(float, weights)))
-            wdf = spark.createDataFrame(pairs, f"{model_col} {dict(models.dtypes)[model_col]}, __w double")
-            f = f.join(F.broadcast(wdf), model_col, "left")
+        f = f.join(_weight_table(models, model_col, weights), model_col)
     first_w = F.col("__w") if apply_first_weight else F.lit(1.0)
     factor = F.when(F.col(model_col) == F.col("__first"), first_w).otherwise(F.col("__w")) / F.col("__n")
     return f.select(*g, model_col, factor.alias("__factor"))
 
 
+def _weight_table(models: DataFrame, model_col: str, weights) -> DataFrame:
+    """``(model_col, __w)``, one row per model; raises unless the weights name exactly the models."""
+    ids = models.select(model_col).distinct()
+    if isinstance(weights, DataFrame):
+        w = weights.select(F.col(weights.columns[0]).alias(model_col), F.col(weights.columns[1]).cast("double").alias("__w"))
+        odd = ids.withColumn("__m", F.lit(1)).join(w, model_col, "full").where("__m IS NULL OR __w IS NULL")
+        if not odd.isEmpty():
+            raise ValueError(f"no one-to-one weights for the models, e.g. {odd.first()[model_col]!r}")
+        return w
+    # compared before anything is collected: a list of weights bounds the number of models
+    n = ids.count()
+    if n != len(weights):
+        raise ValueError(f"{len(weights)} weights for {n} models")
+    names = [r[0] for r in ids.orderBy(model_col).collect()]
+    if isinstance(weights, Mapping) and set(weights) != set(names):
+        raise ValueError(f"weights for {sorted(weights)}, models {names}")
+    pairs = [(m, float(weights[m])) for m in names] if isinstance(weights, Mapping) else list(zip(names, map(float, weights)))
+    return F.broadcast(models.sparkSession.createDataFrame(pairs, f"{model_col} {dict(models.dtypes)[model_col]}, __w double"))
+
+
 def average_models(params: DataFrame, key_cols: Sequence[str], value_cols: Sequence[str],
                    model_col: str = "model_id", group_cols: Sequence[str] = (), weights=None,
                    apply_first_weight: bool = False, factors_rows: int | None = None) -> DataFrame:
@@ -73,7 +79,8 @@ def average_models(params: DataFrame, key_cols: Sequence[str], value_cols: Seque
     """
     factors = model_factors(params, model_col, group_cols, weights, apply_first_weight)
     params, g = _group(params, group_cols)
-    factors = broadcast_if_small(factors, factors_rows, row_bytes=48)
+    if factors_rows is not None:  # otherwise the planner decides, without a job to count
+        factors = broadcast_if_small(factors, factors_rows, 48)
     joined = params.join(factors, [*g, model_col])
     out = joined.groupBy(*g, *key_cols).agg(*[F.sum(F.col(v) * F.col("__factor")).alias(v) for v in value_cols])
     return out.drop("__g") if not group_cols else out
@@ -93,7 +100,7 @@ def check_compatible(params: DataFrame, key_cols: Sequence[str], model_col: str
 def assert_compatible(params: DataFrame, key_cols: Sequence[str], model_col: str = "model_id",
                       group_cols: Sequence[str] = ()) -> None:
     if not check_compatible(params, key_cols, model_col, group_cols).isEmpty():
-        raise ValueError("Models do not fit for fusing: parameter keys differ between models")
+        raise ValueError("parameters are missing in some models; only models with equal keys can be averaged")
 
 
 def fuse_into(base: DataFrame, averaged: DataFrame, key_cols: Sequence[str], value_cols: Sequence[str],

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import argmax_first, names
-from quire.operators.encoding import decode_labels
+from quire.operators.metrics import metrics
 from quire.operators.train import chunk_logits, with_probs
 
 
-def score_chunks(samples: DataFrame, features: DataFrame, params: DataFrame, k: int,
-                 body_rows: int | None = None) -> DataFrame:
+def score_chunks(chunks: DataFrame, params: DataFrame, k: int, body_rows: int | None = None) -> DataFrame:
     """Raw class scores ``l_0..l_{k-1}`` per chunk (chunks with no known term keep their row)."""
-    return chunk_logits(samples, features, params, k, body_rows)
+    return chunk_logits(chunks, params, k, body_rows)
 
 
 def chunk_softmax(logits: DataFrame, k: int) -> DataFrame:
@@ -31,14 +30,6 @@ def doc_argmax(doc_probs: DataFrame, k: int, out: str = "prediction_idx") -> Dat
     return doc_probs.withColumn(out, argmax_first([F.col(p) for p in names("p", k)]))
 
 
-def predict_documents(samples: DataFrame, features: DataFrame, params: DataFrame, label_map: DataFrame, k: int,
-                      body_rows: int | None = None) -> DataFrame:
-    """``(doc_id, p_0..p_{k-1}, prediction_idx, prediction)``."""
-    probs = chunk_softmax(score_chunks(samples, features, params, k, body_rows), k)
-    docs = doc_argmax(doc_mean_probs(probs, k), k)
-    return decode_labels(docs, label_map, "prediction_idx", "prediction", k)
-
-
 def attach_gold(docs: DataFrame, gold: DataFrame, doc_col: str = "doc_id", gold_col: str = "label",
                 out: str = "gold") -> DataFrame:
     """Look up each document's raw label (inner equi-join on the document id)."""
@@ -66,6 +57,15 @@ def doc_max_vote(df: DataFrame, doc_col: str = "doc_id", pred_col: str = "predic
     return df.groupBy(doc_col).agg(F.max(pred_col).alias(pred_col))
 
 
+def label_voting(answers: DataFrame, gold: DataFrame, text_col: str = "generated", doc_col: str = "doc_id",
+                 gold_col: str = "gold") -> DataFrame:
+    """Several generated answers per document to metrics: answers that are no integer
+    are dropped, the largest one wins, documents without a valid answer or a gold
+    label are left out."""
+    votes = doc_max_vote(parse_generated(answers, text_col), doc_col)
+    return metrics(votes.join(gold.select(doc_col, F.col(gold_col).alias("gold")), doc_col), "gold", "prediction")
+
+
 def binary_threshold(p0: Column | str, p1: Column | str) -> Column:
     """Class 1 when ``p0 <= p1`` (a tie goes to class 1)."""
     p0 = F.col(p0) if isinstance(p0, str) else p0

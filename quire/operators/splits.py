@@ -21,18 +21,23 @@ def split_key(doc_col: str = "doc_id", seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(doc_col).cast("string")))
 
 
+def key_bits(doc_col: str = "doc_id", seed: int = DEFAULT_SEED) -> Column:
+    """The first 32 bits of the split key as a number."""
+    return F.conv(F.substring(split_key(doc_col, seed), 1, 8), 16, 10).cast("long")
+
+
 def hash_bucket(doc_col: str = "doc_id", seed: int = DEFAULT_SEED, buckets: int = 1000) -> Column:
     """Bucket 0..buckets-1 from the first 32 bits of the split key."""
-    return (F.conv(F.substring(split_key(doc_col, seed), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+    return (key_bits(doc_col, seed) % buckets).cast("int")
 
 
 def hash_split(df: DataFrame, frac: float, seed: int = DEFAULT_SEED, doc_col: str = "doc_id",
                first: str = "train", second: str = "test", split_col: str = "split",
                where: Column | None = None) -> DataFrame:
-    """Approximate split in one narrow pass: a row goes to ``second`` when its
-    per-mille bucket is below ``1000 * frac``.  Only rows matching ``where``
-    (default all) are reassigned."""
-    to_second = hash_bucket(doc_col, seed) < int(round(1000 * frac))
+    """Approximate split in one narrow pass: a row goes to ``second`` when the
+    first 32 bits of its key are below ``frac * 2**32``.  Only rows matching
+    ``where`` (default all) are reassigned."""
+    to_second = key_bits(doc_col, seed) < math.ceil(frac * 2 ** 32)
     new = F.when(to_second, F.lit(second)).otherwise(F.lit(first))
     return _assign(df, new, split_col, where)
 
@@ -137,6 +142,3 @@ def split_recipe(df: DataFrame, name: str, seed: int = DEFAULT_SEED, doc_col: st
             df = hash_split(df, frac, seed, doc_col, part, second, split_col, where)
     return df
 
-
-def exact_ceil(n: int, frac: float) -> int:
-    return math.ceil(n * frac)

@@ -1,20 +1,24 @@
 """Softmax regression over term features, trained as relational steps.
 
-State is a parameter table ``(model_id, part, param, w_0..w_{k-1})``.  One
-full-batch gradient step is: features join body weights -> per-chunk logits
-(aggregation on the chunk key, which the features are already partitioned
-by) -> softmax -> residual ``p - y`` -> residual joined back to the features
-on the chunk key (co-partitioned) -> ``sum(tf * residual)`` per (model, term)
-(partial aggregation, so hot terms combine map-side) -> ``w - lr * g / n``.
-Several models (one per region) train in the same jobs: ``model_id`` is just
-a column.  Each epoch is written to the checkpoint folder to cut lineage.
+State is a parameter table ``(model_id, part, param, param_id, w_0..w_{k-1})``;
+the head row counts as one more feature of value 1.  One full-batch gradient
+step: features joined with the weights -> per-chunk logits (aggregation on the
+chunk key) -> softmax -> residual ``p - y``, joined back to the chunk's row ->
+``sum(tf * residual)`` per (model, term), which combines in each task first.
+The residual is computed once, in the same job, and feeds body and head alike.
+
+The feature store has one row per chunk and is bucketed on the chunk key, so
+the logit aggregation and the residual join need no shuffle as long as the
+weights are small enough to broadcast; beyond that the logits join shuffles on
+(model, term) and back.  Several models (one per region) train in the same
+jobs: ``model_id`` is just a column.  Each epoch's parameters are written to
+the checkpoint folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,37 +45,24 @@ def init_params(vocab: DataFrame, model_ids: list[int], k: int) -> DataFrame:
     return body.unionByName(head)
 
 
-def _body(params: DataFrame, k: int) -> DataFrame:
-    return params.filter(F.col("part") == "body").select(
-        MODEL, F.col("param_id").alias("term_id"), F.col("param").alias("term"), *names("w", k))
+def _with_head(feats: Column) -> Column:
+    """The chunk's features and the head's constant one."""
+    one = F.array(F.struct(F.lit(HEAD_ID).alias("term_id"), F.lit(1.0).alias("tf")))
+    return F.concat(one, F.coalesce(feats, F.array().cast("array<struct<term_id:int,tf:double>>")))
 
 
-def _head(params: DataFrame, k: int) -> DataFrame:
-    return params.filter(F.col("part") == "head").select(
-        MODEL, *[F.col(w).alias(b) for w, b in zip(names("w", k), names("b", k))])
-
-
-def chunk_logits(samples: DataFrame, features: DataFrame, params: DataFrame, k: int,
-                 body_rows: int | None = None, keep: list[str] | None = None) -> DataFrame:
+def chunk_logits(chunks: DataFrame, params: DataFrame, k: int, body_rows: int | None = None,
+                 keep: list[str] | None = None) -> DataFrame:
     """``CHUNK_KEY + [model_id] + keep + [l_0..l_{k-1}]``: raw class scores.
 
-    ``samples`` has one row per chunk (``CHUNK_KEY``, ``model_id`` and ``keep``
-    columns); a chunk without any known term keeps its row and scores the
-    intercept only.  The body table is broadcast only when its row count is
-    small; the head has one row per model.
-    """
+    ``chunks`` has one row per chunk (``CHUNK_KEY``, ``model_id``, ``feats`` and
+    ``keep``); a chunk without any known term scores the intercept only."""
     keep = list(keep or [])
-    body = broadcast_if_small(_body(params, k).drop("term"), body_rows, row_bytes=24 + 8 * k)
-    dots = (features.select(*CHUNK_KEY, MODEL, "term_id", "tf").join(body, [MODEL, "term_id"])
-            .groupBy(*CHUNK_KEY, MODEL)
-            .agg(*[F.sum(F.col("tf") * F.col(w)).alias(s) for w, s in zip(names("w", k), names("s", k))]))
-    head = F.broadcast(_head(params, k))
-    # both sides are partitioned by chunk key: a hash join needs no exchange and no sort
-    scored = (samples.select(*CHUNK_KEY, MODEL, *keep).join(dots.drop(MODEL).hint("shuffle_hash"), CHUNK_KEY, "left")
-              .join(head, MODEL, "left"))
-    logits = [(F.coalesce(F.col(s), F.lit(0.0)) + F.coalesce(F.col(b), F.lit(0.0))).alias(l)
-              for s, b, l in zip(names("s", k), names("b", k), names("l", k))]
-    return scored.select(*CHUNK_KEY, MODEL, *keep, *logits)
+    w = params.select(MODEL, F.col("param_id").alias("term_id"), *names("w", k))
+    w = broadcast_if_small(w, body_rows, 24 + 8 * k)
+    rows = chunks.select(*CHUNK_KEY, MODEL, *keep, F.inline(_with_head(F.col("feats"))))
+    return (rows.join(w, [MODEL, "term_id"]).groupBy(*CHUNK_KEY, MODEL, *keep)
+            .agg(*[F.sum(F.col("tf") * F.col(c)).alias(l) for c, l in zip(names("w", k), names("l", k))]))
 
 
 def with_probs(logits: DataFrame, k: int) -> DataFrame:
@@ -81,71 +72,39 @@ def with_probs(logits: DataFrame, k: int) -> DataFrame:
     return logits.select(*others, *[p.alias(n) for p, n in zip(probs, names("p", k))])
 
 
-def _onehot(label_idx: Column, c: int) -> Column:
-    return F.when(label_idx == c, 1.0).otherwise(0.0)
-
+def gradient(params: DataFrame, chunks: DataFrame, k: int, body_rows: int | None = None) -> DataFrame:
+    """``(model_id, param_id, g_0..g_{k-1})``: summed gradient of the cross-entropy.
 
-def _as_params(body: DataFrame, head: DataFrame, k: int) -> DataFrame:
-    b = body.select(MODEL, F.lit("body").alias("part"), F.col("term").alias("param"),
-                    F.col("term_id").alias("param_id"), *names("w", k))
-    h = head.select(MODEL, F.lit("head").alias("part"), F.lit("bias").alias("param"), F.lit(HEAD_ID).alias("param_id"),
-                    *[F.col(b_).alias(w) for b_, w in zip(names("b", k), names("w", k))])
-    return b.unionByName(h)
+    ``chunks``: ``CHUNK_KEY, model_id, label_idx`` (non-null), ``feats``.  One job:
+    the store is scanned for the logits and met again, bucket by bucket, by the
+    residuals (one row per chunk on either side)."""
+    probs = with_probs(chunk_logits(chunks, params, k, body_rows, ["label_idx"]), k)
+    resid = probs.select(*CHUNK_KEY, *[(F.col(p) - F.when(F.col("label_idx") == c, 1.0).otherwise(0.0)).alias(e)
+                                       for c, (p, e) in enumerate(zip(names("p", k), names("e", k)))])
+    rows = chunks.select(*CHUNK_KEY, MODEL, "feats").join(resid, CHUNK_KEY).select(
+        MODEL, *names("e", k), F.inline(_with_head(F.col("feats"))))
+    return rows.groupBy(MODEL, F.col("term_id").alias("param_id")).agg(
+        *[F.sum(F.col("tf") * F.col(e)).alias(g) for e, g in zip(names("e", k), names("g", k))])
 
 
-def gradient_step(params: DataFrame, samples: DataFrame, features: DataFrame, k: int, lr: float,
-                  body_rows: int | None = None) -> DataFrame:
+def gradient_step(params: DataFrame, chunks: DataFrame, k: int, lr: float, body_rows: int | None = None,
+                  counts: DataFrame | None = None) -> DataFrame:
     """One full-batch gradient step of mean cross-entropy for every model at once.
+    ``counts`` (model_id, n: labelled chunks) is derived when not given."""
+    n = F.broadcast(sample_counts(chunks) if counts is None else counts)  # one row per model
+    step = lambda w, g: F.col(w) - F.lit(lr) * F.coalesce(F.col(g) / F.col("n"), F.lit(0.0))
+    return (params.join(gradient(params, chunks, k, body_rows), [MODEL, "param_id"], "left").join(n, MODEL, "left")
+            .select(MODEL, "part", "param", "param_id", *[step(w, g).alias(w) for w, g in zip(names("w", k), names("g", k))]))
+
+
+def sample_counts(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy(MODEL).agg(F.count(F.lit(1)).alias("n"))
+
 
-    ``samples``: ``CHUNK_KEY, model_id, label_idx`` (non-null labels);
-    ``features``: ``CHUNK_KEY, model_id, term_id, tf``.  The per-chunk residual
-    is computed once and kept (memory, then disk) for the body gradient, the
-    head gradient and the per-model sample count.
-    """
-    probs = with_probs(chunk_logits(samples, features, params, k, body_rows, keep=["label_idx"]), k)
-    resid = probs.select(*CHUNK_KEY, MODEL,
-                         *[(F.col(p) - _onehot(F.col("label_idx"), c)).alias(e)
-                           for c, (p, e) in enumerate(zip(names("p", k), names("e", k)))])
-    resid = resid.persist(StorageLevel.MEMORY_AND_DISK)
-    head_g = resid.groupBy(MODEL).agg(F.count(F.lit(1)).alias("n"),
-                                      *[F.sum(e).alias(g) for e, g in zip(names("e", k), names("gh", k))])
-    body_g = (features.select(*CHUNK_KEY, "term_id", "tf").join(resid.hint("shuffle_hash"), CHUNK_KEY)
-              .groupBy(MODEL, "term_id")
-              .agg(*[F.sum(F.col("tf") * F.col(e)).alias(g) for e, g in zip(names("e", k), names("gb", k))]))
-    n = F.broadcast(head_g)  # one row per model
-    body = (_body(params, k).join(body_g.hint("shuffle_hash"), [MODEL, "term_id"], "left").join(n, MODEL, "left")
-            .select(MODEL, "term_id", "term",
-                    *[(F.col(w) - F.lit(lr) * F.coalesce(F.col(g) / F.col("n"), F.lit(0.0))).alias(w)
-                      for w, g in zip(names("w", k), names("gb", k))]))
-    head = (_head(params, k).join(n, MODEL, "left")
-            .select(MODEL, *[(F.col(b) - F.lit(lr) * F.coalesce(F.col(g) / F.col("n"), F.lit(0.0))).alias(b)
-                             for b, g in zip(names("b", k), names("gh", k))]))
-    out = _as_params(body, head, k)
-    out._quire_resid = resid  # released by the caller once the step is materialised
-    return out
-
-
-def _release(df: DataFrame) -> None:
-    resid = getattr(df, "_quire_resid", None)
-    if resid is not None:
-        resid.unpersist()
-
-
-def materialise_step(step: DataFrame, k: int) -> DataFrame:
-    """Write one epoch's parameters (body and head) to the checkpoint folder."""
-    body = cut_lineage(_body(step, k))
-    head = cut_lineage(_head(step, k))
-    _release(step)
-    return _as_params(body, head, k)
-
-
-def mean_loss(params: DataFrame, samples: DataFrame, features: DataFrame, k: int,
-              body_rows: int | None = None) -> DataFrame:
-    """``(model_id, n, loss)``: mean cross-entropy of the labelled samples."""
-    probs = with_probs(chunk_logits(samples, features, params, k, body_rows, keep=["label_idx"]), k)
-    p_true = F.lit(None).cast("double")
-    for c, p in enumerate(names("p", k)):
-        p_true = F.when(F.col("label_idx") == c, F.col(p)).otherwise(p_true)
+def mean_loss(params: DataFrame, chunks: DataFrame, k: int, body_rows: int | None = None) -> DataFrame:
+    """``(model_id, n, loss)``: mean cross-entropy of the labelled chunks."""
+    probs = with_probs(chunk_logits(chunks, params, k, body_rows, ["label_idx"]), k)
+    p_true = F.get(F.array(*[F.col(p) for p in names("p", k)]), F.col("label_idx"))
     nll = -F.log(F.greatest(p_true, F.lit(1e-300)))
     return probs.groupBy(MODEL).agg(F.count(F.lit(1)).alias("n"), F.avg(nll).alias("loss"))
 
@@ -157,48 +116,34 @@ class FitResult:
     best_epoch: dict = field(default_factory=dict)
 
 
-def fit(params: DataFrame, samples: DataFrame, features: DataFrame, k: int, lr: float, epochs: int,
-        dev_samples: DataFrame | None = None, dev_features: DataFrame | None = None,
+def fit(params: DataFrame, chunks: DataFrame, k: int, lr: float, epochs: int, dev_chunks: DataFrame | None = None,
         body_rows: int | None = None) -> FitResult:
     """``epochs`` gradient steps; with a dev set each model keeps the epoch of
-    lowest dev loss (the best-model rule of evaluation during training).
-    Rows without a label index are left out."""
-    samples = samples.filter(F.col("label_idx").isNotNull())
-    features = features.filter(F.col("label_idx").isNotNull())
+    lowest dev loss (the best-model rule of evaluation during training).  A
+    model without labelled dev chunks keeps its last epoch.  Rows without a
+    label index are left out."""
     spark = params.sparkSession
-    params = _as_params(cut_lineage(_body(params, k)), cut_lineage(_head(params, k)), k)
+    chunks = chunks.filter(F.col("label_idx").isNotNull())
+    current = cut_lineage(params)
+    counts = cut_lineage(sample_counts(chunks))
+    models = sorted(r[0] for r in current.select(MODEL).distinct().collect())  # one row per model
     per_epoch: list[DataFrame] = []
-    hist: list[tuple[int, int, float | None]] = []
-    current = params
+    losses: dict[int, dict[int, float]] = {m: {} for m in models}
     for epoch in range(1, epochs + 1):
-        current = materialise_step(gradient_step(current, samples, features, k, lr, body_rows), k)
+        current = cut_lineage(gradient_step(current, chunks, k, lr, body_rows, counts))
         per_epoch.append(current)
-        if dev_samples is not None:
-            ds = dev_samples.filter(F.col("label_idx").isNotNull())
-            df_ = dev_features.filter(F.col("label_idx").isNotNull())
-            for r in mean_loss(current, ds, df_, k, body_rows).collect():  # one row per model
-                hist.append((int(r[MODEL]), epoch, float(r["loss"])))
-    if dev_samples is None or not hist:
-        result = current
-        model_ids = [r[0] for r in current.select(MODEL).distinct().collect()]
-        hist = [(m, e, None) for m in model_ids for e in range(1, epochs + 1)]
-        best = {m: epochs for m in model_ids}
-    else:
-        # lowest dev loss per model; the earlier epoch wins a tie
-        best_loss: dict = {}
-        best = {}
-        for m, e, loss in hist:
-            if m not in best_loss or loss < best_loss[m]:
-                best_loss[m], best[m] = loss, e
-        parts = []
-        for e, p in enumerate(per_epoch, start=1):
-            ms = [m for m, be in best.items() if be == e]
-            if ms:
-                parts.append(p.filter(F.col(MODEL).isin(ms)))
-        result = parts[0]
-        for p in parts[1:]:
-            result = result.unionByName(p)
+        if dev_chunks is not None:
+            for r in mean_loss(current, dev_chunks.filter(F.col("label_idx").isNotNull()), k, body_rows).collect():
+                losses[r[MODEL]][epoch] = float(r["loss"])
+    # lowest dev loss per model; the earlier epoch wins a tie
+    best = {m: min(told, key=lambda e: (told[e], e)) if told else epochs for m, told in losses.items()}
+    result = current.limit(0) if per_epoch else current
+    for e, p in enumerate(per_epoch, start=1):
+        kept = [m for m, b in best.items() if b == e]
+        if kept:
+            part = p.filter(F.col(MODEL).isin(kept))
+            result = part if len(kept) == len(models) else result.unionByName(part)
     history = spark.createDataFrame(
-        [(m, e, loss, best.get(m) == e) for m, e, loss in hist],
+        [(m, e, losses[m].get(e), best[m] == e) for m in models for e in range(1, epochs + 1)],
         "model_id int, epoch int, dev_loss double, best boolean")
     return FitResult(result, history, best)

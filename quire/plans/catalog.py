@@ -8,20 +8,22 @@ once per session however many of them are requested.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import names
 from quire.functions.joins import broadcast_if_small
-from quire.operators.features import partitions_for
+from quire.operators.features import partitions_for, restrict_to_vocabulary, term_rows
 from quire.functions.text import char_tokens, flatten_whitespace, word_tokens
 from quire.operators import labels as L
 from quire.operators import stats as S
-from quire.operators.chunking import build_vocabulary, chunk_documents, region_view, token_windows
+from quire.operators.chunking import build_vocabulary, chunk_documents, chunk_paragraphs, region_view, token_windows
 from quire.operators.encoding import decode_labels, sorted_encoder
 from quire.operators.metrics import confusion, fold_summary, metrics, per_label
 from quire.operators.params import FUSED_ID, average_models, check_compatible, fuse_models
-from quire.operators.score import binary_threshold, doc_max_vote, parse_generated
+from quire.operators.score import binary_threshold, doc_max_vote, label_voting, parse_generated
 from quire.operators.splits import exact_split, hash_bucket, hash_split, split_recipe
 from quire.operators.training_sets import TASK_NAME, prediction_prompt, prompt_rows, region_training_set, union_regions
 from quire.operators.train import fit, init_params
@@ -31,11 +33,11 @@ from quire.session import table
 R = 6  # decimals kept for floating results
 
 # Configuration of the registered pipeline queries (fixed values).
-PIPE_CFG = FusedConfig(label_col="lang", recipe="news", n_regions=3, max_tokens=400, min_df=2,
+PIPE_CFG = FusedConfig(label_col="lang", recipe="news", n_regions=3, max_tokens=400,
                        epochs=2, lr=8.0, finetune_epochs=2, finetune_lr=8.0)
-BASELINE_CFG = FusedConfig(label_col="lang", recipe="news", n_regions=1, max_tokens=None, min_df=2,
+BASELINE_CFG = FusedConfig(label_col="lang", recipe="news", n_regions=1, max_tokens=None,
                            epochs=2, lr=8.0, finetune_epochs=0, finetune_lr=8.0)
-BINARY_CFG = FusedConfig(label_col="quality", recipe="news", n_regions=3, max_tokens=400, min_df=2,
+BINARY_CFG = FusedConfig(label_col="quality", recipe="news", n_regions=3, max_tokens=400,
                          epochs=2, lr=8.0, finetune_epochs=2, finetune_lr=8.0)
 N_FOLDS = 5
 
@@ -43,15 +45,18 @@ _PLANS: dict = {}
 
 
 def _plan(spark: SparkSession, sf_dir: str, cfg: FusedConfig, corpus: str = "documents") -> FusedPlan:
-    key = (id(spark), sf_dir, cfg, corpus)
+    """One plan per application, configuration and state of the input files: when the files
+    change, so do their names or their total size, and a new plan is built."""
+    docs = table(spark, sf_dir, "documents")
+    files = hashlib.sha256("\n".join(sorted(docs.inputFiles())).encode()).hexdigest()
+    size = str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    key = (spark.sparkContext.applicationId, files, size, cfg, corpus)
     plan = _PLANS.get(key)
-    if plan is None or plan.docs.sparkSession is not spark or spark.sparkContext._jsc is None:
-        docs = table(spark, sf_dir, "documents")
+    if plan is None or plan.docs.sparkSession is not spark:
         n_parts = partitions_for(docs)
         if corpus == "labelled":
             docs = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-        plan = FusedPlan(docs, cfg, n_parts)
-        _PLANS[key] = plan
+        plan = _PLANS[key] = FusedPlan(docs, cfg, n_parts)
     return plan
 
 
@@ -129,7 +134,7 @@ def q_long_doc_counts(spark, d):
 
 def q_conclusion_label(spark, d):
     docs = table(spark, d, "documents")
-    return S.class_counts(docs.select(L.label_from_conclusion("source").alias("label")))
+    return S.class_counts(docs.select(L.label_from_conclusion("source", "SRC0").alias("label")))
 
 
 # -- splits and label map ------------------------------------------------------------------
@@ -154,7 +159,8 @@ def q_label_map(spark, d):
 
 def q_encode_labels(spark, d):
     p = _plan(spark, d, PIPE_CFG)
-    return p.chunk_index.filter((F.col("region") == 0) & (F.col("sub") == 0)).select("doc_id", "split", "label", "label_idx")
+    idx = F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label_idx"))
+    return p.encoded.select("doc_id", "split", "label", idx.alias("label_idx"))
 
 
 def q_decode_labels(spark, d):
@@ -170,9 +176,9 @@ def q_sorted_encoder(spark, d):
 
 # -- chunking and training sets ------------------------------------------------------------------
 
-def _doc_chunks(spark, d):
+def _doc_chunks(spark, d, only_region=None):
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    return chunk_documents(docs, "text", 3, 400, "word", keep=["doc_id", "label"])
+    return chunk_documents(docs, "text", 3, 400, "word", keep=["doc_id", "label"], only_region=only_region)
 
 
 def q_region_chunks(spark, d):
@@ -180,7 +186,7 @@ def q_region_chunks(spark, d):
 
 
 def q_region_view(spark, d):
-    return region_view(_doc_chunks(spark, d), 1)
+    return region_view(_doc_chunks(spark, d, 1), 1)
 
 
 def q_token_windows(spark, d):
@@ -202,8 +208,7 @@ def q_prompt_rows(spark, d):
 
 def q_term_features(spark, d):
     p = _plan(spark, d, PIPE_CFG)
-    v = broadcast_if_small(p.vocab.select("term_id", "term"), p.vocab_rows, row_bytes=48)
-    f = p.features.join(v, "term_id")
+    f = restrict_to_vocabulary(term_rows(p.terms), p.vocab, p.vocab_size)
     return _round_all(f.select("doc_id", "region", "sub", "term", "cnt", "tf"), ["tf"])
 
 
@@ -249,11 +254,10 @@ def q_check_compatible(spark, d):
     # region models as if each kept only the terms its own training chunks saw
     p = _plan(spark, d, PIPE_CFG)
     local = (p.features.filter(F.col("split") == "train")
-             .select(F.col("region").alias("model_id"), F.lit("body").alias("part"), F.col("term_id").alias("param_id"))
+             .select(F.col("region").alias("model_id"), F.lit("body").alias("part"), F.explode("feats.term_id").alias("param_id"))
              .distinct())
     bad = check_compatible(local, ["part", "param_id"])
-    v = broadcast_if_small(p.vocab.select(F.col("term_id").alias("param_id"), F.col("term").alias("param")),
-                           p.vocab_rows, row_bytes=48)
+    v = broadcast_if_small(p.vocab.select(F.col("term_id").alias("param_id"), F.col("term").alias("param")), *p.vocab_size)
     return bad.join(v, "param_id").select("part", "param", "n_models", "n_with_key")
 
 
@@ -371,10 +375,33 @@ def q_untrained_metrics(spark, d):
     return _round_all(p.metrics(p.base), _MET)
 
 
+def _answers(spark, d) -> DataFrame:
+    """Answers to vote on, derived from both labels of each document: as they stand, padded,
+    signed, and some that are no integer; documents marked toxic give no valid answer for quality."""
+    q, t = F.col("quality").cast("string"), F.col("toxic").cast("string")
+    told = F.array(F.when(F.col("toxic") == 0, F.concat(F.lit(" "), q)).otherwise(F.concat(q, F.lit(".0"))),
+                   F.concat(F.lit("+"), t), F.lit("label"), F.concat(q, F.lit(" of "), t))
+    return table(spark, d, "labels").select("doc_id", F.posexplode(told).alias("sample", "generated"))
+
+
 def q_vote_metrics(spark, d):
-    votes = doc_max_vote(parse_generated(_generated(spark, d)))
     gold = table(spark, d, "labels").select("doc_id", F.col("quality").alias("gold"))
-    return _round_all(metrics(votes.join(gold, "doc_id"), "gold", "prediction"), _MET)
+    return _round_all(label_voting(_answers(spark, d), gold), _MET)
+
+
+def q_paragraph_chunks(spark, d):
+    conv = table(spark, d, "conversations")
+    return chunk_paragraphs(conv, "conv_id", "turn", "text", 3, 400)
+
+
+def q_fuse_stored(spark, d):
+    """Model fusing over parameter tables: every embedding label is one stored model."""
+    e = table(spark, d, "embeddings").select(
+        F.col("label").cast("int").alias("model_id"), F.lit("body").alias("part"), F.posexplode("embedding").alias("param_id", "w_0"))
+    models = e.groupBy("model_id", "part", "param_id").agg(F.avg(F.col("w_0").cast("double")).alias("w_0"))
+    models = models.withColumn("param", F.col("param_id").cast("string"))
+    base = models.filter(F.col("model_id") == 0).withColumn("w_0", F.lit(0.0))
+    return _round_all(fuse_models(base, models, 1).select("model_id", "part", "param", "w_0"), ["w_0"])
 
 
 QUERIES = {
@@ -433,4 +460,6 @@ QUERIES = {
     "untrained_docs": q_untrained_docs,
     "baseline_metrics": q_baseline_metrics,
     "untrained_metrics": q_untrained_metrics,
+    "paragraph_chunks": q_paragraph_chunks,
+    "fuse_stored": q_fuse_stored,
 }

@@ -8,6 +8,8 @@ long pipeline chains stay readable.
 
 from __future__ import annotations
 
+import math
+
 from quire.plans.catalog import BASELINE_CFG, BINARY_CFG, N_FOLDS, PIPE_CFG, R
 from quire.plans.pipelines import FusedConfig
 from quire.operators.splits import GIVEN, RECIPES
@@ -56,6 +58,10 @@ def bucket_sql(seed: int = 777, buckets: int = 1000, col: str = "doc_id") -> str
     return f"CAST((('0x' || substr({key_sql(seed, col)}, 1, 8))::UBIGINT % {buckets}) AS INTEGER)"
 
 
+def bits_sql(seed: int = 777, col: str = "doc_id") -> str:
+    return f"('0x' || substr({key_sql(seed, col)}, 1, 8))::UBIGINT"
+
+
 def exact_step(q: Sql, src: str, part: str, second: str, frac: float) -> str:
     return q.add(f"""SELECT * EXCLUDE (split),
   CASE WHEN split = '{part}' AND row_number() OVER (PARTITION BY split ORDER BY __k)
@@ -65,7 +71,7 @@ FROM {src}""")
 
 def hash_step(q: Sql, src: str, part: str, second: str, frac: float, seed: int = 777) -> str:
     return q.add(f"""SELECT * EXCLUDE (split),
-  CASE WHEN split = '{part}' AND {bucket_sql(seed)} < {int(round(1000 * frac))} THEN '{second}' ELSE split END AS split
+  CASE WHEN split = '{part}' AND {bits_sql(seed)} < {math.ceil(frac * 2 ** 32)} THEN '{second}' ELSE split END AS split
 FROM {src}""")
 
 
@@ -137,7 +143,7 @@ FROM {self.split} s LEFT JOIN {self.label_map} m ON s.label = m.label""")
         self.chunks = chunk_sql(q, enc, ["doc_id", "split", "label", "label_idx"], cfg.n_regions, cfg.max_tokens,
                                 cfg.unit)
         counts = term_counts_sql(q, self.chunks, ["split", "label_idx"])
-        self.vocab = q.add(f"SELECT term FROM {counts} WHERE split = 'train' GROUP BY term HAVING count(*) >= {cfg.min_df}",
+        self.vocab = q.add(f"SELECT term FROM {counts} WHERE split = 'train' GROUP BY term",
                            "vocab")
         self.features = q.add(f"SELECT * FROM {counts} WHERE term IN (SELECT term FROM {self.vocab})", "features")
         self._memo: dict = {}
@@ -386,12 +392,15 @@ def _generated(p: PlanSql) -> str:
   unnest(string_split(chunk, ' ')) AS generated FROM {p.chunks} WHERE split = 'test'""")
 
 
-def _parsed(p: PlanSql) -> str:
-    g = _generated(p)
-    return p.q.add(rf"""SELECT * FROM (SELECT doc_id, region, sub, sample,
+def _integers(q: Sql, src: str, keep: str) -> str:
+    return q.add(rf"""SELECT * FROM (SELECT {keep},
   CASE WHEN regexp_full_match(generated, '\s*[+-]?[0-9]+(_[0-9]+)*\s*')
        THEN TRY_CAST(replace(regexp_replace(generated, '^\s+|\s+$', '', 'g'), '_', '') AS BIGINT) END AS prediction
-FROM {{g}}) WHERE prediction IS NOT NULL""".replace("{g}", g))
+FROM {src}) WHERE prediction IS NOT NULL""")
+
+
+def _parsed(p: PlanSql) -> str:
+    return _integers(p.q, _generated(p), "doc_id, region, sub, sample")
 
 
 def _votes(p: PlanSql) -> str:
@@ -420,9 +429,9 @@ FROM conversations GROUP BY conv_id"""
     o["chunk_histogram"] = f"""SELECT CAST({WORDS} // 510 + 1 AS INTEGER) AS n_chunks, count(*) AS n_docs FROM documents GROUP BY 1"""
     o["long_doc_counts"] = f"""SELECT CAST(max(n) AS INTEGER) AS max_words, CAST(sum(CASE WHEN n > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS over_2000,
   CAST(sum(CASE WHEN n > 5000 THEN 1 ELSE 0 END) AS BIGINT) AS over_5000 FROM (SELECT {WORDS} AS n FROM documents)"""
-    o["conclusion_label"] = """SELECT CAST(CASE WHEN lower(source) = 'inadmissible' THEN 0 ELSE 1 END AS INTEGER) AS label, count(*) AS n
+    o["conclusion_label"] = """SELECT CAST(CASE WHEN lower(source) = 'src0' THEN 0 ELSE 1 END AS INTEGER) AS label, count(*) AS n
 FROM documents GROUP BY 1"""
-    o["hash_split"] = f"SELECT doc_id, CASE WHEN {bucket_sql()} < 200 THEN 'test' ELSE 'train' END AS split FROM documents"
+    o["hash_split"] = f"SELECT doc_id, CASE WHEN {bits_sql()} < {math.ceil(0.2 * 2 ** 32)} THEN 'test' ELSE 'train' END AS split FROM documents"
     o["exact_split"] = f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {key_sql()}) <= ceil(count(*) OVER () * {dbl(0.2)})
   THEN 'test' ELSE 'train' END AS split FROM documents"""
     for name in ("news", "cases", "crisis", "paragraph", "flagged"):
@@ -521,10 +530,19 @@ WHERE n_with_key < (SELECT count(DISTINCT model_id) FROM {loc})""")
     o["fused_documents"] = p.q.render(f"SELECT doc_id, prediction, gold FROM {p.with_gold(p.finetune_fit()[0])}")
     p = _pipe()
     o["fuse_only_metrics"] = metrics_final(p.q, p.with_gold(p.fused()))
-    p = _pipe()
-    v = _votes(p)
-    j = p.q.add(f"SELECT v.doc_id, v.prediction, l.quality AS gold FROM {v} v JOIN labels l ON l.doc_id = v.doc_id")
-    o["vote_metrics"] = metrics_final(p.q, j)
+    q = Sql()
+    ans = q.add("""SELECT doc_id, unnest([CASE WHEN toxic = 0 THEN ' ' || quality ELSE quality || '.0' END, '+' || toxic, 'label',
+  quality || ' of ' || toxic]) AS generated FROM labels""")
+    votes = q.add(f"SELECT doc_id, max(prediction) AS prediction FROM {_integers(q, ans, 'doc_id')} GROUP BY doc_id")
+    j = q.add(f"SELECT v.doc_id, v.prediction, l.quality AS gold FROM {votes} v JOIN labels l ON l.doc_id = v.doc_id")
+    o["vote_metrics"] = metrics_final(q, j)
+    q = Sql()
+    src = q.add("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+    o["paragraph_chunks"] = q.render(f"SELECT * FROM {chunk_sql(q, src, ['conv_id'], 3, 400, 'word')}")
+    o["fuse_stored"] = f"""WITH e AS ({emb}),
+m AS (SELECT label, pos, avg(value) AS value FROM e GROUP BY label, pos)
+SELECT CAST({FUSED_ID} AS INTEGER) AS model_id, 'body' AS part, CAST(pos AS VARCHAR) AS param, {rnd('sum(value / (SELECT count(DISTINCT label) FROM m))', 'w_0')}
+FROM m GROUP BY pos"""
 
     def baseline_params(b: PlanSql) -> str:
         return b.q.add(f"SELECT CAST({FUSED_ID} AS INTEGER) AS model_id, part, param, {', '.join(cols('w', K_LANG))} FROM {b.region_fit()[0]}")

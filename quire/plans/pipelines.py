@@ -13,20 +13,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.chunking import chunk_documents
-from quire.operators.encoding import encode_labels, fit_label_map
-from quire.operators.features import (CHUNK_KEY, number_terms, partition_chunks, partitions_for,
-                                      restrict_to_vocabulary, term_counts, term_vocabulary)
+from quire.operators.encoding import decode_labels, encode_labels, fit_label_map
+from quire.operators.features import CHUNK_KEY, chunk_terms, feature_store, number_terms, partitions_for, term_rows, term_vocabulary
 from quire.operators.metrics import metrics
 from quire.operators.params import FUSED_ID, fuse_models
 from quire.operators.score import attach_gold, chunk_softmax, doc_argmax, doc_mean_probs, score_chunks
-from quire.operators.encoding import decode_labels
 from quire.operators.splits import split_recipe
 from quire.operators.train import FitResult, fit, init_params
+from quire.functions.joins import measure
 from quire.session import cut_lineage
 
 
@@ -37,7 +35,6 @@ class FusedConfig:
     n_regions: int = 3
     max_tokens: int | None = 400
     unit: str = "word"
-    min_df: int = 2
     epochs: int = 3
     lr: float = 8.0
     finetune_epochs: int = 3
@@ -72,60 +69,47 @@ class FusedPlan:
         return self.label_map.count()
 
     @cached_property
-    def chunks(self) -> DataFrame:
-        """``doc_id, region, sub, split, label, label_idx, chunk`` partitioned by
-        chunk key (computed from the corpus when read; not stored).  Test rows
-        keep their raw label only (their index is not used)."""
-        enc = encode_labels(self.split_docs, self.label_map, "label", "label_idx", self.k)
-        enc = enc.withColumn("label_idx", F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label_idx")))
-        ch = chunk_documents(enc, "text", self.cfg.n_regions, self.cfg.max_tokens, self.cfg.unit,
-                             keep=["doc_id", "split", "label", "label_idx"])
-        return partition_chunks(ch, n=self.n_parts)
-
-    def _materialise_chunks(self) -> None:
-        """One pass over the chunk text writes two slim tables: the chunk index
-        (keys and labels, no text) and the term counts.  The chunk rows are
-        kept only while both are written, so the text is never stored twice."""
-        if "_index" in self.__dict__:
-            return
-        kept = self.chunks.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            self._index = cut_lineage(kept.drop("chunk"), keep_partitioning=True)
-            self._counts = cut_lineage(term_counts(kept, carry=["split", "label_idx"]), keep_partitioning=True)
-        finally:
-            kept.unpersist()
+    def encoded(self) -> DataFrame:
+        """The split corpus with ``label_idx`` (null for labels that train lacks)."""
+        return encode_labels(self.split_docs, self.label_map, "label", "label_idx", self.k)
 
-    @property
-    def chunk_index(self) -> DataFrame:
-        self._materialise_chunks()
-        return self._index
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """``doc_id, region, sub, split, label, label_idx, chunk``: a narrow view,
+        computed from the corpus when read.  Test rows keep their raw label only
+        (their index is not used)."""
+        enc = self.encoded.withColumn(
+            "label_idx", F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label_idx")))
+        return chunk_documents(enc, "text", self.cfg.n_regions, self.cfg.max_tokens, self.cfg.unit,
+                               keep=["doc_id", "split", "label", "label_idx"])
 
-    @property
-    def counts(self) -> DataFrame:
-        self._materialise_chunks()
-        return self._counts
+    @cached_property
+    def terms(self) -> DataFrame:
+        """The one pass over the text: each chunk's keys, labels and counted terms, stored by split."""
+        return cut_lineage(chunk_terms(self.chunks, carry=["split", "label", "label_idx"]), ("split",))
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return cut_lineage(number_terms(term_vocabulary(self.counts.filter(F.col("split") == "train"), self.cfg.min_df)))
+        """Every term of the train chunks; a term that train lacks has no parameter."""
+        return cut_lineage(number_terms(term_vocabulary(term_rows(self.terms.filter(F.col("split") == "train")))))
 
     @cached_property
+    def vocab_size(self) -> tuple[int, float]:
+        return measure(self.vocab.select("term", "term_id"), "term")
+
+    @property
     def vocab_rows(self) -> int:
-        return self.vocab.count()
+        return self.vocab_size[0]
 
     @cached_property
     def features(self) -> DataFrame:
-        # term strings stay in the vocabulary; the stored features carry the integer id
-        feats = restrict_to_vocabulary(self.counts, self.vocab, self.vocab_rows, self.n_parts).drop("term")
-        return cut_lineage(feats, keep_partitioning=True)
+        """``doc_id, region, sub, label_idx, feats, split``: one row per chunk, bucketed on its key,
+        one folder per split."""
+        return feature_store(self.terms, self.vocab, self.n_parts, ["label_idx", "split"], self.vocab_size, ("split",))
 
-    def samples(self, splits, model: Column) -> DataFrame:
-        return (self.chunk_index.filter(F.col("split").isin(list(splits)))
-                .select(*CHUNK_KEY, model.cast("int").alias("model_id"), "label_idx"))
-
-    def feats(self, splits, model: Column) -> DataFrame:
-        return (self.features.filter(F.col("split").isin(list(splits)))
-                .select(*CHUNK_KEY, model.cast("int").alias("model_id"), "label_idx", "term_id", "tf"))
+    def samples(self, split: str, model: Column) -> DataFrame:
+        return (self.features.filter(F.col("split") == split)
+                .select(*CHUNK_KEY, model.cast("int").alias("model_id"), "label_idx", "feats"))
 
     # -- models -----------------------------------------------------------
     @cached_property
@@ -133,8 +117,7 @@ class FusedPlan:
         c = self.cfg
         region = F.col("region")
         init = init_params(self.vocab, list(range(c.n_regions)), self.k)
-        return fit(init, self.samples(["train"], region), self.feats(["train"], region), self.k, c.lr, c.epochs,
-                   self.samples(["dev"], region), self.feats(["dev"], region),
+        return fit(init, self.samples("train", region), self.k, c.lr, c.epochs, self.samples("dev", region),
                    body_rows=self.vocab_rows * c.n_regions)
 
     @cached_property
@@ -152,15 +135,13 @@ class FusedPlan:
     def finetune_fit(self) -> FitResult:
         c = self.cfg
         one = F.lit(FUSED_ID)
-        return fit(self.fused, self.samples(["finetune"], one), self.feats(["finetune"], one), self.k,
-                   c.finetune_lr, c.finetune_epochs, self.samples(["dev"], one), self.feats(["dev"], one),
-                   body_rows=self.vocab_rows)
+        return fit(self.fused, self.samples("finetune", one), self.k, c.finetune_lr, c.finetune_epochs,
+                   self.samples("dev", one), body_rows=self.vocab_rows)
 
     # -- prediction -------------------------------------------------------
     def chunk_scores(self, params: DataFrame | None = None) -> DataFrame:
         p = self.finetune_fit.params if params is None else params
-        one = F.lit(FUSED_ID)
-        return score_chunks(self.samples(["test"], one), self.feats(["test"], one), p, self.k, self.vocab_rows)
+        return score_chunks(self.samples("test", F.lit(FUSED_ID)), p, self.k, self.vocab_rows)
 
     def chunk_probs(self, params: DataFrame | None = None) -> DataFrame:
         return chunk_softmax(self.chunk_scores(params), self.k)

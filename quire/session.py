@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,35 +60,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+def _stored_path(spark: SparkSession) -> tuple[str, str]:
+    name = uuid.uuid4().hex
+    return name, ensure_checkpoint_dir(spark).rstrip("/") + f"/quire-tables/{name}"
+
+
+def cut_lineage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and continue from the
     stored copy (survives executor loss; lineage stops here).
 
-    By default the rows are written as parquet under the checkpoint folder and
-    read back: one job, output partitions sized by adaptive execution, and the
-    copy gets column pruning and filter pushdown.
+    The rows are written as parquet under the checkpoint folder and read back:
+    one job, output partitions sized by adaptive execution, and the copy gets
+    column pruning, filter pushdown and (with ``partition_by``) partition pruning."""
+    spark = df.sparkSession
+    _, path = _stored_path(spark)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.parquet(path) if not partition_by else spark.read.schema(df.schema).parquet(path)
 
-    With ``keep_partitioning`` the frame's hash partitioning is recorded with it
-    (a reliable RDD checkpoint taken without adaptive re-planning), so later
-    aggregations and joins on those keys need no shuffle.  Use it only for
-    frames partitioned on (near) unique keys, as skew handling is off for that
-    one job.  The rows are kept while the checkpoint writer runs so they are
-    not computed twice.
-    """
+
+def store_bucketed(df: DataFrame, n: int, key: list[str], partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Materialise ``df`` as a table in the checkpoint folder, hash-bucketed on
+    ``key`` into ``n`` buckets: joins and aggregations on the key need no
+    shuffle, scans are pruned as usual, and adaptive execution stays on."""
     spark = df.sparkSession
-    folder = ensure_checkpoint_dir(spark)
-    if not keep_partitioning:
-        path = folder.rstrip("/") + f"/quire-tables/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return kept.checkpoint(eager=True)
-    finally:
-        kept.unpersist()
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    name, path = _stored_path(spark)
+    w = df.repartition(n, *key).write.format("parquet").bucketBy(n, *key).option("path", path)
+    (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(f"quire_{name}")
+    return spark.table(f"quire_{name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.features import (CHUNK_KEY, number_terms, partition_chunks, restrict_to_vocabulary,
-                                      term_counts, term_vocabulary)
+from quire.functions.arrays import argmax_first
+from quire.functions.joins import fits_broadcast, measure
+from quire.operators.features import chunk_terms, feature_store, number_terms, term_rows, term_vocabulary
 from quire.operators.params import (FUSED_ID, assert_compatible, average_models, check_compatible, fuse_into,
                                     fuse_models, read_params, write_params)
 from quire.operators.train import fit, gradient_step, init_params
@@ -25,7 +26,7 @@ def test_weighted_average_first_weight_ignored(spark):
 
 def test_weight_count_must_match(spark):
     p = vec_params(spark, [(0, 0, 1.0), (1, 0, 3.0)])
-    with pytest.raises(ValueError, match="does not match"):
+    with pytest.raises(ValueError, match="weights for"):
         average_models(p, ["pos"], ["value"], weights=[1, 2, 3]).collect()
 
 
@@ -40,7 +41,7 @@ def test_check_compatible(spark):
     p = vec_params(spark, [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 2.0)])
     bad = check_compatible(p, ["pos"]).collect()
     assert [(r.pos, r.n_models, r.n_with_key) for r in bad] == [(1, 2, 1)]
-    with pytest.raises(ValueError, match="do not fit"):
+    with pytest.raises(ValueError, match="missing in some models"):
         assert_compatible(p, ["pos"])
 
 
@@ -56,19 +57,17 @@ def _toy(spark):
     chunks = spark.createDataFrame(
         [(1, 0, 0, "red red blue", 0), (2, 0, 0, "blue green", 1), (3, 0, 0, "red", 0), (4, 0, 0, "zzz", 1)],
         "doc_id long, region int, sub int, chunk string, label_idx int")
-    chunks = partition_chunks(chunks, n=4)
-    counts = term_counts(chunks, carry=["label_idx"])
-    vocab = number_terms(term_vocabulary(counts, 1))
-    samples = chunks.select(*CHUNK_KEY, F.lit(0).alias("model_id"), "label_idx")
-    feats = restrict_to_vocabulary(counts, vocab).select(*CHUNK_KEY, F.lit(0).alias("model_id"), "label_idx",
-                                                         "term_id", "tf")
-    return chunks, counts, vocab, samples, feats
+    chunked = chunk_terms(chunks, carry=["label_idx"])
+    counts = term_rows(chunked)
+    vocab = number_terms(term_vocabulary(counts))
+    store = feature_store(chunked, vocab, 4, ["label_idx"]).withColumn("model_id", F.lit(0))
+    return counts, vocab, store
 
 
 def test_gradient_step_matches_numpy(spark):
-    _, counts, vocab, samples, feats = _toy(spark)
+    counts, vocab, store = _toy(spark)
     k, lr = 2, 0.5
-    p1 = gradient_step(init_params(vocab, [0], k), samples, feats, k, lr)
+    p1 = gradient_step(init_params(vocab, [0], k), store, k, lr)
     got = {(r.part, r.param): (r.w_0, r.w_1) for r in p1.collect()}
     # brute force: zero weights -> p = 1/2, residual = 1/2 - y
     terms = sorted(r.term for r in vocab.collect())
@@ -87,8 +86,8 @@ def test_gradient_step_matches_numpy(spark):
 
 
 def test_fit_reduces_loss_and_keeps_best(spark):
-    _, _, vocab, samples, feats = _toy(spark)
-    res = fit(init_params(vocab, [0], 2), samples, feats, 2, 2.0, 3, samples, feats)
+    _, vocab, store = _toy(spark)
+    res = fit(init_params(vocab, [0], 2), store, 2, 2.0, 3, store)
     h = sorted((r.epoch, r.dev_loss, r.best) for r in res.history.collect())
     assert h[0][1] < math.log(2)
     assert sum(1 for _, _, b in h if b) == 1
@@ -96,7 +95,7 @@ def test_fit_reduces_loss_and_keeps_best(spark):
 
 
 def test_fuse_models_and_params_roundtrip(spark, tmpdir_path):
-    _, _, vocab, _, _ = _toy(spark)
+    _, vocab, _ = _toy(spark)
     models = init_params(vocab, [0, 1], 2).withColumn("w_0", F.when(F.col("model_id") == 1, 2.0).otherwise(0.0))
     fused = fuse_models(init_params(vocab, [FUSED_ID], 2), models, 2)
     vals = {(r.part, r.w_0) for r in fused.collect()}
@@ -109,7 +108,7 @@ def test_fuse_models_and_params_roundtrip(spark, tmpdir_path):
 def test_fuse_stored_models(spark, tmpdir_path):
     from quire.plans.pipelines import fuse_stored
 
-    _, _, vocab, _, _ = _toy(spark)
+    _, vocab, _ = _toy(spark)
     models = init_params(vocab, [0, 1, 2], 2).withColumn("w_1", F.col("model_id").cast("double"))
     write_params(models, tmpdir_path + "/regions")
     fused = fuse_stored(spark, tmpdir_path + "/regions", None, vocab, 2, weights=[1, 1, 1])
@@ -117,3 +116,56 @@ def test_fuse_stored_models(spark, tmpdir_path):
     assert body == {1.0}  # (0 + 1 + 2) / 3
     with pytest.raises(ValueError):
         fuse_stored(spark, tmpdir_path + "/regions", None, vocab, 2, weights=[1, 1]).collect()
+
+
+def test_model_without_dev_rows_keeps_its_last_epoch(spark):
+    _, vocab, store = _toy(spark)
+    both = store.withColumn("model_id", F.when(F.col("doc_id") <= 2, 0).otherwise(1))
+    res = fit(init_params(vocab, [0, 1], 2), both, 2, 2.0, 3, both.filter("model_id = 0"))
+    assert {r.model_id for r in res.params.collect()} == {0, 1} and res.best_epoch[1] == 3
+    assert [(r.epoch, r.dev_loss) for r in res.history.collect() if r.model_id == 1 and r.best] == [(3, None)]
+
+
+def test_residual_is_computed_once_and_only_one_split_is_read(spark):
+    from quire.plans.pipelines import FusedConfig, FusedPlan
+
+    plan = FusedPlan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), FusedConfig(epochs=1))
+    region = F.col("region")
+    step = gradient_step(init_params(plan.vocab, [0, 1, 2], plan.k), plan.samples("train", region), plan.k, 1.0, plan.vocab_rows * 3)
+    text = step._jdf.queryExecution().executedPlan().toString()
+    assert text.count("PartitionFilters: [isnotnull(split") + text.count("split = train") >= 2
+    scans = [x for x in text.splitlines() if "FileScan" in x and "quire_" in x]
+    # logits, residual rows, sample counts: each reads the bucketed store of the train split only
+    assert len(scans) == 3 and all("split#" in x and "= train" in x for x in scans)
+    assert "doc_id" not in "".join(x for x in text.splitlines() if "Exchange hashpartitioning(doc_id" in x)
+
+
+@pytest.mark.parametrize("weights", [[(0, 2.0)], [(0, 2.0), (1, 1.0), (7, 1.0)], {0: 1.0}, {0: 1.0, 1: 1.0, 5: 2.0}])
+def test_missing_or_surplus_weights_raise(spark, weights):
+    p = vec_params(spark, [(0, 0, 1.0), (1, 0, 3.0)])
+    w = spark.createDataFrame(weights, "model_id int, weight double") if isinstance(weights, list) else weights
+    with pytest.raises(ValueError, match="weights for"):
+        average_models(p, ["pos"], ["value"], weights=w).collect()
+
+
+def test_long_terms_are_not_broadcast(spark):
+    v = spark.range(3).select(F.repeat(F.lit("x"), 200_000_000).alias("term"), F.col("id").alias("term_id"))
+    assert not fits_broadcast(*measure(v.limit(3), "term"))
+    assert fits_broadcast(*measure(spark.range(10).select(F.col("id").cast("string").alias("term"))))
+
+
+def test_argmax_of_many_classes(spark):
+    row = spark.range(1).select(*[F.lit(float((c * 37) % 101)).alias(f"p_{c}") for c in range(200)])
+    want = max(range(200), key=lambda c: ((c * 37) % 101, -c))
+    assert row.select(argmax_first([F.col(f"p_{c}") for c in range(200)]).alias("a")).first().a == want
+
+
+def test_shuffle_paths_give_the_same_models(spark, monkeypatch):
+    from quire.functions import joins
+
+    _, vocab, store = _toy(spark)
+    run = lambda: sorted(map(tuple, gradient_step(init_params(vocab, [0], 2), store, 2, 1.0).collect()))
+    small = run()
+    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 0)
+    for a, b in zip(run(), small):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
