@@ -18,7 +18,7 @@ def label_cases(cases: DataFrame) -> DataFrame:
 
 
 def prepare_cases(spark: SparkSession, train_dir: str, test_dir: str, dev_dir: str, out_dir: str,
-                  prefix: str = "ECHR") -> dict[str, str]:
+                  prefix: str = "cases") -> dict[str, str]:
     """Each split folder of case files becomes ``<out>/<prefix>_<split>.csv``."""
     out = {}
     for split, d in (("train", train_dir), ("test", test_dir), ("dev", dev_dir)):
@@ -33,9 +33,15 @@ def news_corpus(spark: SparkSession, directory: str) -> DataFrame:
     return df.select(flatten_whitespace("text").alias("text"), F.col("label").alias("labels"), "decode_error")
 
 
-def prepare_news(spark: SparkSession, directory: str, out_dir: str, prefix: str = "20news",
-                 drop_undecodable: bool = False) -> str:
+def prepare_news(spark: SparkSession, directory: str, out_dir: str, prefix: str = "news", undecodable: str = "fail") -> str:
+    """``undecodable`` says what happens to files that are no valid Windows-1252: ``fail`` stops the
+    job at the first one, ``drop`` leaves them out, ``flag`` keeps them with the flag column."""
     df = news_corpus(spark, directory)
-    if drop_undecodable:
-        df = df.filter(~F.col("decode_error"))
-    return write_tsv_corpus(df.select("text", "labels"), out_dir, prefix, "all")
+    if undecodable == "fail":
+        text = F.when(F.col("decode_error"), F.raise_error(F.lit("a file is not valid Windows-1252"))).otherwise(F.col("text"))
+        df = df.select(text.alias("text"), "labels")
+    elif undecodable == "drop":
+        df = df.filter(~F.col("decode_error")).select("text", "labels")
+    elif undecodable != "flag":
+        raise ValueError(f"undecodable={undecodable!r}; known: fail, drop, flag")
+    return write_tsv_corpus(df, out_dir, prefix, "all")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.sources.sinks import TSV_FORMAT
+
 CASE_SCHEMA = T.StructType([
     T.StructField("TEXT", T.ArrayType(T.StringType())),
     T.StructField("VIOLATED_ARTICLES", T.ArrayType(T.StringType())),
@@ -19,8 +21,9 @@ TSV_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField(
 
 
 def read_case_json(spark: SparkSession, directory: str, schema: T.StructType = CASE_SCHEMA) -> DataFrame:
-    """One JSON object per file; the file name is kept as ``file_name``."""
-    df = spark.read.option("multiLine", True).schema(schema).json(directory)
+    """One JSON object per file; the file name is kept as ``file_name``.  A malformed
+    file fails the read: it must not turn into a case without any violation."""
+    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(directory)
     return df.select(F.col("_metadata.file_name").alias("file_name"), *schema.fieldNames())
 
 
@@ -67,8 +70,10 @@ def read_folder_corpus(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_tsv_corpus(spark: SparkSession, path: str, schema: T.StructType = TSV_SCHEMA) -> DataFrame:
-    """Tab-separated file(s) with a header row; doubled quotes and quoted line breaks are read back."""
-    return (spark.read.options(sep="\t", header=True, multiLine=True, quote='"', escape='"')
+    """Tab-separated file(s) with a header row, as ``write_tsv_corpus`` writes them: white space,
+    quotes, line breaks, empty strings and nulls come back as they were.  A quoted field may hold
+    line breaks, so a file is one task; the writer's part files bound its size."""
+    return (spark.read.options(**TSV_FORMAT, multiLine=True, lineSep="\n", nullValue="\u0000", emptyValue="")
             .schema(schema).csv(path))
 
 

@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 from quire.operators.params import read_params, write_params  # noqa: F401  (parameter tables)
 
 
+# Shared by writer and reader: nothing is trimmed.  The writer quotes an empty string and leaves a null bare.
+TSV_FORMAT = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+              "ignoreTrailingWhiteSpace": False}
+
+
 def tsv_path(directory: str, prefix: str, split: str) -> str:
     return os.path.join(directory, f"{prefix}_{split}.csv")
 
@@ -25,8 +30,7 @@ def write_tsv_corpus(df: DataFrame, directory: str, prefix: str, split: str, mod
             c = F.to_json(c)
         cols.append(c.alias(f.name))
     path = tsv_path(directory, prefix, split)
-    (df.select(*cols).write.mode(mode)
-     .options(sep="\t", header=True, quote='"', escape='"', quoteAll=False).csv(path))
+    df.select(*cols).write.mode(mode).options(**TSV_FORMAT).csv(path)
     return path
 
 

@@ -59,8 +59,8 @@ def test_fold_summary_population_std(spark):
 
 
 def test_prompts(spark):
-    df = spark.createDataFrame([("Anakin was Luke's father", 1), ("Luke was a Sith Lord", 0)], "text string, labels int")
+    df = spark.createDataFrame([("The bridge opened in spring", 1), ("No boat ever reached the mill", 0)], "text string, labels int")
     rows = prompt_rows(df).collect()
     assert rows[0].prefix == "binary classification" and rows[0].target_text == "1"
     p = df.select(prediction_prompt("text").alias("p")).first().p
-    assert p == "binary classification:Anakin was Luke's father"
+    assert p == "binary classification:The bridge opened in spring"

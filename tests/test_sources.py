@@ -2,6 +2,7 @@ import json
 import os
 
 import pandas as pd
+import pytest
 
 from quire.plans.prepare import label_cases, news_corpus, prepare_cases, prepare_news
 from quire.sources.readers import (read_case_json, read_flagged_corpus, read_folder_corpus, read_json_records,
@@ -57,10 +58,41 @@ def test_folder_corpus_cp1252(spark, tmpdir_path):
     assert got["c"][2] is True
     flat = {r.labels: r.text for r in news_corpus(spark, os.path.join(tmpdir_path, "news")).filter("not decode_error").collect()}
     assert flat["sci"] == "“quoted” next col"
-    out = prepare_news(spark, os.path.join(tmpdir_path, "news"), os.path.join(tmpdir_path, "o"), drop_undecodable=True)
+    out = prepare_news(spark, os.path.join(tmpdir_path, "news"), os.path.join(tmpdir_path, "o"), undecodable="drop")
     assert read_tsv_corpus(spark, out).count() == 2
 
 
+def test_undecodable_files_stop_or_are_flagged(spark, tmpdir_path):
+    news = os.path.join(tmpdir_path, "news")
+    os.makedirs(os.path.join(news, "rec"))
+    for name, data in (("a", b"fine"), ("b", b"bad \x81 byte")):
+        with open(os.path.join(news, "rec", name), "wb") as f:
+            f.write(data)
+    with pytest.raises(Exception, match="not valid Windows-1252"):
+        prepare_news(spark, news, os.path.join(tmpdir_path, "x"))
+    kept = prepare_news(spark, news, os.path.join(tmpdir_path, "y"), undecodable="flag")
+    rows = read_tsv_corpus(spark, kept, "text string, labels string, decode_error boolean").collect()
+    assert sorted(r.decode_error for r in rows) == [False, True]
+    with pytest.raises(ValueError):
+        prepare_news(spark, news, os.path.join(tmpdir_path, "z"), undecodable="ignore")
+
+
+def test_malformed_case_file_fails(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "train")
+    _case_files(d)
+    with open(os.path.join(d, "case9.json"), "w") as f:
+        f.write('{"TEXT": ["cut off"], "VIOLATED_ARTI')
+    with pytest.raises(Exception):
+        label_cases(read_case_json(spark, d)).collect()
+
+
+def test_tsv_round_trip_is_exact(spark, tmpdir_path):
+    texts = ["  lead and trail  ", " ", "", None, "a\tb", 'say "hi"', '"', "line\nbreak", "cr\rx", "null", '""', "\\", 'a\\"b', "\\N"]
+    df = spark.createDataFrame([(t, str(i)) for i, t in enumerate(texts)], "text string, labels string")
+    back = read_tsv_corpus(spark, write_tsv_corpus(df, tmpdir_path, "X", "all"))
+    assert {r.labels: r.text for r in back.collect()} == {str(i): t for i, t in enumerate(texts)}
+
+
 def test_json_list_and_split_corpora(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "train.json")
     with open(p, "w") as f:
