@@ -60,6 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# Names of the bucketed tables by the checkpoint folder that holds them.
+_BUCKETED: dict[str, list[str]] = {}
+
+
 def _stored_path(spark: SparkSession) -> tuple[str, str]:
     name = uuid.uuid4().hex
     return name, ensure_checkpoint_dir(spark).rstrip("/") + f"/quire-tables/{name}"
@@ -86,8 +90,19 @@ def store_bucketed(df: DataFrame, n: int, key: list[str], partition_by: tuple[st
     name, path = _stored_path(spark)
     w = df.repartition(n, *key).write.format("parquet").bucketBy(n, *key).option("path", path)
     (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(f"quire_{name}")
+    _BUCKETED.setdefault(ensure_checkpoint_dir(spark), []).append(f"quire_{name}")
     return spark.table(f"quire_{name}")
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Remove the tables that ``cut_lineage`` and ``store_bucketed`` left in this application's own
+    checkpoint folder.  For the end of a job: frames read from them are gone afterwards."""
+    folder = ensure_checkpoint_dir(spark)
+    for name in _BUCKETED.pop(folder, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/quire-tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
