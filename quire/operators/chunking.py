@@ -170,7 +170,7 @@ def token_windows(df: DataFrame, vocab: DataFrame, text_col: str = "text", doc_c
                     F.posexplode(F.split(F.col(text_col), " ", -1)).alias("pos", "term"))
     # every token position meets the vocabulary: broadcast it when its counted
     # size is small, otherwise a shuffle join whose hot terms AQE splits
-    ids = pos.join(broadcast_if_small(vocab.select("term", "term_id"), row_bytes=40), "term", "inner")
+    ids = pos.join(broadcast_if_small(vocab.select("term", "term_id")), "term", "inner")
     grouped = (ids.groupBy("doc_id", F.floor(F.col("pos") / body_len).cast("int").alias("win"))
                .agg(F.array_sort(F.collect_list(F.struct("pos", "term_id"))).alias("toks")))
     body = F.transform(F.col("toks"), lambda t: t["term_id"])

@@ -26,17 +26,18 @@ def _group(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[st
 
 
 def model_factors(params: DataFrame, model_col: str = "model_id", group_cols: Sequence[str] = (),
-                  weights: DataFrame | Mapping | Sequence | None = None, apply_first_weight: bool = False
-                  ) -> DataFrame:
+                  weights: DataFrame | Mapping | Sequence | None = None, apply_first_weight: bool = False,
+                  models: DataFrame | None = None) -> DataFrame:
     """Multiplier of each model in the average: ``weight / n``.
 
     Models are ordered by id inside each fusing group; ``n`` is the number of
     models in the group.  As in the reference rule the first model's weight is
     ignored (factor ``1/n``) unless ``apply_first_weight``.  ``weights`` is a
     frame ``(model_col, weight)``, a dict, or a list in model order (its length
-    must equal the number of models).
+    must equal the number of models).  ``models`` (group and model columns) saves
+    a pass over the parameters where the models are known from a smaller table.
     """
-    params, g = _group(params, group_cols)
+    params, g = _group(params if models is None else models, group_cols)
     models = params.select(*g, model_col).distinct()
     per_group = models.groupBy(*g).agg(F.min(model_col).alias("__first"), F.count(F.lit(1)).alias("__n"))
     f = models.join(per_group, g)
@@ -71,13 +72,14 @@ def _weight_table(models: DataFrame, model_col: str, weights) -> DataFrame:
 
 def average_models(params: DataFrame, key_cols: Sequence[str], value_cols: Sequence[str],
                    model_col: str = "model_id", group_cols: Sequence[str] = (), weights=None,
-                   apply_first_weight: bool = False, factors_rows: int | None = None) -> DataFrame:
+                   apply_first_weight: bool = False, factors_rows: int | None = None,
+                   models: DataFrame | None = None) -> DataFrame:
     """Element-wise (weighted) mean of parameters over models, per group and key.
 
     ``sum(value * factor)`` is a partial aggregation: no model is held whole
     anywhere, and a hot key is combined map-side before the shuffle.
     """
-    factors = model_factors(params, model_col, group_cols, weights, apply_first_weight)
+    factors = model_factors(params, model_col, group_cols, weights, apply_first_weight, models)
     params, g = _group(params, group_cols)
     if factors_rows is not None:  # otherwise the planner decides, without a job to count
         factors = broadcast_if_small(factors, factors_rows, 48)

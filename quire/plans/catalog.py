@@ -28,7 +28,7 @@ from quire.operators.splits import exact_split, hash_bucket, hash_split, split_r
 from quire.operators.training_sets import TASK_NAME, prediction_prompt, prompt_rows, region_training_set, union_regions
 from quire.operators.train import fit, init_params
 from quire.plans.pipelines import FusedConfig, FusedPlan
-from quire.session import table
+from quire.session import cut_lineage, table
 
 R = 6  # decimals kept for floating results
 
@@ -191,7 +191,7 @@ def q_region_view(spark, d):
 
 def q_token_windows(spark, d):
     docs = table(spark, d, "documents")
-    return token_windows(docs, build_vocabulary(docs))
+    return token_windows(docs, cut_lineage(build_vocabulary(docs)))
 
 
 def q_region_training_set(spark, d):
@@ -234,14 +234,16 @@ def _embedding_params(spark, d) -> DataFrame:
 
 
 def q_average_models(spark, d):
-    avg = average_models(_embedding_params(spark, d), ["pos"], ["value"], group_cols=["label"])
+    models = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("model_id"))
+    avg = average_models(_embedding_params(spark, d), ["pos"], ["value"], group_cols=["label"], models=models)
     return _round_all(avg, ["value"])
 
 
 def q_weighted_average(spark, d):
     e = table(spark, d, "embeddings")
     weights = e.select(F.col("vec_id").alias("model_id"), (1.0 + F.col("vec_id") % 3).alias("weight"))
-    avg = average_models(_embedding_params(spark, d), ["pos"], ["value"], group_cols=["label"], weights=weights)
+    avg = average_models(_embedding_params(spark, d), ["pos"], ["value"], group_cols=["label"], weights=weights,
+                         models=e.select("label", F.col("vec_id").alias("model_id")))
     return _round_all(avg, ["value"])
 
 
