@@ -11,14 +11,13 @@ signatures agree in a position with exactly the probability Jaccard as probabili
 positions make 32 bands of 6; at 0.8 a pair shares no band with probability 6e-5.
 
 Candidates: texts that are equal word for word collapse first; only one row of each enters the
-bands.  Within a band bucket no list of all pairs is made.  Every text is first compared with
-one pivot, the first text (in a fixed random order) of any bucket it is in.  Where the classes
-found so far differ within a bucket, a quota of pivots of its largest class meets the rows of the
-others, and what joins is out of the next round; the quota grows eightfold each round, first over
-the largest class, then over the other rows, until every pair of a bucket that could join two
-classes has been compared.  A large group of copies joins in the first rounds, at a cost linear in
-its rows; pairs inside one class are never listed.
-Links, labels and members stay in distributed tables; each round is written to the shared folder.
+bands.  Every text is first compared with one pivot, the first text (in a fixed random order) of any
+bucket it is in, which joins most copies at a cost linear in their number.  Where the classes found
+so far still differ within a bucket, its rows are compared in blocks of bounded size: one unit of
+work is a pair of blocks, and only links between different classes come out of it, never a list of
+pairs.  So every pair that shares a bucket and could join two classes is judged, and a group with a
+third of all rows is many units of equal size.
+Links, labels and members stay in distributed tables, written to the shared folder.
 
 Defined results: null text is empty text; texts without a word are equal to each other; a text
 of under five words is one shingle; rows repeated in full are members like any other; the class
@@ -46,7 +45,8 @@ from quire.session import cut_lineage
 THRESHOLD = 0.8
 EPS = 1e-9  # rounding of a similarity that is exactly at the threshold
 BANDS, ROWS = 32, 6
-GROWTH = 8  # of the pivots per bucket and round
+BLOCK_ROWS, BLOCK_BYTES = 512, 16 * 1024 * 1024  # of a bucket's blocks, about
+COLUMNS = 8192  # shingles per matrix product
 _U = np.uint64
 
 
@@ -150,45 +150,109 @@ def components(edges: DataFrame) -> DataFrame:
         labels = cut_lineage(spread.join(on, F.col("label") == F.col("via")).select("node", F.least("label", "on").alias("label")))
 
 
-def link_members(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(labels, compared pairs) of the bucket members (bucket, row).
+def linked_pairs(text: list[bytes], bands: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, bucket: int,
+                 threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (left, right) of different labels whose similarity reaches the threshold and whose
+    first common band is ``bucket`` (so a pair that shares many buckets is judged in one of them).
+
+    A common shingle adds at most min(x_i / X, y_i / Y) to the similarity; matrix products of the
+    weights give that bound for all pairs at once, and only pairs above it are computed exactly."""
+    at, elem, count = shingles(text)
+    w = weights(count)
+    n, total = len(text), np.bincount(at, w, len(text))
+    plain = np.bincount(at, count > 1, n) == 0
+    _, column = np.unique(elem, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    shared_x, shared_y = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    cuts = np.searchsorted(column[order], np.arange(0, column.max(initial=0) + 1 + COLUMNS, COLUMNS))
+    for k, (p, q) in enumerate(zip(cuts, cuts[1:])):
+        pick = order[p:q]
+        heavy = np.zeros((n, COLUMNS), np.float32)
+        heavy[at[pick], column[pick] - k * COLUMNS] = w[pick]
+        here = (heavy > 0).astype(np.float32)
+        shared_x += heavy[left] @ here[right].T
+        shared_y += here[left] @ heavy[right].T
+    bound = np.minimum(shared_x / total[left][:, None], shared_y / total[right][None, :])
+    x, y = np.nonzero((bound >= threshold - 1e-4) & (label[left][:, None] != label[right][None, :]))
+    same = bands[left[x]] == bands[right[y]]
+    first = bands[left[x], same.argmax(axis=1)] == bucket
+    x, y = x[first], y[first]
+    # Without repeated shingles the similarity is the Jaccard of two counts.
+    simple = plain[left[x]] & plain[right[y]]
+    common = shared_x[x, y].astype(np.float64)
+    sim = np.where(simple, common / (total[left[x]] + total[right[y]] - common), 0.0)
+    cut = np.searchsorted(at, np.arange(n + 1))
+    for k in np.flatnonzero(~simple):
+        i, j = left[x[k]], right[y[k]]
+        p, q = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
+        sim[k] = probability_jaccard(elem[p], w[p], elem[q], w[q])
+    good = sim >= threshold - EPS
+    return left[x[good]], right[y[good]]
+
+
+def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the links between rows of different labels in each bucket.  ``members``: bucket, row, label,
+    blocks, bands, text.  A bucket is cut into blocks by a hash of the row, and every pair of blocks is
+    one unit of work, read in order by ``mapInArrow``; only links come out."""
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
+        F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    rows = members.withColumn("block", block).select("bucket", F.explode(meets).alias("m"), "block", "row", "label", "bands", "text")
+    rows = rows.select("bucket", "m.i", "m.j", "block", "row", "label", "bands", "text")
+
+    def judge(key: tuple, rows: list[tuple]) -> tuple[list[int], list[int]]:
+        bucket, i, j = key
+        block, row, label, bands, text = zip(*rows)
+        block, row = np.array(block), np.array(row)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        x, y = linked_pairs([t.encode("utf-8", "surrogatepass") for t in text], np.array(bands, dtype=np.int64), np.array(label), left, right,
+                            bucket, threshold)
+        return np.minimum(row[x], row[y]).tolist(), np.maximum(row[x], row[y]).tolist()
 
-    ``u`` is a node's place in the fixed random order; a pair belongs to its earlier node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        a, b = [], []
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256).to_pydict()
+                for r in zip(*part.values()):
+                    if r[:3] != key:
+                        if len(held) > 1:
+                            x, y = judge(key, held)
+                            a, b = a + x, b + y
+                        key, held = r[:3], []
+                    held.append(r[3:])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        if len(held) > 1:
+            a, b = judge(key, held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return (rows.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j")
+            .mapInArrow(run, "a long, b long"))
+
+
+def link_members(members: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, label of the linked rows.  ``members``: bucket, row, size (bytes of its text); ``nodes``: row, bands, text.
+
+    ``u`` is a node's place in the fixed random order that makes pivots."""
     u = F.xxhash64("row")
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(u.alias("u"), "row")).alias("pivot"))
-    m = cut_lineage(members.join(size.where("n > 1"), "bucket").select("bucket", "row", u.alias("u"), "pivot"))
-    wanted = cut_lineage(texts.join(m.select("row").distinct(), "row", "left_semi"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(similarities(pairs, wanted))
-
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"),
+                                         F.min(F.struct(u.alias("u"), "row")).alias("pivot"))
+    m = cut_lineage(members.join(size.where("n > 1"), "bucket").select("bucket", "row", "n", "bytes", "pivot"))
+    wanted = cut_lineage(nodes.join(m.select("row").distinct(), "row", "left_semi"))
     # Every row and the earliest pivot of its buckets.
-    done = verified(m.groupBy("row").agg(F.min("pivot").alias("p")).where("p.row <> row")
-                    .select(F.col("p.row").alias("a"), F.col("row").alias("b")))
-    quota, undecided = 1, m
-    while True:
-        labels = components(done.where(F.col("sim") >= threshold - EPS))
-        now = cut_lineage(undecided.select("bucket", "row", "u").join(labels.withColumnRenamed("node", "row"), "row", "left")
-                          .withColumn("label", F.coalesce("label", "row")))
-        # The largest class of each bucket whose rows are not of one class.
-        parts = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(
-            F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
-        active = cut_lineage(now.join(parts, "bucket").withColumn("is_top", F.col("label") == F.col("top.label")))
-        if active.isEmpty():
-            return labels, done
-        # Pivots: ``quota`` rows of the largest class, by their place in the random order, then rows of the others.
-        place = (F.col("u").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
-        chosen = F.when(F.col("is_top"), place * F.col("top.c") <= quota).otherwise(
-            place * (F.col("all") - F.col("top.c")) <= quota - F.col("top.c"))
-        left = active.where(chosen).select("bucket", F.col("row").alias("a"), F.col("u").alias("ua"), F.col("label").alias("la"), "is_top")
-        right = active.where(~F.col("is_top")).select("bucket", F.col("row").alias("b"), F.col("u").alias("ub"), F.col("label").alias("lb"))
-        pairs = left.join(right, "bucket").where(
-            F.col("is_top") | ((F.col("la") != F.col("lb")) & (F.struct("ua", "a") < F.struct("ub", "b"))))
-        both_ways = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = cut_lineage(done.unionByName(verified(pairs.select("a", "b").distinct().join(both_ways, ["a", "b"], "left_anti"))))
-        # Where every row has been a pivot, all pairs that could join two classes have been compared.
-        undecided = active.where(F.col("all") > quota)
-        quota *= GROWTH
+    stars = m.groupBy("row").agg(F.min("pivot").alias("p")).where("p.row <> row").select(F.col("p.row").alias("a"), F.col("row").alias("b"))
+    links = cut_lineage(similarities(stars, wanted).where(F.col("sim") >= threshold - EPS).select("a", "b"))
+    now = cut_lineage(m.join(components(links).withColumnRenamed("node", "row"), "row", "left").select(
+        "bucket", "row", "n", "bytes", F.coalesce("label", "row").alias("label")))
+    # Where a bucket's rows are of several classes, all pairs across classes are compared in blocks.
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    open_rows = now.join(mixed, "bucket").select("bucket", "row", "label", blocks.alias("blocks"))
+    fresh = compare_blocks(open_rows.join(wanted, "row"), threshold)
+    return components(cut_lineage(links.unionByName(fresh)))
 
 
 def near_classes(sigs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -196,9 +260,10 @@ def near_classes(sigs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("unknown"), F.col(f"doc.`{id_col}`").alias("id"), "row")
     distinct = cut_lineage(sigs.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")))
     nodes = distinct.select(F.col("first.row").alias("row"))
-    members = (sigs.select("row", "bands").join(nodes, "row", "left_semi")
-               .select("row", F.explode("bands").alias("bucket")))
-    labels, _ = link_members(members, sigs.select("row", text_of(F.col(f"doc.`{text_col}`")).alias("text")), threshold)
+    text = text_of(F.col(f"doc.`{text_col}`"))
+    members = (sigs.select("row", "bands", F.octet_length(text).cast("long").alias("size")).join(nodes, "row", "left_semi")
+               .select("row", "size", F.explode("bands").alias("bucket")))
+    labels = link_members(members, sigs.select("row", "bands", text.alias("text")), threshold)
     told = distinct.join(labels.withColumnRenamed("node", "at"), F.col("first.row") == F.col("at"), "left").select(
         "digest", "first", "n", F.coalesce("label", "first.row").alias("label"))
     classes = told.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))

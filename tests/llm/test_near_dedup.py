@@ -109,8 +109,9 @@ def test_classes_match_brute_force(spark, seed):
     assert sorted(r.doc_id for r in left.collect()) == sorted(r.id for r in kept)
 
 
-def test_large_group_of_different_copies(spark):
-    """Copies edited from one text: some pairs are below 0.8, so one pivot isn't enough."""
+def test_large_group_of_different_copies(spark, monkeypatch):
+    """Copies edited from one text: some pairs are below 0.8, so one pivot isn't enough; blocks of eight rows."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 8)
     rng = np.random.default_rng(7)
     base = rng.choice([f"w{i}" for i in range(300)], size=90)
     rows = [(i, edit(rng, base, int(rng.integers(0, 3)))) for i in range(90)]
@@ -119,6 +120,19 @@ def test_large_group_of_different_copies(spark):
     assert got == brute(rows)
 
 
+def test_block_comparison_finds_all_pairs(monkeypatch):
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    rng = np.random.default_rng(11)
+    base = rng.choice([f"w{i}" for i in range(60)], size=70)
+    texts = [edit(rng, base, int(rng.integers(0, 5))) + (" again and again and again and again and" * (i % 3 == 0)) for i in range(40)]
+    label, bands = np.arange(40) // 2, np.full((40, 2), 5)
+    left, right = np.arange(0, 40, 3), np.arange(40)
+    x, y = N.linked_pairs([t.encode() for t in texts], bands, label, left, right, 5, 0.8)
+    want = {(i, j) for i in left for j in right if label[i] != label[j] and jp(bag(texts[i]), bag(texts[j])) >= 0.8 - 1e-9}
+    assert set(zip(x, y)) == want and 20 < len(want) < len(left) * len(right)
+    assert not len(N.linked_pairs([t.encode() for t in texts], bands, label, left, right, 6, 0.8)[0])
+
+
 def test_empty_table(spark):
     empty = frame(spark, [(1, "x")]).where("false")
     assert N.near_classes(N.signatures(empty)).collect() == []
