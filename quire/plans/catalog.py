@@ -82,12 +82,12 @@ def q_length_bands(spark, d):
 def _role_sizes(spark, d) -> DataFrame:
     conv = table(spark, d, "conversations")
     return conv.groupBy("conv_id").agg(
-        *[F.sum(F.when(F.col("role") == r, 1).otherwise(0)).alias(f"n_{r}") for r in ("user", "assistant", "system")])
+        *[F.sum(F.when(F.col("role") == r, 1).otherwise(0)).alias(f"n_{r}") for r in ("user", "assistant", "system", "tool")])
 
 
 def q_class_counts_any(spark, d):
     s = _role_sizes(spark, d)
-    return S.class_counts(s.select(L.label_any_nonempty("n_user", "n_assistant", "n_system").alias("label")))
+    return S.class_counts(s.select(L.label_any_nonempty("n_system", "n_tool").alias("label")))
 
 
 def q_class_counts_all(spark, d):

@@ -364,7 +364,8 @@ K_BINARY = 2
 ROLE_SIZES = """SELECT conv_id,
   sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS n_user,
   sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS n_assistant,
-  sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS n_system
+  sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS n_system,
+  sum(CASE WHEN role = 'tool' THEN 1 ELSE 0 END) AS n_tool
 FROM conversations GROUP BY conv_id"""
 
 WORDS = "len(string_split(text, ' '))"
@@ -413,7 +414,7 @@ def build() -> dict[str, str]:
   {rnd("sum(CASE WHEN n > 512 AND n <= 4096 THEN 1 ELSE 0 END) * 100.0 / count(*)", "pct_between")},
   {rnd("sum(CASE WHEN n > 4096 THEN 1 ELSE 0 END) * 100.0 / count(*)", "pct_above")}
 FROM (SELECT {WORDS} AS n FROM documents)"""
-    o["class_counts_any"] = f"""SELECT CAST(CASE WHEN n_user + n_assistant + n_system = 0 THEN 0 ELSE 1 END AS INTEGER) AS label, count(*) AS n
+    o["class_counts_any"] = f"""SELECT CAST(CASE WHEN n_system + n_tool = 0 THEN 0 ELSE 1 END AS INTEGER) AS label, count(*) AS n
 FROM ({ROLE_SIZES}) GROUP BY 1"""
     o["class_counts_all"] = f"""SELECT CAST(CASE WHEN n_user > 0 AND n_assistant > 0 AND n_system > 0 THEN 1 ELSE 0 END AS INTEGER) AS label, count(*) AS n
 FROM ({ROLE_SIZES}) GROUP BY 1"""
