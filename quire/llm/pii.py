@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quire.llm.batches import portions
+from quire.llm.sample import smallest
 from quire.llm.text import text_of
+from quire.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16          # of one entity
@@ -319,14 +321,14 @@ def labelled_zones(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         # Zones of a bounded length are enough to learn from; scanning has no such bound.
                         if inside and b - a <= 400 and sum(s < b and a < e for s, _, e in base) == len(inside):
                             zone = text[a:b]
-                            keys.append(hashlib.blake2b(zone.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest())
+                            keys.append(int.from_bytes(hashlib.blake2b(zone.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
                             texts.append(zone)
                             spans.append(",".join(f"{s}:{k}:{e}" for s, k, e in inside))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts), pa.array(spans)], names=["h", "zone", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts), pa.array(spans)], names=["h", "zone", "spans"])
 
-    found = _texts(df, id_col, text_col).mapInArrow(run, "h string, zone string, spans string")
-    rows = found.orderBy("h", "zone", "spans").limit(max_zones).collect()
+    found = _texts(df, id_col, text_col).mapInArrow(run, "h long, zone string, spans string")
+    rows = smallest(cut_lineage(found), max_zones, "h", ("zone", "spans")).collect()
     return [(r.zone, [tuple(map(int, x.split(":"))) for x in r.spans.split(",")]) for r in rows]
 
 

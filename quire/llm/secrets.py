@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.sample import smallest
 from quire.llm.text import text_of
 from quire.session import cut_lineage
 
@@ -107,8 +108,8 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> RandomForest
     """The forest over rows of FEATURES and ``label``; None unless both labels occur.
 
     The sample is bounded and brought into one sorted partition, so that reruns grow the same trees."""
-    sample = cut_lineage(labelled.select(*FEATURES, "label", F.xxhash64("id", "start", "value").alias("h"))
-                         .orderBy("h", *FEATURES).limit(max_labelled).coalesce(1))
+    hashed = labelled.select(*FEATURES, "label", F.xxhash64("id", "start", "value").alias("h"))
+    sample = cut_lineage(smallest(hashed, max_labelled, "h", tuple(FEATURES)).coalesce(1))
     if sample.select("label").distinct().count() < 2:
         return None
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.coalesce(1).sortWithinPartitions("h", *FEATURES))

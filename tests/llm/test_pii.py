@@ -133,6 +133,15 @@ def test_frames(spark):
     assert {r.spans for r in P.scan(frame(spark, [(1, "no data"), (2, "none 12")])).collect()} == {""}
 
 
+def test_bounded_sample_is_the_smallest_by_hash(spark):
+    from quire.llm.sample import smallest
+
+    df = spark.range(5000).selectExpr("id", "xxhash64(id) AS h")
+    want = [r.id for r in df.orderBy("h").limit(50).collect()]
+    assert [r.id for r in smallest(df, 50).collect()] == want
+    assert len(smallest(df.limit(30), 50).collect()) == 30
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     want = {r.doc_id: digest(brute(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
