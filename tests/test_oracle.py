@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from tools.check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(E.oracle_sql())  # queries without SQL have tests of their own
 
 
 @pytest.fixture(scope="module")
