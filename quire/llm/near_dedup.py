@@ -190,10 +190,29 @@ def linked_pairs(text: list[bytes], bands: np.ndarray, label: np.ndarray, left:
     return left[x[good]], right[y[good]]
 
 
+def joining(x: np.ndarray, y: np.ndarray, label: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (x, y) those that join two classes not yet joined by earlier ones: a spanning
+    forest of the classes, so a unit of work gives fewer links than it has classes."""
+    up: dict = {}
+
+    def top(c):
+        while c in up:
+            c = up[c]
+        return c
+
+    kept = []
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        a, b = top(label[i]), top(label[j])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(k)
+    return x[kept], y[kept]
+
+
 def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
     """a, b: the links between rows of different labels in each bucket.  ``members``: bucket, row, label,
     blocks, bands, text.  A bucket is cut into blocks by a hash of the row, and every pair of blocks is
-    one unit of work, read in order by ``mapInArrow``; only links come out."""
+    one unit of work, read in order by ``mapInArrow``; only links that join classes come out."""
     block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
         F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
@@ -207,6 +226,7 @@ def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         x, y = linked_pairs([t.encode("utf-8", "surrogatepass") for t in text], np.array(bands, dtype=np.int64), np.array(label), left, right,
                             bucket, threshold)
+        x, y = joining(x, y, label)
         return np.minimum(row[x], row[y]).tolist(), np.maximum(row[x], row[y]).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
