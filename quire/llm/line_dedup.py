@@ -1,7 +1,9 @@
 """Substring dedup by hashing lines and the sentences inside them.
 
 Units of a text are its lines (split at line feeds) and, where a line has several, its sentences
-(ended by ``. ! ?`` before a space or tab); units of fewer than ``min_words`` words are left alone.
+(ended by ``. ! ?`` before a space or tab).  The query takes every line that holds a word, and every
+sentence of at least ``MIN_CHARS`` characters: shorter pieces inside a line are mostly list numbers and
+abbreviations.  Callers can set ``min_words`` (lines and sentences) and ``min_chars`` (sentences only).
 A unit is normalised (lower case, white space runs to one space) and hashed to 128 bits.  Digests
 are grouped globally; the earliest occurrence, by document id and then offset, stays and every
 other one is removed.  Lines and sentences share one digest space, so a passage is found whether it
@@ -32,11 +34,12 @@ from quire.llm.batches import portions
 from quire.llm.text import text_of
 from quire.session import cut_lineage
 
-MIN_WORDS = 8
+MIN_WORDS = 8            # default of the functions; the query leaves out no line
+MIN_CHARS = 12           # of a normalised sentence inside a line, in the query
 _STOP = re.compile(r"[.!?]+(?=[ \t])")
 
 
-def spans_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes, int]]:
+def spans_of(text: str, min_words: int = MIN_WORDS, min_chars: int = 0) -> Iterator[tuple[int, int, int, bytes, int]]:
     """(line start, start, end, digest, words) of the units; start == line start and end == line
     end for a line itself.  Spans leave out white space at both ends, except that a line's span
     starts and ends where the line does."""
@@ -54,7 +57,7 @@ def spans_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int,
                     part = line[a:b]
                     if part.count(" ") + part.count("\t") + 1 >= min_words:
                         words = part.lower().split()
-                        if len(words) >= min_words:
+                        if len(words) >= min_words and sum(map(len, words)) + len(words) - 1 >= min_chars:
                             lead = len(part) - len(part.lstrip())
                             yield at, at + a + lead, at + a + len(part.rstrip()), _digest(words), len(words)
         at += len(line) + 1
@@ -65,7 +68,7 @@ def _digest(words: list[str]) -> bytes:
 
 
 def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
-          min_words: int = MIN_WORDS) -> DataFrame:
+          min_words: int = MIN_WORDS, min_chars: int = 0) -> DataFrame:
     """The stored unit occurrences: id, row (unique per input row), line, start, stop, words, digest."""
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     told = df.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("key"), text_of(F.col(text_col)).alias("text"))
@@ -76,7 +79,7 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col
             for _, texts in portions(batch):
                 source, found = [], []
                 for i, text in enumerate(texts, at):
-                    spans = list(spans_of(text, min_words))
+                    spans = list(spans_of(text, min_words, min_chars))
                     found += spans
                     source += [i] * len(spans)
                 at += len(texts)
@@ -110,14 +113,15 @@ def repeats(found: DataFrame) -> DataFrame:
     return inside.select("id", "row", "start", "stop", "words", "digest", "first", "copies")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                   min_chars: int = 0) -> DataFrame:
     """``df`` with the repeated spans cut out of the text column; all other columns unchanged.
     A line that was removed whole leaves its line feed."""
     doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     stored = cut_lineage(df.select(doc.alias("doc"), F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"),
                                    F.monotonically_increasing_id().alias("row")))
     # A document's spans are bounded by its own length.
-    cuts = repeats(units(stored, "id", "text", "row", min_words)).groupBy("row").agg(
+    cuts = repeats(units(stored, "id", "text", "row", min_words, min_chars)).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     kept = F.aggregate("cuts", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, c: F.struct(
         F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, c["start"] - a["at"])).alias("out"), c["stop"].alias("at")))
@@ -130,7 +134,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def q_line_dedup(spark, sf_dir) -> DataFrame:
     from quire.session import table
 
-    found = repeats(units(table(spark, sf_dir, "documents")))
+    found = repeats(units(table(spark, sf_dir, "documents"), min_words=1, min_chars=MIN_CHARS))
     return found.select(F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("end"),
                         F.col("words").cast("long").alias("n_words"), F.col("first.id").alias("first_doc_id"),
                         F.col("first.start").cast("long").alias("first_start"), "copies", F.lower(F.hex("digest")).alias("digest"))

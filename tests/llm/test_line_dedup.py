@@ -82,3 +82,27 @@ def test_empty_and_long(spark):
     assert L.repeats(L.units(frame(spark, [(1, "x")]).where("false"))).collect() == []
     long = "\n".join(f"line number {i % 5000} of a very long text with words" for i in range(20_000))
     assert len(L.repeats(L.units(frame(spark, [(1, long)]))).collect()) == 15_000
+
+
+def test_query_finds_short_lines(spark, tmpdir_path):
+    """Lines of any length, in scripts with and without spaces; list numbers inside a line stay."""
+    rows = [(1, "Released under the MIT License.\n\n \nown text\n\u8fd9\u662f\u4e00\u884c\u91cd\u590d\u7684\u6587\u5b57"),
+            (2, "first\nreleased under  the mit license.\n\nx"), (3, "\u8fd9\u662f\u4e00\u884c\u91cd\u590d\u7684\u6587\u5b57\nX"),
+            (4, "1. Take it home. And now"), (5, "1. Other things. Take it home.  Then")]
+    frame(spark, rows).write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = {(r.doc_id, r.start, r.end) for r in L.q_line_dedup(spark, tmpdir_path).collect()}
+    assert got == {(2, 6, 38), (3, 0, 9), (3, 10, 11), (5, 17, 30)}
+
+
+def test_query_leaves_out_no_line(spark):
+    sf = "/root/testdata/sf0.001"
+    seen, want = set(), set()
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        at = 0
+        for line in r.text.split("\n"):
+            key = " ".join(line.lower().split())
+            want |= {(r.doc_id, at, at + len(line))} if key in seen else set()
+            seen |= {key} if key else set()
+            at += len(line) + 1
+    got = {(r.doc_id, r.start, r.end) for r in L.q_line_dedup(spark, sf).collect()}
+    assert want and want <= got
