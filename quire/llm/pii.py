@@ -2,9 +2,10 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay.  The field adds spans the
 patterns miss: numbers without the leading plus, written-out addresses, other separators.  It works on
-*zones*, the stretches around a digit, an at sign or a bracketed "at"; outside zones no segment can be an
-entity.  A zone's tokens are cut into segments of at most ``MAX_TOKENS`` tokens; a candidate segment is
-scored as a whole (digit groups, checksums, separators, neighbours, cue words), and dynamic programming
+*zones*, the stretches around a digit, an at sign, a bracketed "at" or "dot" and a written-out address;
+outside zones no segment can be an entity.  A zone reaches as far as an entity around its trigger can, and
+its context.  A zone's tokens are cut into segments of at most ``MAX_TOKENS`` tokens, but for written-out
+addresses, which are segments at any length an address can have; a candidate segment is scored as a whole (digit groups, checksums, separators, neighbours, cue words), and dynamic programming
 picks boundaries and kinds together.  Base spans are fixed segments of that search.
 
 Training is by conditional likelihood (forward-backward sums over all segmentations) on at most
@@ -20,7 +21,9 @@ scanned whole in time linear in their length; only the id and the text are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -37,9 +40,10 @@ from quire.llm.text import text_of
 from quire.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 16          # of one entity
+MAX_TOKENS = 16          # of one entity that is no written-out address
 MAX_CHARS = 64
-CONTEXT = 24             # characters around a trigger that belong to its zone
+LOCAL_CHARS = 128        # of a local part with its dots written out (64 by the standard)
+CONTEXT = 24             # characters on both sides of an entity that its features see
 ZONE_CHARS = 4000        # longer zones are decoded in stretches, cut before a spaced trigger
 MAX_ZONES = 600
 EPOCHS, RATE, DECAY, SEED = 12, 0.2, 1e-4, 11
@@ -87,33 +91,77 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # ---- zones, segments, features ----------------------------------------------------------------
-_TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?(?:at|dot)\s?[\])}>]", re.I)
 _TOKEN = re.compile(r"[^\W_]+|\s+|[\W_]")
 _AT = re.compile(r"[\[({<]\s?at\s?[\])}>]", re.I)
 _DOT = re.compile(r"[\[({<]\s?dot\s?[\])}>]", re.I)
+_LABEL = r"[^\W_](?:[\w-]{0,61}[^\W_])?(?![^\W_])"
+_SAID_DOT = r"(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\s{1,2}dot\s{1,2})"
+_HOST = rf"{_LABEL}(?:(?:\s?\.(?=\w)|\s\.\s|{_SAID_DOT}){_LABEL}){{1,126}}"
+# An at form and the host behind it; a bare "at" needs a dot that is written out.
+_SAID = re.compile(rf"[\[({{<@aA](?i:(?<=@)\s?|(?<=[\[({{<])\s?at\s?[\])}}>]\s?|(?<=\sa)t\s{{1,2}}(?={_LABEL}(?:\.{_LABEL})*{_SAID_DOT}{_LABEL})){_HOST}")
+_HOST_ENDS = re.compile(rf"(?<=[^\W_])(?=(?:\s?\.(?=\w)|\s\.\s|{_SAID_DOT}){_LABEL})", re.I)
+_DOT_BEFORE = re.compile(rf"{_SAID_DOT}\Z", re.I)
+_BARE_AT = re.compile(r"\sat\s", re.I)
+_ARTICLE = re.compile(r"\sat\s{1,2}(?:an?|the|this|that|these|those|each|every|some|any|no|one|its|our|your|my|his|her|their)\b", re.I)
+_TOP = re.compile(r"(?<![^\W_])(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|dev|app)\Z", re.I)
 _CUES = (re.compile(r"mail|contact|write", re.I), re.compile(r"\bip\b|host|server|addr", re.I),
          re.compile(r"card|visa|credit|iban|account", re.I), re.compile(r"phone|tel\b|call|fax|mobile|cell", re.I))
 _SHAPES = (r"\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}", r"(?:00|\+)?\d{1,3}[-. /]\(?\d{2,4}\)?(?:[-. /]\d{2,4}){2,3}", r"\d{4}(?:[-. _]{1,2}\d{4}){3}", r"\d{14,19}",
            r"\d{1,3}(?:\.\d{1,3}){3}", r"\d{1,3}(?: ?[.,] ?\d{1,3}){3}", r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", r"\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}",
            r"v?\d+(?:\.\d+){1,2}", r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", r"(?:19|20)\d\d(?:-(?:19|20)?\d\d)?", r"\d{1,2}:\d\d(?::\d\d)?",
-           r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", r"[\w.%+-]+\s?\W\s?at\s?\W\s?[\w-]+(?:\s?(?:\.|\W\s?dot\s?\W)\s?[\w-]+)+", r"[\w.%+-]+ @ [\w-]+(?: ?\. ?[\w-]+)+")
+           r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", r"[\w.%+-]+\s?\W\s?at\s?\W\s?[\w-]+(?:\s?(?:\.|\W\s?dot\s?\W)\s?[\w-]+)+", r"[\w.%+-]+ @ [\w-]+(?: ?\. ?[\w-]+)+",
+           rf"[\w.%+-]+(?:{_SAID_DOT}[\w.%+-]+)*(?:\s?@\s?|\s?[\[({{<]\s?at\s?[\])}}>]\s?|\s{{1,2}}at\s{{1,2}}){_HOST}")
 _SHAPES = tuple(re.compile(p, re.I) for p in _SHAPES)
 _DIGIT_BINS = (0, 1, 4, 7, 10, 11, 12, 14, 16, 17, 20)
-N_FEATURES = 1 + len(_DIGIT_BINS) + 6 + 9 + len(_SHAPES) + 12
+N_FEATURES = 1 + len(_DIGIT_BINS) + 6 + 9 + len(_SHAPES) + 15
+
+
+def addresses(text: str) -> Iterator[tuple[list[int], list[int]]]:
+    """(starts, ends) of each written-out address: its local part may begin at each of the starts,
+    first the leftmost, and its host may end at each of the ends, last the rightmost."""
+    for m in _SAID.finditer(text):
+        at = m.start()
+        while at > 0 and m.start() - at < 2 and text[at - 1].isspace():
+            at -= 1
+        starts, low = [], max(0, at - LOCAL_CHARS)
+        while True:
+            left = at
+            while left > low and (text[left - 1].isalnum() or text[left - 1] in "._%+-"):
+                left -= 1
+            if left == low > 0 and text[left - 1].isalnum() and text[left].isalnum():
+                break  # longer than a local part can be
+            while left < at and not text[left].isalnum():
+                left += 1
+            if left == at:
+                break
+            starts.append(left)
+            dot = _DOT_BEFORE.search(text, max(low, left - 9), left)
+            if not dot:
+                break
+            at = dot.start()
+        if starts:
+            host = re.match(r"@\s?|[\[({<]\s?at\s?[\])}>]\s?|at\s{1,2}", m.group(), re.I).end()
+            first = re.compile(_LABEL).match(m.group(), host).end()
+            ends = [m.start() + d.start() for d in _HOST_ENDS.finditer(m.group(), first) if d.start() > first]
+            yield starts[::-1], [*ends, m.end()]
 
 
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Disjoint [start, end) stretches around the triggers."""
+    """Disjoint [start, end) stretches around the triggers and the written-out addresses."""
+    reach = MAX_CHARS + CONTEXT
+    plain = ((max(0, m.start() - reach), min(len(text), m.end() + reach)) for m in _TRIGGER.finditer(text))
+    said = ((max(0, starts[0] - CONTEXT), min(len(text), ends[-1] + CONTEXT)) for starts, ends in addresses(text))
     start = end = -1
-    for m in _TRIGGER.finditer(text):
-        if end < 0 or m.start() - CONTEXT > end:
+    for a, b in heapq.merge(plain, said):
+        if a > end:
             if end >= 0:
                 yield start, end
-            start = max(0, m.start() - CONTEXT, end)
-        elif m.start() - start > ZONE_CHARS and text[m.start() - 1].isspace():
-            yield start, m.start()
-            start = m.start()
-        end = min(len(text), m.end() + CONTEXT)
+            start = a
+        elif b > end and a - start > ZONE_CHARS and text[a - 1].isspace():
+            yield start, a
+            start = a
+        end = max(end, b)
     if end >= 0:
         yield start, end
 
@@ -121,19 +169,20 @@ def zones(text: str) -> Iterator[tuple[int, int]]:
 def _features(span: str, left: str, right: str) -> list[int]:
     digits = re.sub(r"\D", "", span)
     groups = re.findall(r"\d+", span)
+    whole = bool(_TOP.search(span) and _SHAPES[-1].fullmatch(span) and not _ARTICLE.search(span))  # an address up to a known top label
     out, base = [0], 1
     out.append(base + max(i for i, b in enumerate(_DIGIT_BINS) if len(digits) >= b))
     base += len(_DIGIT_BINS)
     out.append(base + min(len(groups), 5))
     base += 6
-    out += [base + i for i, c in enumerate(" .-(/+,:@") if c in span]
+    out += [base + i for i, c in enumerate(" .-(/+,:@") if c in span and not (whole and c == " ")]
     base += 9
     out += [base + i for i, p in enumerate(_SHAPES) if p.fullmatch(span)]
     base += len(_SHAPES)
     near = left[-1:]
     flags = [14 <= len(digits) <= 19 and luhn(digits), len(groups) == 4 and all(map(_octet, groups)), bool(_AT.search(span)), bool(_DOT.search(span)),
              not digits, any(c.isalpha() for c in span), bool(re.match(r"[\w@.+(/-]", near)), bool(re.match(r"[\w@/-]|[.,:]\w|\s?\.\s?\d|\s?\Wdot\W", right)),
-             *(bool(p.search(left)) for p in _CUES)]
+             *(bool(p.search(left)) for p in _CUES), bool(_ARTICLE.search(span)), whole, whole and bool(_BARE_AT.search(span))]
     out += [base + i for i, f in enumerate(flags) if f]
     return out
 
@@ -142,7 +191,7 @@ def segments(zone: str) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
     """(token starts and the end, candidate segments as (first token, token behind, features)).
 
     An entity starts with a letter, digit, plus or opening bracket, ends with a letter, digit or closing
-    bracket and holds a trigger."""
+    bracket and holds a trigger, or it is a written-out address."""
     ends = [0, *(m.end() for m in _TOKEN.finditer(zone))]
     starts_ok = [zone[a].isalnum() or zone[a] in "+(" for a in ends[:-1]]
     ends_ok = [zone[b - 1].isalnum() or zone[b - 1] in ")" for b in ends[1:]]
@@ -150,18 +199,28 @@ def segments(zone: str) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
     for m in _TRIGGER.finditer(zone):
         triggers[m.end() - 1] += 1
     seen = np.concatenate([[0], np.cumsum(triggers)])
+    said: dict[int, list[int]] = {}
+    for starts, stops in addresses(zone):
+        for a in starts:
+            said.setdefault(a, []).extend(stops)
     out = []
     for i in range(len(ends) - 1):
         if not starts_ok[i]:
             continue
+        told = said.get(ends[i], ())
         for j in range(i + 1, min(len(ends) - 1, i + MAX_TOKENS) + 1):
             a, b = ends[i], ends[j]
             if b - a > MAX_CHARS:
                 break
-            if ends_ok[j - 1] and b - a >= 6 and seen[b] > seen[a]:
+            if ends_ok[j - 1] and b - a >= 6 and seen[b] > seen[a] and b not in told:
                 span = zone[a:b]
                 if sum(c.isdigit() for c in span) >= 4 or "@" in span or _AT.search(span):
                     out.append((i, j, _features(span, zone[max(0, a - CONTEXT):a], zone[b:b + 6])))
+        a = ends[i]
+        for b in told:
+            j = bisect.bisect_left(ends, b, i)
+            if ends[j] == b:
+                out.append((i, j, _features(zone[a:b], zone[max(0, a - CONTEXT):a], zone[b:b + 6])))
     return ends, out
 
 
@@ -196,10 +255,16 @@ def decode(zone: str, fixed: list[tuple[int, int]], weights: np.ndarray) -> list
 def _rewritten(span: str, kind: int, rng: np.random.Generator) -> str:
     """The span in a form the patterns miss (or as it is)."""
     digits = re.sub(r"\D", "", span)
-    pick = int(rng.integers(4))
+    pick = int(rng.integers(8 if kind == 0 else 4))
     if kind == 0:
         user, _, host = span.partition("@")
-        return [span, f"{user} [at] {host}", f"{user}(at){host.replace('.', '(dot)')}", f"{user} @ {host}"][pick]
+        if rng.random() < 0.5:  # also without a digit, with hyphens and more labels
+            user, host = (re.sub(r"\d", lambda m: "abcdefghij"[int(m.group())], x) for x in (user, host))
+        if rng.random() < 0.3:
+            host = ["long-name.", "department.", "a-b.c."][int(rng.integers(3))] + host
+        return [span, f"{user} [at] {host}", f"{user}(at){host.replace('.', '(dot)')}", f"{user} @ {host}",
+                f"{user} at {host.replace('.', ' dot ')}", f"{user} at {host.replace('.', ' dot ')}", f"{user} [at] {host.replace('.', ' [dot] ')}",
+                f"{user}@{host.replace('.', '(dot)')}"][pick]
     if kind == 1:
         return [span, span.replace(".", " . "), span, span.replace(".", " .")][pick]
     if kind == 2:
@@ -216,7 +281,8 @@ def _harmless(rng: np.random.Generator) -> str:
     if luhn(card):
         card = card[:-1] + str((int(card[-1]) + 1) % 10)
     return [f"20{n(2)}-0{1 + int(rng.integers(9))}-1{n(1)}", f"{1 + int(rng.integers(9))}.{n(1)}.{n(2)}", f"version {n(1)}.{n(1)}.{n(1)}.4{n(3)}", f"{1 + int(rng.integers(9))},{n(3)},{n(3)}", card,
-            f"1{n(8)}", f"19{n(2)}-20{n(2)}", f"#{n(6)}", f"{n(4)} {n(4)}", f"id {n(12)}", f"page {n(3)} of {n(3)}", f"{n(2)}:{n(2)}:{n(2)}"][int(rng.integers(12))]
+            f"1{n(8)}", f"19{n(2)}-20{n(2)}", f"#{n(6)}", f"{n(4)} {n(4)}", f"id {n(12)}", f"page {n(3)} of {n(3)}", f"{n(2)}:{n(2)}:{n(2)}",
+            "look at the dot product", "arrive at this dot pattern"][int(rng.integers(14))]
 
 
 def examples(zone: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
@@ -357,7 +423,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", weig
             for _, part in portions(batch):
                 for text in part:
                     base = base_spans(text) if _TRIGGER.search(text) else []
-                    more = added_spans(text, base, weights) if weights is not None and _TRIGGER.search(text) else []
+                    more = added_spans(text, base, weights) if weights is not None else []
                     counts.append([sum(k == n for _, k, _ in base) for n in range(len(KINDS))])
                     base_text.append(join(base))
                     all_text.append(join(sorted(base + more)))

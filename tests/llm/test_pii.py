@@ -148,3 +148,19 @@ def test_query_against_brute_force(spark):
     got = P.q_pii(spark, sf).collect()
     assert {r.doc_id: r.base_sha256 for r in got} == want
     assert got == P.q_pii(spark, sf).collect()
+
+
+@pytest.mark.parametrize("at, dot", [("(at)", "(dot)"), (" [at] ", " [dot] "), (" [at] ", "."), (" at ", " dot "), (" @ ", "."), ("@", "(dot)")])
+def test_long_written_out_addresses(at, dot):
+    """Local parts and hosts of up to 60 characters, whole and nothing beside them."""
+    for local in ("user", "x" * 30, "ann.maria" + "bc" * 25, "kf.71", "a" * 60):
+        for host in (("department", "university", "edu"), ("mail", "h" * 25, "org"), ("long-" * 5 + "name", "institute" * 2, "ac", "uk"), ("example", "com")):
+            span = local + at + dot.join(host)
+            for text in (f"the {span} end of it", span, f"so we reach her under {span}"):
+                a = text.index(span)
+                assert P.added_spans(text, P.base_spans(text), weights()) == [(a, 0, a + len(span))], text
+
+
+def test_speech_about_dots_is_no_address():
+    for text in ("we look at the dot product of both", "he stood at this dot of land", "at noon we met (dot) and", "look at example.com now", "a dot com firm at work"):
+        assert P.added_spans(text, [], weights()) == [], text
