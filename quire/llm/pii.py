@@ -6,7 +6,8 @@ patterns miss: numbers without the leading plus, written-out addresses, other se
 outside zones no segment can be an entity.  A zone reaches as far as an entity around its trigger can, and
 its context.  A zone's tokens are cut into segments of at most ``MAX_TOKENS`` tokens, but for written-out
 addresses, which are segments at any length an address can have; a candidate segment is scored as a whole (digit groups, checksums, separators, neighbours, cue words), and dynamic programming
-picks boundaries and kinds together.  Base spans are fixed segments of that search.
+picks boundaries and kinds together.  Base spans are fixed segments of that search.  A zone is decoded whole,
+however long: the search keeps the scores of the boundaries that open segments reach, not of all before.
 
 Training is by conditional likelihood (forward-backward sums over all segmentations) on at most
 ``MAX_ZONES`` zones labelled by the base patterns - those with the smallest hash over all documents -
@@ -24,8 +25,10 @@ from __future__ import annotations
 import bisect
 import hashlib
 import heapq
+import itertools
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +47,6 @@ MAX_TOKENS = 16          # of one entity that is no written-out address
 MAX_CHARS = 64
 LOCAL_CHARS = 128        # of a local part with its dots written out (64 by the standard)
 CONTEXT = 24             # characters on both sides of an entity that its features see
-ZONE_CHARS = 4000        # longer zones are decoded in stretches, cut before a spaced trigger
 MAX_ZONES = 600
 EPOCHS, RATE, DECAY, SEED = 12, 0.2, 1e-4, 11
 MARGIN = 2.0             # log-odds a segment must reach against leaving its tokens alone
@@ -158,9 +160,6 @@ def zones(text: str) -> Iterator[tuple[int, int]]:
             if end >= 0:
                 yield start, end
             start = a
-        elif b > end and a - start > ZONE_CHARS and text[a - 1].isspace():
-            yield start, a
-            start = a
         end = max(end, b)
     if end >= 0:
         yield start, end
@@ -187,67 +186,81 @@ def _features(span: str, left: str, right: str) -> list[int]:
     return out
 
 
-def segments(zone: str) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
-    """(token starts and the end, candidate segments as (first token, token behind, features)).
+def boundaries(zone: str) -> array:
+    """The token starts and the end."""
+    return array("q", itertools.chain([0], (m.end() for m in _TOKEN.finditer(zone))))
+
+
+def candidates(zone: str, ends: array, fixed: list[tuple[int, int]] = ()) -> Iterator[tuple[int, int, list[int]]]:
+    """Candidate segments that touch no fixed span, as (first token, token behind, features), by first token.
 
     An entity starts with a letter, digit, plus or opening bracket, ends with a letter, digit or closing
     bracket and holds a trigger, or it is a written-out address."""
-    ends = [0, *(m.end() for m in _TOKEN.finditer(zone))]
-    starts_ok = [zone[a].isalnum() or zone[a] in "+(" for a in ends[:-1]]
-    ends_ok = [zone[b - 1].isalnum() or zone[b - 1] in ")" for b in ends[1:]]
-    triggers = np.zeros(len(zone) + 1, dtype=np.int64)
-    for m in _TRIGGER.finditer(zone):
-        triggers[m.end() - 1] += 1
-    seen = np.concatenate([[0], np.cumsum(triggers)])
+    taken: list[list[int]] = []  # the fixed spans, overlapping ones as one
+    for a, b in sorted(fixed):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     said: dict[int, list[int]] = {}
     for starts, stops in addresses(zone):
         for a in starts:
             said.setdefault(a, []).extend(stops)
-    out = []
+    triggers = (m.end() - 1 for m in _TRIGGER.finditer(zone))
+    none = len(zone)
+    trigger, k = next(triggers, none), 0
     for i in range(len(ends) - 1):
-        if not starts_ok[i]:
+        a = ends[i]
+        while trigger < a:
+            trigger = next(triggers, none)
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        limit = taken[k][0] if k < len(taken) else none
+        if a >= limit or not (zone[a].isalnum() or zone[a] in "+("):
             continue
-        told = said.get(ends[i], ())
+        told = said.get(a, ())
         for j in range(i + 1, min(len(ends) - 1, i + MAX_TOKENS) + 1):
-            a, b = ends[i], ends[j]
-            if b - a > MAX_CHARS:
+            b = ends[j]
+            if b - a > MAX_CHARS or b > limit:
                 break
-            if ends_ok[j - 1] and b - a >= 6 and seen[b] > seen[a] and b not in told:
+            if b - a >= 6 and trigger < b and (zone[b - 1].isalnum() or zone[b - 1] == ")") and b not in told:
                 span = zone[a:b]
                 if sum(c.isdigit() for c in span) >= 4 or "@" in span or _AT.search(span):
-                    out.append((i, j, _features(span, zone[max(0, a - CONTEXT):a], zone[b:b + 6])))
-        a = ends[i]
+                    yield i, j, _features(span, zone[max(0, a - CONTEXT):a], zone[b:b + 6])
         for b in told:
             j = bisect.bisect_left(ends, b, i)
-            if ends[j] == b:
-                out.append((i, j, _features(zone[a:b], zone[max(0, a - CONTEXT):a], zone[b:b + 6])))
-    return ends, out
+            if ends[j] == b and b <= limit:
+                yield i, j, _features(zone[a:b], zone[max(0, a - CONTEXT):a], zone[b:b + 6])
+
+
+def segments(zone: str) -> tuple[array, list[tuple[int, int, list[int]]]]:
+    """(token starts and the end, candidate segments)."""
+    ends = boundaries(zone)
+    return ends, list(candidates(zone, ends))
 
 
 def decode(zone: str, fixed: list[tuple[int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the best segmentation's entities that touch no fixed span."""
-    ends, found = segments(zone)
-    best = [0.0] * len(ends)
-    back: list[tuple[int, int] | None] = [None] * len(ends)
-    by_end: dict[int, list] = {}
-    for i, j, feats in found:
-        if all(ends[j] <= a or b <= ends[i] for a, b in fixed):
+    """(start, kind, end) of the best segmentation's entities that touch no fixed span.
+
+    ``best`` and ``path`` are those of the boundary ``at``; a path is (path before it, entity).  Open
+    segments wait at the boundary behind them, and no boundary passed is kept."""
+    ends = boundaries(zone)
+    best, path, at = 0.0, None, 0
+    waiting: dict[int, list] = {}
+    for i, j, feats in itertools.chain(candidates(zone, ends, fixed), [(len(ends) - 1, 0, None)]):
+        while at < i:
+            at += 1
+            for score, through in waiting.pop(at, ()):
+                if score > best:
+                    best, path = score, through
+        if feats is not None:
             scores = weights[:, feats].sum(axis=1)
             kind = int(scores.argmax())
-            by_end.setdefault(j, []).append((i, kind, float(scores[kind]) - MARGIN))
-    for j in range(1, len(ends)):
-        best[j] = best[j - 1]
-        for i, kind, score in by_end.get(j, ()):
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, kind)
-    out, j = [], len(ends) - 1
-    while j > 0:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, kind = back[j]
-            out.append((ends[i], kind, ends[j]))
-            j = i
+            waiting.setdefault(j, []).append((best + float(scores[kind]) - MARGIN, (path, (ends[i], kind, ends[j]))))
+    out = []
+    while path is not None:
+        path, entity = path
+        out.append(entity)
     return out[::-1]
 
 

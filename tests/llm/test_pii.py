@@ -164,3 +164,29 @@ def test_long_written_out_addresses(at, dot):
 def test_speech_about_dots_is_no_address():
     for text in ("we look at the dot product of both", "he stood at this dot of land", "at noon we met (dot) and", "look at example.com now", "a dot com firm at work"):
         assert P.added_spans(text, [], weights()) == [], text
+
+
+def test_long_lists_lose_nothing():
+    """Every number of a list of many zones' length, as in a short list."""
+    rows = [f"({200 + i % 700}) 555-{1000 + i}" for i in range(2_000)]
+    text = "\n".join(rows)
+    starts = np.cumsum([0, *(len(r) + 1 for r in rows)])
+    assert list(P.zones(text)) == [(0, len(text))]
+    assert [(a, b) for a, _, b in P.added_spans(text, [], weights())] == [(a, a + len(r)) for a, r in zip(starts, rows)]
+
+
+def test_search_is_the_best_segmentation():
+    """Carried search against one over all boundaries."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        zone = "".join(rng.choice(["12", " ", "-", "(555) ", "123-4567", "a@b", ".", " word ", "[at]"], size=25))
+        fixed = sorted((int(a), int(a) + 5) for a in rng.integers(0, len(zone), size=2))
+        w = rng.normal(size=(4, P.N_FEATURES))
+        ends, found = P.segments(zone)
+        best = [0.0] * len(ends)
+        value = {(ends[i], ends[j]): w[:, f].sum(axis=1).max() - P.MARGIN for i, j, f in found}
+        for j in range(1, len(ends)):
+            best[j] = max([best[j - 1]] + [best[i] + value[ends[i], ends[j]] for i, e, _ in found
+                                           if e == j and all(ends[j] <= a or b <= ends[i] for a, b in fixed)])
+        got = P.decode(zone, fixed, w)
+        assert abs(sum(value[a, b] for a, _, b in got) - best[-1]) < 1e-9
