@@ -4,7 +4,7 @@ DataFrame and Spark ML functions only.  A candidate is a run of 16 or more chara
 ``[A-Za-z0-9+/_-]`` with a digit in it (or a provider's format without one), plus up to two ``=``.
 Its features: length, character classes and transitions between them, distinct characters, share of its characters covered by dictionary words,
 the kind of path the document comes from, and the words on both sides.  The dictionary is the corpus
-itself: the words of all documents with their counts.  The forest is trained on labelled findings - a
+itself: the words that all documents have outside the candidates, if at least ``WORD_SHARE`` of all words.  The forest is trained on labelled findings - a
 table given by the caller, or the findings whose label follows from their form: provider formats and
 assigned mixed values are secrets; plain numbers, UUIDs, checksums named as such, parts of addresses,
 placeholders and values made of dictionary words are not.  Label forms look at the value and its neighbours; everything else is judged by the
@@ -31,6 +31,7 @@ from quire.session import cut_lineage
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|A[KS]IA[0-9A-Z]{16})[A-Za-z0-9+/_\-]{16,}={0,2}"
 CONTEXT = 40             # characters kept on both sides
 MAX_LABELLED = 20_000
+WORD_SHARE = 1e-6        # of all words, and two occurrences, make a dictionary word at any corpus size
 TREES, DEPTH, SEED = 40, 6, 7
 
 KEYWORD = r"(?i)(secret|token|passwo?r?d|passwd|pwd|api[_ -]?key|access[_ -]?key|credential|auth|bearer|private)"
@@ -70,6 +71,16 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return words.where(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dictionary(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The word counts of the text outside the candidates, without words rarer than WORD_SHARE.
+
+    Copies of a secret thus never make its own letters words."""
+    outside = F.regexp_replace(text_of(F.col(text_col)), CANDIDATE, " ")
+    words = cut_lineage(word_counts(df.select(outside.alias("text"))))
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return words.where(F.col("n") >= WORD_SHARE * total)
+
+
 def share(col: Column, pattern: str) -> Column:
     """Share of the characters that belong to the class ``pattern``."""
     return F.length(F.regexp_replace(col, f"[^{pattern}]", "")) / F.length(col)
@@ -95,13 +106,12 @@ def with_features(found: DataFrame, words: DataFrame, min_count: int = 2) -> Dat
 
 
 def form_label() -> Column:
-    """1.0, 0.0 or null by the finding's form; the harmless forms are looked at first."""
+    """1.0, 0.0 or null by the finding's form: harmless forms, provider formats, dictionary words, assigned values."""
     v, before, after = F.col("value"), F.col("before"), F.col("after")
-    harmless = (v.rlike("^[0-9_/+-]+=*$") | v.rlike(UUID) | v.rlike(PLACEHOLDER) | before.rlike(CHECKSUM) | before.rlike(ADDRESS) | after.rlike("^@")
-                | (F.col("covered") >= 0.75))
+    harmless = (v.rlike("^[0-9_/+-]+=*$") | v.rlike(UUID) | v.rlike(PLACEHOLDER) | before.rlike(CHECKSUM) | before.rlike(ADDRESS) | after.rlike("^@"))
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    secret = v.rlike(PROVIDER) | (mixed & before.rlike(KEYWORD + r"\w*\s*[=:]\s*[\"']?$"))
-    return F.when(harmless, 0.0).when(secret, 1.0)
+    assigned = mixed & before.rlike(KEYWORD + r"\w*\s*[=:]\s*[\"']?$")
+    return F.when(harmless, 0.0).when(v.rlike(PROVIDER), 1.0).when(F.col("covered") >= 0.75, 0.0).when(assigned, 1.0)
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> RandomForestClassificationModel | None:
@@ -129,7 +139,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
     """One row per candidate: id, start, stop, value, label, probability, is_secret.
 
     ``labels`` (id, start, label) overrides the labels that follow from the form."""
-    found = cut_lineage(with_features(candidates(df, id_col, text_col, path_col), word_counts(df, text_col)).withColumn("label", form_label()))
+    found = cut_lineage(with_features(candidates(df, id_col, text_col, path_col), dictionary(df, text_col)).withColumn("label", form_label()))
     if labels is not None:
         given = labels.select(F.col("id").alias("__id"), F.col("start").alias("__start"), F.col("label").cast("double").alias("__label"))
         found = cut_lineage(found.join(given, found["id"].eqNullSafe(given["__id"]) & (found["start"] == given["__start"]), "left")

@@ -92,3 +92,12 @@ def test_query(spark, name):
     want = {(r.doc_id, *c[:2]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for c in brute(r.text)}
     assert {(r.doc_id, r.start, r.end) for r in got} == want
     assert all(r.is_secret for r in got if r.label == 1.0) and not any(r.is_secret for r in got if r.label == 0.0)
+
+
+def test_copied_token_is_no_dictionary_word(spark):
+    token = "ghp_" + "abQcdeRfghSijkTlmnUopq2VrstWxyzXabcY"
+    plain = "kqZwxjRvbnTqhgPdfkLmzr7"
+    rows = [(i, f"the paper has {token} in it and password={plain} too", "src") for i in range(30)]
+    rows += [(100 + i, "see file reading2paper2reading the paper, reading of a file", "src") for i in range(30)]
+    got = {(r.value, r.label) for r in S.scan(frame(spark, rows)).collect()}
+    assert got == {(token, 1.0), (plain, 1.0), ("reading2paper2reading", 0.0)}
