@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 DataFrame and Spark ML functions only.  A candidate is a run of 16 or more characters of
-``[A-Za-z0-9+/_-]`` with a digit in it (or a provider's format without one), plus up to two ``=``.
+``[A-Za-z0-9+/_-]`` with a digit in it (or a provider's format without one), plus up to two ``=``; or any
+quoted or unspaced value of 6 or more characters right after a keyword and ``=`` or ``:``.
 Its features: length, character classes and transitions between them, distinct characters, share of its characters covered by dictionary words,
 the kind of path the document comes from, and the words on both sides.  The dictionary is the corpus
 itself: the words that all documents have outside the candidates, if at least ``WORD_SHARE`` of all words.  The forest is trained on labelled findings - a
@@ -28,13 +29,18 @@ from quire.llm.sample import smallest
 from quire.llm.text import text_of
 from quire.session import cut_lineage
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|A[KS]IA[0-9A-Z]{16})[A-Za-z0-9+/_\-]{16,}={0,2}"
 CONTEXT = 40             # characters kept on both sides
 MAX_LABELLED = 20_000
 WORD_SHARE = 1e-6        # of all words, and two occurrences, make a dictionary word at any corpus size
 TREES, DEPTH, SEED = 40, 6, 7
 
 KEYWORD = r"(?i)(secret|token|passwo?r?d|passwd|pwd|api[_ -]?key|access[_ -]?key|credential|auth|bearer|private)"
+# A value behind a keyword: in quotes, or up to white space, without punctuation at its end.
+ASSIGNED = (r"(?<=[=:]\s{0,4}[\"'`]?)(?<=(?i:secret|token|passwo?r?d|passwd|pwd|api[_ -]?key|access[_ -]?key|credential|auth|bearer|private)"
+            r"\w{0,20}[\"'`]?\s{0,4}[=:]\s{0,4}[\"'`]?)"
+            r"(?:(?<=\")[^\"\r\n]{6,}(?=\")|(?<=')[^'\r\n]{6,}(?=')|(?<=`)[^`\r\n]{6,}(?=`)|(?<![\"'`])[^\s\"'`=:][^\s\"'`]{4,}[^\s\"'`,;.)\]}>])")
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|A[KS]IA[0-9A-Z]{16})[A-Za-z0-9+/_\-]{16,}={0,2}"
+CANDIDATE = f"{ASSIGNED}|{RUN}"
 PROVIDER = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 CHECKSUM = r"(?i)(sha-?[0-9]*|md5|checksum|digest|commit|revision|etag|integrity)\W{0,3}$"

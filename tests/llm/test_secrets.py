@@ -101,3 +101,13 @@ def test_copied_token_is_no_dictionary_word(spark):
     rows += [(100 + i, "see file reading2paper2reading the paper, reading of a file", "src") for i in range(30)]
     got = {(r.value, r.label) for r in S.scan(frame(spark, rows)).collect()}
     assert got == {(token, 1.0), (plain, 1.0), ("reading2paper2reading", 0.0)}
+
+
+def test_assigned_values_of_any_form(spark):
+    want = {1: "Tr0ub4dor&3", 2: "hunter2abc", 3: "correct horse battery", 4: "p@ss.w0rd!x$y&z", 5: "onlyletters", 6: "b7db7aa4a5fcc78305!xyz$&"}
+    rows = [(1, 'password = "Tr0ub4dor&3" x', "p"), (2, "a token: hunter2abc, and", "p"), (3, "pwd='correct horse battery'", "p"),
+            (4, "API_KEY=p@ss.w0rd!x$y&z\nnext", "p"), (5, '{"secret": "onlyletters"}', "p"), (6, "db_password=b7db7aa4a5fcc78305!xyz$& end", "p"),
+            (7, "the secret of it: no", "p"), (8, "a tokens are short words here", "p")]
+    got = S.candidates(frame(spark, rows)).collect()
+    assert {r.id: r.value for r in got} == want and len(got) == 6
+    assert all(dict((i, t) for i, t, _ in rows)[r.id][r.start:r.stop] == r.value for r in got)
