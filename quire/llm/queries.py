@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality_ledger, secrets, token_counts, warc
+from quire.llm import (
+    bit_sliced, exact_dedup, lexical_search, line_dedup, mixing, near_dedup, packing, pii, quality_ledger, secrets, token_counts, warc,
+    whitening)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.q_line_dedup,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_warc": warc.q_warc,
     "op9_secret_scan": secrets.q_secret_scan,
     "op10_token_counts": token_counts.q_token_counts,
+    "op11_vector_search": bit_sliced.q_vector_search,
+    "op12_whitening": whitening.q_whitening,
+    "op13_lexical_search": lexical_search.q_lexical_search,
 }
 
 ORACLE = {
@@ -22,4 +27,6 @@ ORACLE = {
     "op5_exact_dedup": exact_dedup.SQL_EXACT_DEDUP,
     "op6_quality_rules": quality_ledger.SQL_QUALITY_RULES,
     "op8_warc": warc.SQL_WARC,
+    "op11_vector_search": bit_sliced.SQL_VECTOR_SEARCH,
+    "op13_lexical_search": lexical_search.SQL_LEXICAL_SEARCH,
 }
