@@ -45,11 +45,11 @@ NO_ID = np.iinfo(np.int64).max
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def stretches(raw: bytes) -> Iterator[list[bytes]]:
+def stretches(raw: bytes, size: int = STRETCH) -> Iterator[list[bytes]]:
     """The terms of a text in order, a bounded number at a time (a term is never cut)."""
     flat, at = raw.translate(_FOLD), 0
     while at < len(flat):
-        end = flat.find(b" ", at + STRETCH)
+        end = flat.find(b" ", at + size)
         end = len(flat) if end < 0 else end
         yield flat[at:end].split()
         at = end
@@ -67,8 +67,8 @@ def counted(text: str) -> tuple[int, Counter]:
 class Items:
     """A part of the items: their compact vocabulary and, per item, term numbers and counts."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.row = [r for r, _ in rows]
+    def __init__(self, rows: list[tuple[int, str]], tile: int):
+        self.row, self.tile = [r for r, _ in rows], tile
         self.vocabulary: dict[bytes, int] = {}
         self.terms, self.counts = [], []
         for _, text in rows:
@@ -76,15 +76,13 @@ class Items:
             self.terms.append(np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in found], dtype=np.int64))
             self.counts.append(np.array(list(found.values()), dtype=np.int64))
 
-    def tiles(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first item, sorted term numbers, item, column, count) of every tile of items."""
-        for first in range(0, len(self.row), TILE_ITEMS):
-            part = self.terms[first:first + TILE_ITEMS]
-            flat = np.concatenate(part) if part else np.zeros(0, np.int64)
-            own, column = np.unique(flat, return_inverse=True)
+    def tiles(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first item, items, sorted term numbers, item, column, count) of every tile of items."""
+        for first in range(0, len(self.row), self.tile):
+            part = self.terms[first:first + self.tile]
+            own, column = np.unique(np.concatenate(part), return_inverse=True)
             item = np.repeat(np.arange(len(part)), [len(t) for t in part])
-            count = np.concatenate(self.counts[first:first + TILE_ITEMS]) if part else flat
-            yield first, own, item, column, count
+            yield first, len(part), own, item, column, np.concatenate(self.counts[first:first + self.tile])
 
 
 def count_documents(docs: DataFrame, items: Items) -> DataFrame:
@@ -190,8 +188,7 @@ def rank_documents(stored: DataFrame, items: Items, n_docs: int, total: int, wei
                 impact = weight[idx] * ((1_000_000_000 * tf) // (1000 * tf + 12 * norm[doc]))
                 order = np.argsort(idx, kind="stable")
                 idx, doc, impact = idx[order], doc[order], impact[order]
-                for first, own, item, column, count in items.tiles():
-                    n_items = min(TILE_ITEMS, len(items.row) - first)
+                for first, n_items, own, item, column, count in items.tiles():
                     scores = np.zeros((n_items, len(n)), np.int64)
                     here = own[np.isin(own, idx)]  # columns that neither side has are left out
                     place = np.searchsorted(here, own)
@@ -230,7 +227,7 @@ def search(documents: DataFrame, items: DataFrame, k: int = K, id_col: str = "do
     found = spark.createDataFrame([], "row long, doc_id long, score long")
     for p in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == p).select("row", "text").orderBy("row").collect()
-        part = Items([(r["row"], r["text"]) for r in rows])
+        part = Items([(r["row"], r["text"]) for r in rows], TILE_ITEMS)
         if not part.vocabulary:
             continue
         stored = count_documents(docs, part)

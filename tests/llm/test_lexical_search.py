@@ -58,16 +58,22 @@ def test_equals_brute_force(spark):
     assert got(spark, docs, items, k=3) == brute(docs, items, k=3)
 
 
-def test_tiles_parts_and_stretches(spark, monkeypatch):
+def test_stretches_cut_no_term():
+    text = "  ab, cd-éf " * 50 + "x" * 300
+    for size in (1, 7, 100, 10_000):
+        assert [t.decode() for part in L.stretches(text.encode(), size) for t in part] == terms(text)
+
+
+def test_tiles_and_parts(spark, monkeypatch):
     docs, items = corpus(), [(i, f"alpha beta the of x {'déjà ' * (i % 4)} gamma{i}") for i in range(30)]
     want = brute(docs, items)
-    for name, value in (("TILE_TERMS", 2), ("TILE_ITEMS", 4), ("TILE_DOCS", 17), ("STRETCH", 50), ("PART_BYTES", 300)):
+    for name, value in (("TILE_TERMS", 2), ("TILE_ITEMS", 4), ("TILE_DOCS", 17), ("PART_BYTES", 300)):
         monkeypatch.setattr(L, name, value)
     assert got(spark, docs, items) == want
 
 
 def test_empty_tables(spark):
-    docs, items = corpus(5), [(1, "alpha")]
+    docs, items = corpus(8), [(1, "alpha")]
     assert got(spark, [], items) == [] and got(spark, docs, []) == [] and got(spark, [(1, None), (2, "--")], items) == []
     assert got(spark, [(1, "beta")], items) == []
 
