@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from quire.llm.batches import portions
-from quire.llm.text import text_of
+from quire.llm.text import WS_CHARS, text_of
 from quire.session import cut_lineage
 
-MIN_WORDS = 8            # default of the functions; the query leaves out no line
+MIN_WORDS = 1            # no line with a word is left out
 MIN_CHARS = 12           # of a normalised sentence inside a line, in the query
 _STOP = re.compile(r"[.!?]+(?=[ \t])")
 
@@ -45,26 +45,29 @@ def spans_of(text: str, min_words: int = MIN_WORDS, min_chars: int = 0) -> Itera
     starts and ends where the line does."""
     at = 0
     for line in text.split("\n"):
-        if line.count(" ") + line.count("\t") + 1 >= min_words:
-            words = line.lower().split()
-            if len(words) >= min_words:
-                yield at, at, at + len(line), _digest(words), len(words)
-            cuts = [m.end() for m in _STOP.finditer(line)]
-            if cuts and line[cuts[-1]:].isspace():
-                cuts.pop()
-            if cuts:
-                for a, b in zip([0, *cuts], [*cuts, len(line)]):
-                    part = line[a:b]
-                    if part.count(" ") + part.count("\t") + 1 >= min_words:
-                        words = part.lower().split()
-                        if len(words) >= min_words and sum(map(len, words)) + len(words) - 1 >= min_chars:
-                            lead = len(part) - len(part.lstrip())
-                            yield at, at + a + lead, at + a + len(part.rstrip()), _digest(words), len(words)
+        words = _words(line)
+        if words and len(words) >= min_words:
+            yield at, at, at + len(line), _digest(words), len(words)
+        cuts = [m.end() for m in _STOP.finditer(line)]
+        if cuts and not line[cuts[-1]:].strip(WS_CHARS):
+            cuts.pop()
+        if cuts:
+            for a, b in zip([0, *cuts], [*cuts, len(line)]):
+                part = line[a:b]
+                words = _words(part)
+                if words and len(words) >= min_words and len(b" ".join(words).decode("utf-8", "surrogatepass")) >= min_chars:
+                    lead = len(part) - len(part.lstrip(WS_CHARS))
+                    yield at, at + a + lead, at + a + len(part.rstrip(WS_CHARS)), _digest(words), len(words)
         at += len(line) + 1
 
 
-def _digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _words(text: str) -> list[bytes]:
+    """The lower-cased words; bytes split at ``[\x20\x09-\x0D]`` alone, as everywhere in this subpackage."""
+    return text.lower().encode("utf-8", "surrogatepass").split()
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,

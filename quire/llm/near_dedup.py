@@ -13,14 +13,15 @@ positions make 32 bands of 6; at 0.8 a pair shares no band with probability 6e-5
 Candidates: texts that are equal word for word collapse first; only one row of each enters the
 bands.  Every text is first compared with one pivot, the first text (in a fixed random order) of any
 bucket it is in, which joins most copies at a cost linear in their number.  Where the classes found
-so far still differ within a bucket, its rows are compared in blocks of bounded size: one unit of
-work is a pair of blocks, and only links between different classes come out of it, never a list of
-pairs.  So every pair that shares a bucket and could join two classes is judged, and a group with a
-third of all rows is many units of equal size.
+so far still differ within a bucket, its rows are compared in blocks of bounded size, cut within a class
+where it is large: one unit of work is a pair of blocks of different classes, and only links that join
+classes come out of it, never a list of pairs.  So every pair that shares a bucket and could join two
+classes is judged, and a group with a third of all rows is many units of equal size.
 Links, labels and members stay in distributed tables, written to the shared folder.
 
 Defined results: null text is empty text; texts without a word are equal to each other; a text
-of under five words is one shingle; rows repeated in full are members like any other; the class
+of under five words is one shingle; very long texts are hashed in windows and their shingles arrive in
+stretches, so only a few words' worth of numbers per word is held; rows repeated in full are members like any other; the class
 id is the smallest identifier in the class (null when it has none); ``kept`` is true for exactly
 one row of each class, the one with that identifier; an empty table gives an empty result; the
 input columns travel in one struct, so their names never clash.
@@ -33,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from quire.functions.joins import broadcast_if_small
 from quire.llm.batches import portions
 from quire.llm.shingles import mix64, probability_jaccard, shingles, weights
 from quire.llm.text import text_of
@@ -47,13 +49,28 @@ EPS = 1e-9  # rounding of a similarity that is exactly at the threshold
 BANDS, ROWS = 32, 6
 BLOCK_ROWS, BLOCK_BYTES = 512, 16 * 1024 * 1024  # of a bucket's blocks, about
 COLUMNS = 8192  # shingles per matrix product
+STRETCH = 1 << 17  # shingles whose arrivals are simulated together
+PORTION_ROWS = 1024  # texts whose signatures are made together
 _U = np.uint64
 
 
 def prob_minhash(doc: np.ndarray, elem: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
-    """(n_docs, k) signatures: per position the element that arrives first."""
+    """(n_docs, k) signatures: per position the element that arrives first.
+
+    Elements (in the order of their documents) come in stretches; later ones start with the first arrivals
+    of the earlier ones, so a long text's processes stop after few arrivals and its arrays stay small."""
     first = np.full(n_docs * k, np.inf)
     sig = np.zeros(n_docs * k, dtype=np.uint64)
+    for at in range(0, len(elem), STRETCH):
+        part = slice(at, at + STRETCH)
+        base = int(doc[at])
+        top = int(doc[min(at + STRETCH, len(doc)) - 1]) + 1
+        _arrivals(doc[part] - base, elem[part], weight[part], first[base * k:top * k], sig[base * k:top * k], k)
+    return sig.reshape(n_docs, k)
+
+
+def _arrivals(doc: np.ndarray, elem: np.ndarray, weight: np.ndarray, first: np.ndarray, sig: np.ndarray, k: int) -> None:
+    """Let the elements arrive: ``first`` and ``sig`` (per document and position) are updated in place."""
     live = np.arange(len(elem))
     time = np.zeros(len(elem))
     arrival = 0
@@ -68,11 +85,10 @@ def prob_minhash(doc: np.ndarray, elem: np.ndarray, weight: np.ndarray, n_docs:
         np.minimum.at(first, pos.ravel(), at.ravel())
         won = first[pos] == at
         sig[pos[won]] = np.broadcast_to(elem[live][:, None], pos.shape)[won]
-        latest = first.reshape(n_docs, k).max(axis=1)
+        latest = first.reshape(-1, k).max(axis=1)
         time[live] = at[:, -1]
         live = live[at[:, -1] < latest[doc[live]]]
         arrival += many
-    return sig.reshape(n_docs, k)
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -86,12 +102,15 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(df: DataFrame, text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One stored row per input row: row (unique), digest of its words, band keys (null without a word), doc."""
     doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    told = df.select(F.monotonically_increasing_id().alias("row"), text_of(F.col(text_col)).alias("text"), doc.alias("doc"))
+    told = df.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"))
+    text_at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, keys, sizes = [], [], []
-            for _, texts in portions(batch, 4_000_000):
+            # The text is read from the row itself, so it crosses to this worker once.
+            told_text = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).field(text_at).cast(pa.string())], names=["row", "text"])
+            for _, texts in portions(told_text, max_rows=PORTION_ROWS):
                 raw = [t.encode("utf-8", "surrogatepass") for t in texts]
                 digests += [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in raw]
                 at, elem, count = shingles(raw)
@@ -106,7 +125,7 @@ def signatures(df: DataFrame, text_col: str = "text", bands: int = BANDS, rows:
             ends = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), lists, batch.column(2)], names=["row", "digest", "bands", "doc"])
+                [batch.column(0), pa.array(digests, pa.binary()), lists, batch.column(1)], names=["row", "digest", "bands", "doc"])
 
     schema = StructType([StructField("row", LongType()), StructField("digest", BinaryType()),
                          StructField("bands", ArrayType(LongType())), StructField("doc", told.schema["doc"].dataType)])
@@ -209,14 +228,38 @@ def joining(x: np.ndarray, y: np.ndarray, label: tuple) -> tuple[np.ndarray, np.
     return x[kept], y[kept]
 
 
-def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """a, b: the links between rows of different labels in each bucket.  ``members``: bucket, row, label,
-    blocks, bands, text.  A bucket is cut into blocks by a hash of the row, and every pair of blocks is
-    one unit of work, read in order by ``mapInArrow``; only links that join classes come out."""
-    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
-        F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    rows = members.withColumn("block", block).select("bucket", F.explode(meets).alias("m"), "block", "row", "label", "bands", "text")
+def with_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, row, label, size) with block and meets, the blocks that its rows are compared with.
+
+    In every bucket a class of more than a block's rows or bytes has blocks of its own, cut by a hash of
+    the row; smaller classes share blocks, cut by a hash of the class.  Blocks of one class never meet,
+    so the work is linear in the rows as long as one class holds most of them."""
+    n, size = F.count(F.lit(1)), F.sum("size")
+    pieces = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    classes = cut_lineage(members.groupBy("bucket", "label").agg(n.alias("n"), size.alias("bytes")).withColumn("pieces", pieces))
+    small = classes.where("pieces = 1").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select(
+        "bucket", pieces.alias("shared"))
+    # Only classes larger than a block are ordered here, so a bucket has few of them.
+    before = Window.partitionBy("bucket").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    large = classes.where("pieces > 1").withColumn("from", F.coalesce(F.sum("pieces").over(before), F.lit(0)).cast("int")).select(
+        "bucket", "label", "pieces", "from")
+    total = large.groupBy("bucket").agg(F.sum("pieces").cast("int").alias("own"))
+    told = (members.join(total, "bucket", "left").join(small, "bucket", "left").join(large, ["bucket", "label"], "left")
+            .withColumn("shared", F.coalesce("shared", F.lit(0))))
+    start = F.col("shared") + F.col("from")
+    block = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(
+        start + F.pmod(F.xxhash64("row"), F.col("pieces"))).cast("int")
+    every = F.sequence(F.lit(0), F.col("shared") + F.coalesce("own", F.lit(0)) - 1)
+    others = F.filter(every, lambda k: F.col("pieces").isNull() | (k < start) | (k >= start + F.col("pieces")))
+    return told.select("bucket", "row", "label", block.alias("block"), others.alias("meets"))
+
+
+def compare_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the links between rows of different labels in each bucket.  ``members``: bucket, row, label, size;
+    ``texts``: row, bands, text.  Every pair of blocks that can hold two classes is one unit of work, read in
+    order by ``mapInArrow``; only links that join classes come out."""
+    pair = F.transform("meets", lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    rows = with_blocks(members).join(texts, "row").select("bucket", F.explode(pair).alias("m"), "block", "row", "label", "bands", "text")
     rows = rows.select("bucket", "m.i", "m.j", "block", "row", "label", "bands", "text")
 
     def judge(key: tuple, rows: list[tuple]) -> tuple[list[int], list[int]]:
@@ -258,20 +301,18 @@ def link_members(members: DataFrame, nodes: DataFrame, threshold: float = THRESH
 
     ``u`` is a node's place in the fixed random order that makes pivots."""
     u = F.xxhash64("row")
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"),
-                                         F.min(F.struct(u.alias("u"), "row")).alias("pivot"))
-    m = cut_lineage(members.join(size.where("n > 1"), "bucket").select("bucket", "row", "n", "bytes", "pivot"))
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(u.alias("u"), "row")).alias("pivot"))
+    m = cut_lineage(members.join(size.where("n > 1"), "bucket").select("bucket", "row", "size", "pivot"))
     wanted = cut_lineage(nodes.join(m.select("row").distinct(), "row", "left_semi"))
     # Every row and the earliest pivot of its buckets.
     stars = m.groupBy("row").agg(F.min("pivot").alias("p")).where("p.row <> row").select(F.col("p.row").alias("a"), F.col("row").alias("b"))
     links = cut_lineage(similarities(stars, wanted).where(F.col("sim") >= threshold - EPS).select("a", "b"))
     now = cut_lineage(m.join(components(links).withColumnRenamed("node", "row"), "row", "left").select(
-        "bucket", "row", "n", "bytes", F.coalesce("label", "row").alias("label")))
+        "bucket", "row", "size", F.coalesce("label", "row").alias("label")))
     # Where a bucket's rows are of several classes, all pairs across classes are compared in blocks.
     mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    open_rows = now.join(mixed, "bucket").select("bucket", "row", "label", blocks.alias("blocks"))
-    fresh = compare_blocks(open_rows.join(wanted, "row"), threshold)
+    open_rows = cut_lineage(now.join(mixed, "bucket").select("bucket", "row", "label", "size"))
+    fresh = compare_blocks(open_rows, wanted, threshold)
     return components(cut_lineage(links.unionByName(fresh)))
 
 
@@ -293,10 +334,11 @@ def near_classes(sigs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` (all columns), one of each class."""
+    """The rows of ``df`` (all columns), one of each class.  Only the row numbers that go are joined with
+    the stored rows: broadcast where they are measured to be few, else by a shuffle."""
     sigs = signatures(df, text_col)
-    kept = near_classes(sigs, id_col, text_col, threshold).where("kept").select("row")
-    return sigs.join(kept, "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in df.columns])
+    gone = cut_lineage(near_classes(sigs, id_col, text_col, threshold).where(~F.col("kept")).select("row"))
+    return sigs.join(broadcast_if_small(gone), "row", "left_anti").select(*[F.col(f"doc.`{c}`").alias(c) for c in df.columns])
 
 
 def q_near_dedup(spark, sf_dir) -> DataFrame:

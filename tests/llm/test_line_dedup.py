@@ -12,7 +12,7 @@ def frame(spark, rows, parts=3):
     return spark.createDataFrame([(i, t, "r", 1, None, 2) for i, t in rows], SCHEMA).repartition(parts)
 
 
-def brute(rows, min_words=8):
+def brute(rows, min_words=1):
     """All units in rank order; the first of each normalised text stays, spans inside removed lines go."""
     def words(s):
         return s.lower().split()

@@ -137,3 +137,49 @@ def test_empty_table(spark):
     empty = frame(spark, [(1, "x")]).where("false")
     assert N.near_classes(N.signatures(empty)).collect() == []
     assert N.drop_near_copies(empty).collect() == []
+
+
+def test_word_hashes_do_not_depend_on_windows(monkeypatch):
+    texts = [b"", b" a  bc\t", b"x" * 700, b"\n" + b"y" * 300 + b" end", (b"some words of a text \x0b" * 40), b"zz", b" " * 200, b"q" * 64 + b" " + b"q" * 63]
+    want = S.word_hashes(texts)
+    assert [int(n) for n in np.bincount(want[0], minlength=len(texts))] == [len(t.split()) for t in texts]
+    for window in (64, 65, 100):
+        monkeypatch.setattr(S, "WINDOW", window)
+        got = S.word_hashes(texts)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(3)
+    long = rng.choice([f"w{i}" for i in range(50_000)], size=400_000)
+    rows = [(1, " ".join(long)), (2, edit(rng, long, 1000)), (3, "z" * 3_000_000), (4, "z" * 3_000_000 + "y"), (5, "z" * 3_000_000)]
+    got = sorted((r.id, r.class_id, r.class_size, r.kept) for r in N.near_classes(N.signatures(frame(spark, rows))).collect())
+    assert got == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 4, 1, True), (5, 3, 2, False)]
+
+
+def test_stretches_of_shingles_change_no_signature(monkeypatch):
+    texts = [" ".join(f"t{(i * k) % 91}" for i in range(30 + 40 * k)).encode() for k in range(9)]
+    at, e, c = S.shingles(texts)
+    want = N.prob_minhash(at, e, S.weights(c), 9, 48)
+    for n in (1, 7, 100):
+        monkeypatch.setattr(N, "STRETCH", n)
+        assert (N.prob_minhash(at, e, S.weights(c), 9, 48) == want).all()
+
+
+def test_units_meet_other_classes_only(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 8)
+    rows = [(1, i, 500 if i < 40 else i, 10) for i in range(50)] + [(2, i, i % 3, 10) for i in range(6)] + [(3, i, i // 20, 10) for i in range(40)]
+    got = N.with_blocks(spark.createDataFrame(rows, "bucket long, row long, label long, size long")).collect()
+    met = {}
+    for r in got:
+        for m in r.meets:
+            met.setdefault((r.bucket, min(r.block, m), max(r.block, m)), []).append(r)
+    for bucket, n in ((1, 50), (2, 6), (3, 40)):
+        mine = [r for r in got if r.bucket == bucket]
+        assert len(mine) == n
+        pairs = {(a.row, b.row) for a in mine for b in mine if a.label < b.label}
+        found = {(a.row, b.row) for (k, _, _), rs in met.items() if k == bucket for a in rs for b in rs if a.label < b.label}
+        assert found == pairs
+    # The class of 40 has five blocks, which never meet each other or themselves.
+    big = {r.block for r in got if r.bucket == 1 and r.label == 500}
+    assert len(big) == 5 and not any(k == 1 and i in big and j in big for k, i, j in met)
