@@ -6,10 +6,11 @@ enough room, and the empty window, it goes to the one that minimises the sum of
 counts of partially filled windows per level, tracked in a level array.  Every task packs the
 documents it has tokenised, so nothing is shuffled and a hot source is only more rows.
 
-A task keeps at most ``max_open`` partially filled windows.  When that many are open, and at
-the end of the task, they are drained: their pieces are laid end to end, cut into whole windows,
-and the last rest (under one window per drain) becomes sequences whose lengths are powers of two,
-which need no padding.  So memory per task is bounded by ``max_open`` windows whatever the lengths.
+A task keeps at most ``max_open`` partially filled windows.  When more are open, and at the end of the
+task, they are closed: each keeps its pieces as placed and its gap is filled with tokens cut from the
+emptiest windows.  What is left then, under one window, stays open; at the end of the task it becomes sequences
+whose lengths are powers of two, which need no padding.  So memory per task is bounded by ``max_open``
+windows whatever the lengths.
 
 Defined results: null and empty texts are one token (the end id); every row is packed, also rows
 repeated in full or with a null identifier; an empty table gives no pieces; very long texts are
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +38,12 @@ from quire.llm.text import text_of
 WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 4096
+PORTION_CHARS = 2_000_000  # of the texts that are split together
 # Word pieces kept per Python worker, in two halves (about 200 bytes each).
 CACHE_WORDS = 800_000
 
-NAMES = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-PIECE_SCHEMA = "id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+NAMES = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "stays"]
+PIECE_SCHEMA = "id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, stays boolean"
 
 # A space before another white space character (or the end) can lie inside a white-space run,
 # where a cut would change the pieces; every other space starts a piece of its own.
@@ -84,41 +87,54 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def look_up(self, word: str) -> bytes | None:
-        """A space and ``word``: from the cache, or by the merge model where that is exact."""
-        got = self.young.get(word)
+    def stem(self, letters: str) -> bytes:
+        """A space and a word of letters, by the merge model."""
+        got = self.young.get(letters) or self.old.get(letters)
         if got is None:
-            got = self.old.get(word)
-            if got is None and (m := _LETTERS.fullmatch(word)):
-                stem, mark = m.groups()
-                if mark:
-                    got = self.look_up(stem) + self.marks[mark]
-                else:
-                    symbols = f" {stem}".encode().decode("latin-1").translate(self.symbols)
-                    got = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-            if got is not None:
-                self.young[word] = got
+            symbols = self.symbols[32] + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols))
+            got = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        self.young[letters] = got
         return got
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        plain = [not _RUN.search(t) for t in texts]
-        words = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
-        young, need = self.young, []
-        for ws in words:
-            for w in ws[1:]:
-                if w not in young and self.look_up(w) is None:
-                    young[w] = b""
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each of the (distinct) words: from the cache, by the merge model where that is
+        exact, else by the whole tokenizer."""
+        young, old, need = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                elif m := _LETTERS.fullmatch(w):
+                    letters, mark = m.groups()
+                    got = self.stem(letters)
+                    if mark:
+                        young[w] = got + self.marks[mark]
+                else:
                     need.append(w)
         young.update(zip(need, self.encode_all([" " + w for w in need])))
-        heads = self.encode_all([ws[0] if p else t for t, ws, p in zip(texts, words, plain)])
-        out = [h + b"".join([young[w] for w in ws[1:]]) for h, ws in zip(heads, words)]
+        out = [young[w] for w in words]
         if len(young) > self.half:
             self.old, self.young = young, {}
         return out
 
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text.  Arrow splits the texts and numbers their distinct words, so that each is
+        looked up once per call; a text is the concatenation of its words' ids."""
+        plain = [not _RUN.search(t) for t in texts]
+        split = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        code, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        # A text's first word has no space in front; a text that isn't plain is one such head, encoded whole.
+        heads = self.encode_all([t[:k] if p and (k := t.find(" ")) >= 0 else t for t, p in zip(texts, plain)])
+        ids = self.pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist()).__getitem__
+        return [h + b"".join(map(ids, code[a + 1:b].tolist())) for h, a, b in zip(heads, ends, ends[1:])]
+
 
 class Packer:
-    """Sum-of-squares placement of pieces into windows; pieces come out once their place is final."""
+    """Sum-of-squares placement of pieces into windows; pieces come out once their place is final.
+
+    Entries are (sequence, offset, piece), a piece is (document, start, ids, stays): ``stays`` is false for what
+    was cut off or moved when windows were closed before they were whole."""
 
     def __init__(self, window: int, max_open: int, first_id: int):
         self.window, self.max_open, self.next_id = window, max_open, first_id
@@ -130,9 +146,10 @@ class Packer:
         self.next_id += 1
         return self.next_id - 1
 
-    def place(self, piece: tuple, size: int) -> list[tuple]:
-        """``piece`` is (document, start, ids); returns finished (sequence, offset, piece) entries."""
-        w = self.window
+    def place(self, doc: tuple, start: int, ids: bytes) -> list[tuple]:
+        """Place a remainder; returns the entries that became final."""
+        w, size = self.window, len(ids) // 4
+        piece = (doc, start, ids, True)
         # Change of the sum of squares when a window at level h grows to h + size; a whole window isn't counted.
         have = self.count[: w - size + 1]
         change = 2 * (self.count[size:] - have) + 2
@@ -144,20 +161,22 @@ class Packer:
         # Ties go to the fullest window, so that windows close early.
         best = len(change) - 1 - int(np.argmin(change[::-1]))
         if best == 0:
-            self.levels[size].append([piece])
-            self.count[size] += 1
-            self.open += 1
+            self.put([piece], size)
             return self.drain() if self.open > self.max_open else []
         pieces = self.levels[best].pop()
         self.count[best] -= 1
+        self.open -= 1
         pieces.append(piece)
         if best + size < w:
-            self.levels[best + size].append(pieces)
-            self.count[best + size] += 1
+            self.put(pieces, best + size)
             return []
-        self.open -= 1
         return self.close(pieces)
 
+    def put(self, pieces: list, level: int) -> None:
+        self.levels[level].append(pieces)
+        self.count[level] += 1
+        self.open += 1
+
     def close(self, pieces: list) -> list[tuple]:
         seq, out, at = self.new_id(), [], 0
         for p in pieces:
@@ -165,25 +184,48 @@ class Packer:
             at += len(p[2]) // 4
         return out
 
-    def drain(self) -> list[tuple]:
-        """Lay the open windows end to end, cut freely, end in power-of-two lengths."""
-        pieces = [p for level in self.levels for window in level for p in window]
-        total = sum(len(p[2]) for p in pieces) // 4
+    def drain(self, last: bool = False) -> list[tuple]:
+        """Close the open windows, fullest first, each as it was placed; its gap is filled with tokens cut from
+        the emptiest windows.  What is left is under one window: it stays open, or at the end of the task
+        becomes sequences whose lengths are powers of two."""
+        windows = [pieces for level in self.levels for pieces in level]  # emptiest first
         self.count[:] = 0
         self.levels = [[] for _ in range(self.window + 1)]
         self.open = 0
-        rooms = [self.window] * (total // self.window)
-        rest = total % self.window
-        rooms += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        out, rooms = [], iter(rooms)
-        room = at = seq = 0
-        for doc, start, ids in pieces:
+        out, spare, emptiest = [], [], 0
+        while emptiest < len(windows):
+            pieces = windows.pop()
+            gap = self.window - sum(len(p[2]) for p in pieces) // 4
+            while gap and (spare or emptiest < len(windows)):
+                if not spare:
+                    spare, emptiest = windows[emptiest], emptiest + 1
+                doc, start, ids, _ = spare.pop(0)
+                pieces.append((doc, start, ids[:4 * gap], False))
+                if len(ids) > 4 * gap:
+                    spare.insert(0, (doc, start + gap, ids[4 * gap:], False))
+                gap -= len(pieces[-1][2]) // 4
+            if gap:
+                spare = pieces
+            else:
+                out += self.close(pieces)
+        rest = sum(len(p[2]) for p in spare) // 4
+        if rest and not last:
+            self.put(spare, rest)
+        elif rest:
+            out += self.powers(spare, rest)
+        return out
+
+    def powers(self, pieces: list, rest: int) -> list[tuple]:
+        """Sequences of power-of-two lengths that hold the ``rest`` tokens of the pieces."""
+        rooms = iter([1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1])
+        out, room, at, seq = [], 0, 0, 0
+        for doc, start, ids, _ in pieces:
             done, n = 0, len(ids) // 4
             while done < n:
                 if at == room:
                     room, at, seq = next(rooms), 0, self.new_id()
                 take = min(n - done, room - at)
-                out.append((seq, at, (doc, start + done, ids[4 * done:4 * (done + take)])))
+                out.append((seq, at, (doc, start + done, ids[4 * done:4 * (done + take)], False)))
                 done += take
                 at += take
         return out
@@ -207,8 +249,8 @@ def default_tokenizer() -> str:
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID,
          tokenizer: str | None = None, max_open: int = MAX_OPEN) -> DataFrame:
-    """One row per piece: id, start, length, doc_tokens, sequence_id, offset and the piece's
-    ids (little-endian uint32).  ``tokenizer`` is a ``tokenizers`` file present on every
+    """One row per piece: id, start, length, doc_tokens, sequence_id, offset, the piece's ids (little-endian
+    uint32), and whether it stays where the rule placed it.  ``tokenizer`` is a ``tokenizers`` file present on every
     executor; by default the public byte-level one."""
     docs = df.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
@@ -225,23 +267,23 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                 pa.array([p[0][0] for _, _, p in placed], kind), long([p[1] for _, _, p in placed]),
                 long([len(p[2]) // 4 for _, _, p in placed]), long([p[0][1] for _, _, p in placed]),
                 long([s for s, _, _ in placed]), long([o for _, o, _ in placed]),
-                pa.array([p[2] for _, _, p in placed], pa.binary())], names=NAMES)
+                pa.array([p[2] for _, _, p in placed], pa.binary()), pa.array([p[3] for _, _, p in placed], pa.bool_())], names=NAMES)
 
         for batch in batches:
             kind = batch.column(0).type
-            for ids_of, texts in portions(batch):
+            for ids_of, texts in portions(batch, PORTION_CHARS):
                 out: list[tuple] = []
                 for doc_id, ids in zip(ids_of, encoder.batch(texts)):
                     ids += end
                     n = len(ids) // 4
                     doc, whole = (doc_id, n), n - n % window
                     for start in range(0, whole, window):
-                        out.append((packer.new_id(), 0, (doc, start, ids[4 * start:4 * (start + window)])))
+                        out.append((packer.new_id(), 0, (doc, start, ids[4 * start:4 * (start + window)], True)))
                     if n > whole:
-                        out += packer.place((doc, whole, ids[4 * whole:]), n - whole)
+                        out += packer.place(doc, whole, ids[4 * whole:])
                 if out:
                     yield rows(out)
-        if rest := packer.drain():
+        if rest := packer.drain(last=True):
             yield rows(rest)
 
     return docs.mapInArrow(run, PIECE_SCHEMA.format(id=id_type))
@@ -250,7 +292,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 def with_crc(pieces: DataFrame) -> DataFrame:
     """The digest columns of the pieces, ids replaced by their unsigned CRC-32."""
     return pieces.select(
-        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "stays")
 
 
 def q_packing(spark, sf_dir) -> DataFrame:

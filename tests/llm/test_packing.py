@@ -89,7 +89,7 @@ def test_placement_minimises_the_sum_of_squares():
             return int((c ** 2).sum())
 
         options = [h for h in range(0, 32 - size + 1) if h == 0 or before[h]]
-        packer.place((None, 0, b"\0\0\0\0" * size), size)
+        packer.place(None, 0, b"\0\0\0\0" * size)
         assert int((packer.count ** 2).sum()) == min(map(squares, options))
         assert packer.count[0] == packer.count[32] == 0
 
@@ -119,3 +119,32 @@ def test_query_against_brute_force(spark):
         fills[p.sequence_id] = fills.get(p.sequence_id, 0) + p.length
     assert all(n == 2048 or n & (n - 1) == 0 for n in fills.values())
     assert spark.createDataFrame(got).select(F.countDistinct("sequence_id", "offset")).first()[0] == len(got)
+
+
+@pytest.mark.parametrize("n", [1000, 1600, 8000])
+def test_placements_stand(n):
+    """Of the remainders of a task's documents nine tenths stay where the rule placed them."""
+    rng = np.random.default_rng(n)
+    packer = P.Packer(2048, 4096, 0)
+    sizes = np.minimum(2047, rng.lognormal(6.2, 0.8, n).astype(int) + 1)
+    out = [e for i, size in enumerate(sizes) for e in packer.place(i, 0, bytes(4 * int(size)))] + packer.drain(last=True)
+    whole = {doc for _, _, (doc, _, _, stays) in out if stays}
+    assert len(whole) >= 0.9 * n and not any(doc in whole for _, _, (doc, _, _, stays) in out if not stays)
+    tokens, fills = {}, {}
+    for seq, at, (doc, start, ids, _) in sorted(out, key=lambda e: (e[0], e[1])):
+        assert at == fills.get(seq, 0)
+        fills[seq] = at + len(ids) // 4
+        tokens[doc] = tokens.get(doc, 0) + len(ids) // 4
+    assert [tokens[i] for i in range(n)] == sizes.tolist()
+    short = [f for f in fills.values() if f < 2048]
+    assert all(f & (f - 1) == 0 for f in short) and sum(short) < 2048
+
+
+def test_closing_before_the_end_leaves_one_window_open():
+    packer = P.Packer(16, 4, 0)
+    out = [e for i in range(60) for e in packer.place(i, 0, bytes(4 * (9 + i % 5)))]
+    assert packer.open <= 4 and out
+    fills = {}
+    for seq, _, p in out:
+        fills[seq] = fills.get(seq, 0) + len(p[2]) // 4
+    assert set(fills.values()) == {16}
