@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.sources.sinks import TSV_FORMAT
+from quire.sources.ranges import SPLIT_BYTES, read_records
 
 CASE_SCHEMA = T.StructType([
     T.StructField("TEXT", T.ArrayType(T.StringType())),
@@ -69,20 +69,26 @@ def read_folder_corpus(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def read_tsv_corpus(spark: SparkSession, path: str, schema: T.StructType = TSV_SCHEMA) -> DataFrame:
+def read_tsv_corpus(spark: SparkSession, path: str, schema: T.StructType | str = TSV_SCHEMA, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Tab-separated file(s) with a header row, as ``write_tsv_corpus`` writes them: white space,
-    quotes, line breaks, empty strings and nulls come back as they were.  A quoted field may hold
-    line breaks, so a file is one task; the writer's part files bound its size."""
-    return (spark.read.options(**TSV_FORMAT, multiLine=True, lineSep="\n", nullValue="\u0000", emptyValue="")
-            .schema(schema).csv(path))
-
-
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A file holding one JSON list of records (each record becomes a row)."""
-    r = spark.read.option("multiLine", True)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+    quotes, line breaks, empty strings and nulls come back as they were.  Columns go by position; values that
+    aren't of their column's type are null, missing ones too, and surplus ones fail the read.  Files are read by
+    ranges of ``split_bytes``, also where quoted fields hold line breaks (see ``ranges``)."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    rows = read_records(spark, path, "table", split_bytes, skip_first=True, columns=len(schema.fields))
+    return rows.select(*[F.get("fields", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
+
+
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """File(s) holding a JSON list of records, or records one after another; each object becomes a row.
+    Files are read by ranges of ``split_bytes``.  Without a schema it is inferred from all records."""
+    records = read_records(spark, path, "json", split_bytes)
+    if schema is None:
+        # The values as a dataset of strings: Spark's own reader infers and parses.
+        values = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return DataFrame(spark._jsparkSession.read().json(values), spark)
+    return records.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def _read_splits(spark: SparkSession, root: str, splits: dict[str, str]) -> DataFrame:
