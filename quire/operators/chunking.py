@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.arrays import part_index, part_len, part_start
+from quire.functions.arrays import part_index, part_len, part_start, run_positions
 from quire.functions.joins import broadcast_if_small
 from quire.functions.ranking import global_row_number
 from quire.functions.text import tokens_for
@@ -154,7 +154,7 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", first_id: int = 1000
     Numbered by a range-partitioned sort, not a one-task window."""
     terms = df.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("term")).distinct()
     ranked = global_row_number(terms, "term", "rn")
-    return ranked.select("term", (F.col("rn") + (first_id - 1)).cast("int").alias("term_id"))
+    return ranked.select("term", (F.col("rn") + (first_id - 1)).alias("term_id"))
 
 
 def token_windows(df: DataFrame, vocab: DataFrame, text_col: str = "text", doc_col: str = "doc_id",
@@ -162,17 +162,24 @@ def token_windows(df: DataFrame, vocab: DataFrame, text_col: str = "text", doc_c
     """Token-id windows ``(doc_id, win, input_ids, attention_mask)``.
 
     Ids of a document are cut in windows of ``body_len``; each gets the start
-    and end id, mask 1, and is right-padded to 512 with id 0 / mask 0.  Tokens
-    are exploded with their position and grouped by ``(doc, pos div body_len)``,
-    so no group is larger than one window whatever the document length.
+    and end id, mask 1, and is right-padded to 512 with id 0 / mask 0.  Every
+    document has a dictionary of its own: its distinct terms with their positions,
+    made by one sort inside the row.  Only these meet the vocabulary, so what is joined
+    and shuffled is one row per distinct (document, term); the ids are put back at their
+    positions and cut into windows inside the document's row.
     """
-    pos = df.select(F.col(doc_col).alias("doc_id"),
-                    F.posexplode(F.split(F.col(text_col), " ", -1)).alias("pos", "term"))
-    # every token position meets the vocabulary: broadcast it when its counted
-    # size is small, otherwise a shuffle join whose hot terms AQE splits
-    ids = pos.join(broadcast_if_small(vocab.select("term", "term_id")), "term", "inner")
-    grouped = (ids.groupBy("doc_id", F.floor(F.col("pos") / body_len).cast("int").alias("win"))
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "term_id"))).alias("toks")))
+    runs = run_positions(F.split(F.col(text_col), " ", -1))
+    rows = df.select(F.col(doc_col).alias("doc_id"), F.monotonically_increasing_id().alias("__row"), runs.alias("__runs"))
+    terms = rows.select("doc_id", "__row", F.inline("__runs")).withColumnRenamed("value", "term")
+    # a vocabulary of small counted size is broadcast, otherwise a shuffle join whose hot terms AQE splits
+    ids = terms.join(broadcast_if_small(vocab.select("term", "term_id")), "term", "inner")
+    # a document's terms are bounded by its own text, which was one row before
+    flat = F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("term_id"))))))
+    whole = ids.groupBy("__row", "doc_id").agg(flat.alias("all"))
+    n_windows = F.floor((F.size("all") + body_len - 1) / body_len).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n_windows - 1), lambda w: F.struct(
+        w.alias("win"), F.slice("all", w * body_len + 1, F.lit(body_len)).alias("toks")))
+    grouped = whole.select("doc_id", F.inline(cut))
     body = F.transform(F.col("toks"), lambda t: t["term_id"])
     n = F.size(F.col("toks"))
     pad = F.greatest(F.lit(WINDOW_LEN) - n - 2, F.lit(0))

@@ -54,10 +54,10 @@ def term_vocabulary(rows: DataFrame) -> DataFrame:
 
 
 def number_terms(vocab: DataFrame) -> DataFrame:
-    """Add a dense integer ``term_id`` (1-based, ascending term order) without
+    """Add a dense ``term_id`` (long, 1-based, ascending term order) without
     ranking the whole vocabulary in one task."""
     ranked = global_row_number(vocab, "term", "__rn")
-    return ranked.withColumn("term_id", F.col("__rn").cast("int")).drop("__rn")
+    return ranked.withColumnRenamed("__rn", "term_id")
 
 
 def restrict_to_vocabulary(rows: DataFrame, vocab: DataFrame, size: tuple[int, float] | None = None) -> DataFrame:

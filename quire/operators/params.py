@@ -88,6 +88,37 @@ def average_models(params: DataFrame, key_cols: Sequence[str], value_cols: Seque
     return out.drop("__g") if not group_cols else out
 
 
+BLOCK = 64
+
+
+def to_blocks(models: DataFrame, vec_col: str, key_cols: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """``key_cols + [block, vals]``: each parameter tensor (an array) cut into blocks of ``block`` values."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(vec_col) - 1) / block).cast("int")), lambda i: F.struct(
+        i.alias("block"), F.slice(vec_col, i * block + 1, F.lit(block)).cast("array<double>").alias("vals")))
+    return models.where(F.size(vec_col) > 0).select(*key_cols, F.inline(cut))
+
+
+def average_blocks(blocks: DataFrame, key_cols: Sequence[str] = (), model_col: str = "model_id", group_cols: Sequence[str] = (),
+                   weights=None, apply_first_weight: bool = False, models: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """``average_models`` over real tensors: ``group + key_cols + [block, vals]``.
+
+    A row is a block of values, so rows are fewer by the block size and nothing is exploded: the
+    aggregator has one running sum per place of the block, combined map-side like any sum."""
+    factors = model_factors(blocks, model_col, group_cols, weights, apply_first_weight, models)
+    rows, g = _group(blocks, group_cols)
+    joined = rows.join(factors, [*g, model_col])
+    sums = [F.sum(F.get("vals", F.lit(i)) * F.col("__factor")).alias(f"__s{i}") for i in range(block)]
+    out = joined.groupBy(*g, *key_cols, "block").agg(F.max(F.size("vals")).alias("__size"), *sums)
+    told = out.select(*g, *key_cols, "block", F.slice(F.array(*[F.col(f"__s{i}") for i in range(block)]), F.lit(1), F.col("__size")).alias("vals"))
+    return told.drop("__g") if not group_cols else told
+
+
+def from_blocks(blocks: DataFrame, key_cols: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """``key_cols + [pos, value]``: one row per value, for readers of single parameters."""
+    rows = blocks.select(*key_cols, "block", F.posexplode("vals").alias("__at", "value"))
+    return rows.select(*key_cols, (F.col("block") * block + F.col("__at")).cast("int").alias("pos"), "value")
+
+
 def check_compatible(params: DataFrame, key_cols: Sequence[str], model_col: str = "model_id",
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """Parameter keys that some model of the group lacks: ``group + keys + [n_models, n_with_key]``.
@@ -133,8 +164,9 @@ def fuse_models(base: DataFrame, models: DataFrame, k: int, weights=None, apply_
 
 
 def write_params(params: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store a parameter table, one folder per model (readers prune by model)."""
-    params.write.mode(mode).partitionBy("model_id").parquet(path)
+    """Store a parameter table, one folder per model (readers prune by model).  ``overwrite`` replaces the
+    folders of the models that ``params`` holds; all other models stored there stay."""
+    params.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("model_id").parquet(path)
 
 
 def read_params(spark, path: str, model_ids: Sequence[int] | None = None) -> DataFrame:

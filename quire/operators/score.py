@@ -31,9 +31,14 @@ def doc_argmax(doc_probs: DataFrame, k: int, out: str = "prediction_idx") -> Dat
 
 
 def attach_gold(docs: DataFrame, gold: DataFrame, doc_col: str = "doc_id", gold_col: str = "label",
-                out: str = "gold") -> DataFrame:
-    """Look up each document's raw label (inner equi-join on the document id)."""
-    g = gold.select(F.col(doc_col), F.col(gold_col).alias(out))
+                out: str = "gold", order_col: str | None = None) -> DataFrame:
+    """Look up each document's raw label (inner equi-join on the document id).
+
+    Where gold holds an id several times the first match counts: the row with the smallest ``order_col`` (and
+    of equal ones the smallest label), or without one the smallest label.  The choice is a partial
+    aggregation before the join, so a document is never multiplied, however often its id occurs."""
+    place = F.struct(*[F.col(c) for c in ([order_col] if order_col else [])], F.col(gold_col))
+    g = gold.groupBy(doc_col).agg(F.min_by(F.struct(F.col(gold_col).alias("label")), place)["label"].alias(out))
     return docs.join(g, doc_col, "inner")
 
 

@@ -38,17 +38,17 @@ def init_params(vocab: DataFrame, model_ids: list[int], k: int) -> DataFrame:
     zeros = [F.lit(0.0).alias(w) for w in names("w", k)]
     ids = F.array(*[F.lit(int(m)) for m in model_ids])
     body = vocab.select(F.explode(ids).alias(MODEL), F.lit("body").alias("part"), F.col("term").alias("param"),
-                        F.col("term_id").cast("int").alias("param_id"), *zeros)
+                        F.col("term_id").cast("long").alias("param_id"), *zeros)
     head = (vocab.sparkSession.range(1)
             .select(F.explode(ids).alias(MODEL), F.lit("head").alias("part"), F.lit("bias").alias("param"),
-                    F.lit(HEAD_ID).alias("param_id"), *zeros))
+                    F.lit(HEAD_ID).cast("long").alias("param_id"), *zeros))
     return body.unionByName(head)
 
 
 def _with_head(feats: Column) -> Column:
     """The chunk's features and the head's constant one."""
-    one = F.array(F.struct(F.lit(HEAD_ID).alias("term_id"), F.lit(1.0).alias("tf")))
-    return F.concat(one, F.coalesce(feats, F.array().cast("array<struct<term_id:int,tf:double>>")))
+    one = F.array(F.struct(F.lit(HEAD_ID).cast("long").alias("term_id"), F.lit(1.0).alias("tf")))
+    return F.concat(one, F.coalesce(feats, F.array().cast("array<struct<term_id:bigint,tf:double>>")))
 
 
 def chunk_logits(chunks: DataFrame, params: DataFrame, k: int, body_rows: int | None = None,

@@ -9,6 +9,7 @@ long pipeline chains stay readable.
 from __future__ import annotations
 
 import math
+import re
 
 from quire.plans.catalog import BASELINE_CFG, BINARY_CFG, N_FOLDS, PIPE_CFG, R
 from quire.plans.pipelines import FusedConfig
@@ -33,7 +34,11 @@ class Sql:
     def render(self, final: str) -> str:
         if not self.ctes:
             return final
-        return "WITH " + ",\n".join(f"{n} AS (\n{s}\n)" for n, s in self.ctes) + "\n" + final
+        # What several others read is computed once, whatever the planner would choose.
+        texts = [s for _, s in self.ctes] + [final]
+        used = {n: sum(len(re.findall(rf"\b{n}\b", s)) for s in texts) for n, _ in self.ctes}
+        return "WITH " + ",\n".join(
+            f"{n} AS {'MATERIALIZED ' if used[n] > 1 else ''}(\n{s}\n)" for n, s in self.ctes) + "\n" + final
 
 
 def cols(prefix: str, k: int) -> list[str]:
@@ -143,9 +148,9 @@ FROM {self.split} s LEFT JOIN {self.label_map} m ON s.label = m.label""")
         self.chunks = chunk_sql(q, enc, ["doc_id", "split", "label", "label_idx"], cfg.n_regions, cfg.max_tokens,
                                 cfg.unit)
         counts = term_counts_sql(q, self.chunks, ["split", "label_idx"])
-        self.vocab = q.add(f"SELECT term FROM {counts} WHERE split = 'train' GROUP BY term",
-                           "vocab")
-        self.features = q.add(f"SELECT * FROM {counts} WHERE term IN (SELECT term FROM {self.vocab})", "features")
+        self.vocab = q.add(f"""SELECT term, row_number() OVER (ORDER BY term) AS term_id
+FROM (SELECT DISTINCT term FROM {counts} WHERE split = 'train')""", "vocab")
+        self.features = q.add(f"SELECT c.*, v.term_id FROM {counts} c JOIN {self.vocab} v ON v.term = c.term", "features")
         self._memo: dict = {}
 
     # samples / features of some splits for one model id expression
@@ -163,7 +168,7 @@ FROM {self.chunks} WHERE split IN ({sp}){cond}""")
         if key not in self._memo:
             sp = ", ".join(f"'{s}'" for s in splits)
             cond = " AND label_idx IS NOT NULL" if labelled else ""
-            self._memo[key] = self.q.add(f"""SELECT doc_id, region, sub, CAST({model} AS INTEGER) AS model_id, label_idx, term, tf
+            self._memo[key] = self.q.add(f"""SELECT doc_id, region, sub, CAST({model} AS INTEGER) AS model_id, label_idx, term_id, tf
 FROM {self.features} WHERE split IN ({sp}){cond}""")
         return self._memo[key]
 
@@ -171,16 +176,16 @@ FROM {self.features} WHERE split IN ({sp}){cond}""")
         k = self.k
         z = ", ".join(f"CAST(0.0 AS DOUBLE) AS {w}" for w in cols("w", k))
         ids = "[" + ", ".join(str(int(m)) for m in model_ids) + "]"
-        return self.q.add(f"""SELECT CAST(unnest({ids}) AS INTEGER) AS model_id, 'body' AS part, v.term AS param, {z}
+        return self.q.add(f"""SELECT CAST(unnest({ids}) AS INTEGER) AS model_id, 'body' AS part, v.term AS param, v.term_id AS param_id, {z}
 FROM {self.vocab} v
 UNION ALL
-SELECT CAST(unnest({ids}) AS INTEGER), 'head', 'bias', {z}""")
+SELECT CAST(unnest({ids}) AS INTEGER), 'head', 'bias', -1, {z}""")
 
     def logits(self, params: str, samples: str, feats: str) -> str:
         k, q = self.k, self.q
         sums = ", ".join(f"sum(f.tf * b.{w}) AS {s}" for w, s in zip(cols("w", k), cols("s", k)))
         dots = q.add(f"""SELECT f.doc_id, f.region, f.sub, {sums}
-FROM {feats} f JOIN {params} b ON b.part = 'body' AND b.model_id = f.model_id AND b.param = f.term
+FROM {feats} f JOIN {params} b ON b.part = 'body' AND b.model_id = f.model_id AND b.param_id = f.term_id
 GROUP BY f.doc_id, f.region, f.sub, f.model_id""")
         ls = ", ".join(f"coalesce(d.{s}, 0.0) + coalesce(h.{w}, 0.0) AS {l}"
                        for s, w, l in zip(cols("s", k), cols("w", k), cols("l", k)))
@@ -202,16 +207,16 @@ LEFT JOIN {params} h ON h.part = 'head' AND h.model_id = s.model_id""")
         es = ", ".join(f"p_{c} - CASE WHEN label_idx = {c} THEN 1.0 ELSE 0.0 END AS e_{c}" for c in range(k))
         res = q.add(f"SELECT doc_id, region, sub, model_id, {es} FROM {pr}")
         hg = q.add(f"SELECT model_id, count(*) AS n, {', '.join(f'sum(e_{c}) AS gh_{c}' for c in range(k))} FROM {res} GROUP BY model_id")
-        bg = q.add(f"""SELECT r.model_id, f.term, {', '.join(f'sum(f.tf * r.e_{c}) AS gb_{c}' for c in range(k))}
+        bg = q.add(f"""SELECT r.model_id, f.term_id, {', '.join(f'sum(f.tf * r.e_{c}) AS gb_{c}' for c in range(k))}
 FROM {feats} f JOIN {res} r ON r.doc_id = f.doc_id AND r.region = f.region AND r.sub = f.sub
-GROUP BY r.model_id, f.term""")
+GROUP BY r.model_id, f.term_id""")
         body = ", ".join(f"b.w_{c} - {dbl(lr)} * coalesce(g.gb_{c} / h.n, 0.0) AS w_{c}" for c in range(k))
         head = ", ".join(f"b.w_{c} - {dbl(lr)} * coalesce(h.gh_{c} / h.n, 0.0) AS w_{c}" for c in range(k))
-        return q.add(f"""SELECT b.model_id, 'body' AS part, b.param, {body}
-FROM {params} b LEFT JOIN {bg} g ON g.model_id = b.model_id AND g.term = b.param
+        return q.add(f"""SELECT b.model_id, 'body' AS part, b.param, b.param_id, {body}
+FROM {params} b LEFT JOIN {bg} g ON g.model_id = b.model_id AND g.term_id = b.param_id
 LEFT JOIN {hg} h ON h.model_id = b.model_id WHERE b.part = 'body'
 UNION ALL
-SELECT b.model_id, 'head', 'bias', {head}
+SELECT b.model_id, 'head', 'bias', -1, {head}
 FROM {params} b LEFT JOIN {hg} h ON h.model_id = b.model_id WHERE b.part = 'head'""")
 
     def loss(self, params: str, samples: str, feats: str) -> str:
@@ -262,12 +267,12 @@ FROM {hist_all}""")
             k, q, c = self.k, self.q, self.cfg
             models, _ = self.region_fit()
             n = c.n_regions
-            avg = q.add(f"""SELECT part, param, {', '.join(f'sum({w} * (1.0::DOUBLE / {n})) AS {w}' for w in cols('w', k))}
-FROM {models} WHERE part = 'body' GROUP BY part, param""")
+            avg = q.add(f"""SELECT part, param_id, {', '.join(f'sum({w} * (1.0::DOUBLE / {n})) AS {w}' for w in cols('w', k))}
+FROM {models} WHERE part = 'body' GROUP BY part, param_id""")
             vals = ", ".join(f"CASE WHEN b.part IN ('body') AND a.{w} IS NOT NULL THEN a.{w} ELSE b.{w} END AS {w}"
                              for w in cols("w", k))
-            self._memo["fused"] = q.add(f"""SELECT CAST({FUSED_ID} AS INTEGER) AS model_id, b.part, b.param, {vals}
-FROM {self.base()} b LEFT JOIN {avg} a ON a.part = b.part AND a.param = b.param""")
+            self._memo["fused"] = q.add(f"""SELECT CAST({FUSED_ID} AS INTEGER) AS model_id, b.part, b.param, b.param_id, {vals}
+FROM {self.base()} b LEFT JOIN {avg} a ON a.part = b.part AND a.param_id = b.param_id""")
         return self._memo["fused"]
 
     def finetune_fit(self):
@@ -452,7 +457,7 @@ FROM {p.chunks} c LEFT JOIN {p.label_map} m ON m.label_idx = c.label_idx WHERE c
     q = Sql()
     o["region_view"] = q.render(f"SELECT * FROM {_doc_chunks(q)} WHERE region = 1")
     o["token_windows"] = """WITH vocab AS (
-  SELECT term, CAST(row_number() OVER (ORDER BY term) + 999 AS INTEGER) AS term_id
+  SELECT term, row_number() OVER (ORDER BY term) + 999 AS term_id
   FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM documents)),
 pos AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
 ids AS (SELECT p.doc_id, p.pos, v.term_id FROM pos p JOIN vocab v ON v.term = p.term),

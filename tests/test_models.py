@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from quire.functions.arrays import argmax_first
 from quire.functions.joins import fits_broadcast, measure
 from quire.operators.features import chunk_terms, feature_store, number_terms, term_rows, term_vocabulary
-from quire.operators.params import (FUSED_ID, assert_compatible, average_models, check_compatible, fuse_into,
-                                    fuse_models, read_params, write_params)
+from quire.operators.params import (FUSED_ID, assert_compatible, average_blocks, average_models, check_compatible, from_blocks,
+                                    fuse_into, fuse_models, read_params, to_blocks, write_params)
 from quire.operators.train import fit, gradient_step, init_params
 
 
@@ -148,10 +148,39 @@ def test_missing_or_surplus_weights_raise(spark, weights):
         average_models(p, ["pos"], ["value"], weights=w).collect()
 
 
-def test_long_terms_are_not_broadcast(spark):
-    v = spark.range(3).select(F.repeat(F.lit("x"), 200_000_000).alias("term"), F.col("id").alias("term_id"))
-    assert not fits_broadcast(*measure(v.limit(3), "term"))
-    assert fits_broadcast(*measure(spark.range(10).select(F.col("id").cast("string").alias("term"))))
+def test_long_terms_are_not_broadcast(spark, monkeypatch):
+    """The bytes of the terms count, not their number alone: the same rows fit or not by their length."""
+    from quire.functions import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 100_000)
+    terms = lambda n: spark.range(3).select(F.rpad(F.col("id").cast("string"), n, "x").alias("term"), F.col("id").alias("term_id"))
+    rows, row_bytes = measure(terms(50_000), "term")
+    assert rows == 3 and 50_000 <= row_bytes < 50_200
+    assert not fits_broadcast(rows, row_bytes)
+    assert fits_broadcast(*measure(terms(5_000), "term"))
+
+
+def test_blocks_average_like_single_parameters(spark):
+    rows = [(m, g, [float((m * 7 + i * i) % 13) for i in range(n)]) for g, n in (("a", 10), ("b", 4)) for m in range(5)]
+    models = spark.createDataFrame(rows, "model_id int, g string, vec array<float>")
+    single = models.select("model_id", "g", F.posexplode("vec").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
+    for weights in (None, {m: 1.0 + m for m in range(5)}):
+        want = sorted(map(tuple, average_models(single, ["pos"], ["value"], group_cols=["g"], weights=weights).select("g", "pos", "value").collect()))
+        blocks = to_blocks(models, "vec", ["model_id", "g"], 4)
+        assert blocks.count() == 5 * (3 + 1)
+        out = average_blocks(blocks, group_cols=["g"], weights=weights, block=4)
+        assert sorted(len(r.vals) for r in out.collect()) == [2, 4, 4, 4]
+        got = sorted(map(tuple, from_blocks(out, ["g"], 4).collect()))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_writing_a_model_leaves_the_others(spark, tmpdir_path):
+    p = vec_params(spark, [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0)])
+    write_params(p, f"{tmpdir_path}/m")
+    write_params(vec_params(spark, [(2, 0, 4.0)]), f"{tmpdir_path}/m")
+    write_params(vec_params(spark, [(0, 0, 9.0)]), f"{tmpdir_path}/m")
+    got = sorted((r.model_id, r.value) for r in read_params(spark, f"{tmpdir_path}/m").collect())
+    assert got == [(0, 9.0), (1, 3.0), (2, 4.0)]
 
 
 def test_argmax_of_many_classes(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quire.functions.arrays import argmax_first, softmax
 from quire.operators.metrics import fold_summary, metrics, per_label
 from quire.operators.metrics import confusion
-from quire.operators.score import binary_threshold, doc_max_vote, parse_generated
+from quire.operators.score import attach_gold, binary_threshold, doc_max_vote, parse_generated
 from quire.operators.training_sets import prediction_prompt, prompt_rows
 
 
@@ -64,3 +64,12 @@ def test_prompts(spark):
     assert rows[0].prefix == "binary classification" and rows[0].target_text == "1"
     p = df.select(prediction_prompt("text").alias("p")).first().p
     assert p == "binary classification:The bridge opened in spring"
+
+
+def test_first_gold_match_counts(spark):
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "doc_id long, prediction string")
+    rows = [(1, 5, "late"), (1, 2, "first"), (1, 9, "last"), (2, 1, None), (2, 3, "b"), (4, 1, "no document")]
+    gold = spark.createDataFrame(rows * 3, "doc_id long, at int, label string").repartition(4)
+    got = sorted(map(tuple, attach_gold(docs, gold, order_col="at").collect()))
+    assert got == [(1, "x", "first"), (2, "y", None)]
+    assert [r.gold for r in attach_gold(docs.where("doc_id = 1"), gold).collect()] == ["first"]
