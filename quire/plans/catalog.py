@@ -22,11 +22,12 @@ from quire.operators import stats as S
 from quire.operators.chunking import build_vocabulary, chunk_documents, chunk_paragraphs, region_view, token_windows
 from quire.operators.encoding import decode_labels, sorted_encoder
 from quire.operators.metrics import confusion, fold_summary, metrics, per_label
-from quire.operators.params import FUSED_ID, average_models, check_compatible, fuse_models
-from quire.operators.score import binary_threshold, doc_max_vote, label_voting, parse_generated
+from quire.operators.params import FUSED_ID, average_blocks, average_models, check_compatible, from_blocks, fuse_models, to_blocks
+from quire.operators.score import attach_gold, binary_threshold, doc_max_vote, label_voting, parse_generated
 from quire.operators.splits import exact_split, hash_bucket, hash_split, split_recipe
 from quire.operators.training_sets import TASK_NAME, prediction_prompt, prompt_rows, region_training_set, union_regions
 from quire.operators.train import fit, init_params
+from quire.plans import corpora
 from quire.plans.pipelines import FusedConfig, FusedPlan
 from quire.session import cut_lineage, table
 
@@ -406,6 +407,25 @@ def q_fuse_stored(spark, d):
     return _round_all(fuse_models(base, models, 1).select("model_id", "part", "param", "w_0"), ["w_0"])
 
 
+def q_attach_gold_first(spark, d):
+    """Gold with repeated ids: every turn of a conversation is a match, the first turn counts."""
+    turns = table(spark, d, "conversations")
+    return attach_gold(turns.select("conv_id").distinct(), turns, "conv_id", "role", order_col="turn")
+
+
+def q_average_blocks(spark, d):
+    """Every embedding is one model's tensor, averaged per label in blocks of 24 values."""
+    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("model_id"), "embedding")
+    avg = average_blocks(to_blocks(e, "embedding", ["label", "model_id"], 24), group_cols=["label"],
+                         models=e.select("label", "model_id"), block=24)
+    return _round_all(from_blocks(avg, ["label"], 24), ["value"])
+
+
+def q_prediction_prompts(spark, d):
+    test = _plan(spark, d, PIPE_CFG).chunks.filter(F.col("split") == "test")
+    return test.select("doc_id", "region", "sub", prediction_prompt("chunk").alias("prompt"))
+
+
 QUERIES = {
     "length_bands": q_length_bands,
     "class_counts_any": q_class_counts_any,
@@ -464,4 +484,8 @@ QUERIES = {
     "untrained_metrics": q_untrained_metrics,
     "paragraph_chunks": q_paragraph_chunks,
     "fuse_stored": q_fuse_stored,
+    "attach_gold_first": q_attach_gold_first,
+    "average_blocks": q_average_blocks,
+    "prediction_prompts": q_prediction_prompts,
+    **corpora.QUERIES,
 }

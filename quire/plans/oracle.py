@@ -12,6 +12,7 @@ import math
 import re
 
 from quire.plans.catalog import BASELINE_CFG, BINARY_CFG, N_FOLDS, PIPE_CFG, R
+from quire.plans import corpora
 from quire.plans.pipelines import FusedConfig
 from quire.operators.splits import GIVEN, RECIPES
 from quire.operators.params import FUSED_ID
@@ -561,7 +562,13 @@ FROM m GROUP BY pos"""
     o["untrained_docs"] = b.q.render(f"SELECT doc_id, prediction, gold FROM {b.with_gold(b.base())}")
     b = _pipe(BASELINE_CFG)
     o["untrained_metrics"] = metrics_final(b.q, b.with_gold(b.base()))
-    return o
+    o["average_blocks"] = o["average_models"]
+    o["attach_gold_first"] = """SELECT conv_id, role AS gold FROM (
+  SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations) WHERE r = 1"""
+    p = _pipe()
+    o["prediction_prompts"] = p.q.render(
+        f"SELECT doc_id, region, sub, '{TASK_NAME}:' || chunk AS prompt FROM {p.chunks} WHERE split = 'test'")
+    return {**o, **corpora.ORACLE}
 
 
 ORACLE = build()

@@ -69,6 +69,11 @@ def _stored_path(spark: SparkSession) -> tuple[str, str]:
     return name, ensure_checkpoint_dir(spark).rstrip("/") + f"/quire-tables/{name}"
 
 
+def stored_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder, removed with the stored tables."""
+    return _stored_path(spark)[1]
+
+
 def cut_lineage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and continue from the
     stored copy (survives executor loss; lineage stops here).
