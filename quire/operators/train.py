@@ -9,10 +9,17 @@ The residual is computed once, in the same job, and feeds body and head alike.
 
 The feature store has one row per chunk and is bucketed on the chunk key, so
 the logit aggregation and the residual join need no shuffle as long as the
-weights are small enough to broadcast; beyond that the logits join shuffles on
-(model, term) and back.  Several models (one per region) train in the same
+weights are small enough to broadcast.  Beyond that a second copy of the features,
+one row per chunk and term, is bucketed by (model, term) once, and every epoch's weights
+are stored in the same buckets: the weights join is local and only the chunks'
+partial logits move.  Terms that very many chunks hold are spread over salts, with
+their weights repeated.  Several models (one per region) train in the same
 jobs: ``model_id`` is just a column.  Each epoch's parameters are written to
 the checkpoint folder, which cuts the lineage.
+
+``fit`` takes full-batch steps.  ``fit_batches`` takes mini-batch steps (batches by a hash
+of the chunk, stored as partitions), with the optimiser's moments as parameter columns, and
+evaluates at step numbers.
 """
 
 from __future__ import annotations
@@ -23,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import names, softmax
-from quire.functions.joins import broadcast_if_small
+from quire.functions.joins import broadcast_if_small, fits_broadcast
 from quire.operators.features import CHUNK_KEY
-from quire.session import cut_lineage
+from quire.session import cut_lineage, store_bucketed
 
 MODEL = "model_id"
 HEAD_ID = -1  # param_id of the head row
@@ -65,6 +72,55 @@ def chunk_logits(chunks: DataFrame, params: DataFrame, k: int, body_rows: int |
             .agg(*[F.sum(F.col("tf") * F.col(c)).alias(l) for c, l in zip(names("w", k), names("l", k))]))
 
 
+TERM_ROWS = 1_000_000  # rows of one (model, term) that share a salt
+
+
+@dataclass
+class TermStore:
+    """The features of some chunks by term: ``rows`` (CHUNK_KEY, model_id, term_id, salt, tf) in ``n`` buckets of
+    (model, term, salt); ``hot`` (model_id, term_id, salts) names the terms with more than one salt."""
+
+    rows: DataFrame
+    hot: DataFrame
+    n: int
+
+
+TERM_KEY = [MODEL, "term_id", "salt"]
+
+
+def term_store(chunks: DataFrame, n: int, term_rows: int | None = None) -> TermStore:
+    """The TermStore of ``chunks`` (CHUNK_KEY, model_id, feats); the one shuffle of the features by term."""
+    term_rows = term_rows or TERM_ROWS
+    rows = chunks.select(*CHUNK_KEY, MODEL, F.inline("feats"))
+    many = rows.groupBy(MODEL, "term_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > term_rows)
+    hot = cut_lineage(many.select(MODEL, "term_id", F.ceil(F.col("n") / term_rows).cast("int").alias("salts")))
+    salt = F.pmod(F.xxhash64(*CHUNK_KEY), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = rows.join(broadcast_if_small(hot), [MODEL, "term_id"], "left").select(*CHUNK_KEY, MODEL, "term_id", salt.alias("salt"), "tf")
+    return TermStore(store_bucketed(salted, n, TERM_KEY), hot, n)
+
+
+def term_weights(params: DataFrame, store: TermStore, k: int) -> DataFrame:
+    """The body weights in the store's buckets, a hot term's once per salt."""
+    body = params.where(F.col("part") == "body").select(MODEL, F.col("param_id").alias("term_id"), *names("w", k))
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    told = body.join(broadcast_if_small(store.hot), [MODEL, "term_id"], "left").select(MODEL, "term_id", salts, *names("w", k))
+    return store_bucketed(told, store.n, TERM_KEY)
+
+
+def logits_by_term(chunks: DataFrame, params: DataFrame, weights: DataFrame, store: TermStore, k: int,
+                   keep: list[str] | None = None) -> DataFrame:
+    """``chunk_logits`` for weights beyond the broadcast limits: the weights meet the terms bucket by bucket,
+    partial logits move to their chunk's bucket, and the head (one row per model) is added there."""
+    keep = list(keep or [])
+    partial = store.rows.join(weights, TERM_KEY).groupBy(*CHUNK_KEY).agg(
+        *[F.sum(F.col("tf") * F.col(w)).alias(f"s_{c}") for c, w in enumerate(names("w", k))])
+    head = params.where(F.col("part") == "head").select(MODEL, *[F.col(w).alias(f"h_{c}") for c, w in enumerate(names("w", k))])
+    rows = chunks.select(*CHUNK_KEY, MODEL, *keep).join(partial, CHUNK_KEY, "left").join(F.broadcast(head), MODEL, "left")
+    zero = F.lit(0.0)
+    return rows.select(*CHUNK_KEY, MODEL, *keep, *[
+        (F.coalesce(f"s_{c}", zero) + F.coalesce(f"h_{c}", zero)).alias(l) for c, l in enumerate(names("l", k))])
+
+
 def with_probs(logits: DataFrame, k: int) -> DataFrame:
     """Add ``p_0..p_{k-1}`` (row-wise softmax of the logits) and drop the logits."""
     probs = softmax([F.col(l) for l in names("l", k)])
@@ -72,13 +128,20 @@ def with_probs(logits: DataFrame, k: int) -> DataFrame:
     return logits.select(*others, *[p.alias(n) for p, n in zip(probs, names("p", k))])
 
 
-def gradient(params: DataFrame, chunks: DataFrame, k: int, body_rows: int | None = None) -> DataFrame:
+def logits(chunks: DataFrame, params: DataFrame, k: int, body_rows: int | None, store: TermStore | None) -> DataFrame:
+    """The labelled chunks' logits, by broadcast weights or through the term store."""
+    if store is None:
+        return chunk_logits(chunks, params, k, body_rows, ["label_idx"])
+    return logits_by_term(chunks, params, term_weights(params, store, k), store, k, ["label_idx"])
+
+
+def gradient(params: DataFrame, chunks: DataFrame, k: int, body_rows: int | None = None, store: TermStore | None = None) -> DataFrame:
     """``(model_id, param_id, g_0..g_{k-1})``: summed gradient of the cross-entropy.
 
     ``chunks``: ``CHUNK_KEY, model_id, label_idx`` (non-null), ``feats``.  One job:
     the store is scanned for the logits and met again, bucket by bucket, by the
-    residuals (one row per chunk on either side)."""
-    probs = with_probs(chunk_logits(chunks, params, k, body_rows, ["label_idx"]), k)
+    residuals (one row per chunk on either side).  With a ``store`` the logits come by term."""
+    probs = with_probs(logits(chunks, params, k, body_rows, store), k)
     resid = probs.select(*CHUNK_KEY, *[(F.col(p) - F.when(F.col("label_idx") == c, 1.0).otherwise(0.0)).alias(e)
                                        for c, (p, e) in enumerate(zip(names("p", k), names("e", k)))])
     rows = chunks.select(*CHUNK_KEY, MODEL, "feats").join(resid, CHUNK_KEY).select(
@@ -88,12 +151,12 @@ def gradient(params: DataFrame, chunks: DataFrame, k: int, body_rows: int | None
 
 
 def gradient_step(params: DataFrame, chunks: DataFrame, k: int, lr: float, body_rows: int | None = None,
-                  counts: DataFrame | None = None) -> DataFrame:
+                  counts: DataFrame | None = None, store: TermStore | None = None) -> DataFrame:
     """One full-batch gradient step of mean cross-entropy for every model at once.
     ``counts`` (model_id, n: labelled chunks) is derived when not given."""
     n = F.broadcast(sample_counts(chunks) if counts is None else counts)  # one row per model
     step = lambda w, g: F.col(w) - F.lit(lr) * F.coalesce(F.col(g) / F.col("n"), F.lit(0.0))
-    return (params.join(gradient(params, chunks, k, body_rows), [MODEL, "param_id"], "left").join(n, MODEL, "left")
+    return (params.join(gradient(params, chunks, k, body_rows, store), [MODEL, "param_id"], "left").join(n, MODEL, "left")
             .select(MODEL, "part", "param", "param_id", *[step(w, g).alias(w) for w, g in zip(names("w", k), names("g", k))]))
 
 
@@ -101,9 +164,9 @@ def sample_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(MODEL).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mean_loss(params: DataFrame, chunks: DataFrame, k: int, body_rows: int | None = None) -> DataFrame:
+def mean_loss(params: DataFrame, chunks: DataFrame, k: int, body_rows: int | None = None, store: TermStore | None = None) -> DataFrame:
     """``(model_id, n, loss)``: mean cross-entropy of the labelled chunks."""
-    probs = with_probs(chunk_logits(chunks, params, k, body_rows, ["label_idx"]), k)
+    probs = with_probs(logits(chunks, params, k, body_rows, store), k)
     p_true = F.get(F.array(*[F.col(p) for p in names("p", k)]), F.col("label_idx"))
     nll = -F.log(F.greatest(p_true, F.lit(1e-300)))
     return probs.groupBy(MODEL).agg(F.count(F.lit(1)).alias("n"), F.avg(nll).alias("loss"))
@@ -117,23 +180,29 @@ class FitResult:
 
 
 def fit(params: DataFrame, chunks: DataFrame, k: int, lr: float, epochs: int, dev_chunks: DataFrame | None = None,
-        body_rows: int | None = None) -> FitResult:
+        body_rows: int | None = None, n_parts: int | None = None) -> FitResult:
     """``epochs`` gradient steps; with a dev set each model keeps the epoch of
     lowest dev loss (the best-model rule of evaluation during training).  A
     model without labelled dev chunks keeps its last epoch.  Rows without a
-    label index are left out."""
+    label index are left out.  With ``n_parts`` (the chunk store's buckets), weights
+    beyond the broadcast limits are met through term stores."""
     spark = params.sparkSession
     chunks = chunks.filter(F.col("label_idx").isNotNull())
+    by_term = n_parts is not None and body_rows is not None and not fits_broadcast(body_rows, 24 + 8 * k)
+    store = term_store(chunks, n_parts) if by_term else None
+    if dev_chunks is not None:
+        dev_chunks = dev_chunks.filter(F.col("label_idx").isNotNull())
+    dev_store = term_store(dev_chunks, n_parts) if by_term and dev_chunks is not None else None
     current = cut_lineage(params)
     counts = cut_lineage(sample_counts(chunks))
     models = sorted(r[0] for r in current.select(MODEL).distinct().collect())  # one row per model
     per_epoch: list[DataFrame] = []
     losses: dict[int, dict[int, float]] = {m: {} for m in models}
     for epoch in range(1, epochs + 1):
-        current = cut_lineage(gradient_step(current, chunks, k, lr, body_rows, counts))
+        current = cut_lineage(gradient_step(current, chunks, k, lr, body_rows, counts, store))
         per_epoch.append(current)
         if dev_chunks is not None:
-            for r in mean_loss(current, dev_chunks.filter(F.col("label_idx").isNotNull()), k, body_rows).collect():
+            for r in mean_loss(current, dev_chunks, k, body_rows, dev_store).collect():
                 losses[r[MODEL]][epoch] = float(r["loss"])
     # lowest dev loss per model; the earlier epoch wins a tie
     best = {m: min(told, key=lambda e: (told[e], e)) if told else epochs for m, told in losses.items()}
@@ -147,3 +216,73 @@ def fit(params: DataFrame, chunks: DataFrame, k: int, lr: float, epochs: int, de
         [(m, e, losses[m].get(e), best[m] == e) for m in models for e in range(1, epochs + 1)],
         "model_id int, epoch int, dev_loss double, best boolean")
     return FitResult(result, history, best)
+
+
+# Adam's usual decay rates and denominator term.
+ADAM_BETA1, ADAM_BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
+
+
+def with_moments(params: DataFrame, k: int) -> DataFrame:
+    """Parameters with the optimiser's moments ``m_c`` and ``v_c`` (zero) as columns."""
+    return params.select("*", *[F.lit(0.0).alias(c) for c in names("m", k) + names("v", k)])
+
+
+def adam_step(params: DataFrame, chunks: DataFrame, k: int, lr: float, step: int, body_rows: int | None = None) -> DataFrame:
+    """One Adam step on the mean gradient of ``chunks`` (a batch).  A model without a chunk in the batch, and
+    a term that the batch lacks, have gradient zero: their moments decay."""
+    n = F.broadcast(sample_counts(chunks))  # one row per model
+    rows = params.join(gradient(params.drop(*names("m", k), *names("v", k)), chunks, k, body_rows), [MODEL, "param_id"], "left").join(n, MODEL, "left")
+    out = []
+    for c in range(k):
+        g = F.coalesce(F.col(f"g_{c}") / F.col("n"), F.lit(0.0))
+        m = ADAM_BETA1 * F.col(f"m_{c}") + (1 - ADAM_BETA1) * g
+        v = ADAM_BETA2 * F.col(f"v_{c}") + (1 - ADAM_BETA2) * g * g
+        move = F.lit(lr) * (m / (1 - ADAM_BETA1 ** step)) / (F.sqrt(v / (1 - ADAM_BETA2 ** step)) + ADAM_EPS)
+        out.append((F.col(f"w_{c}") - move, m, v))
+    w, m, v = zip(*out)
+    return rows.select(MODEL, "part", "param", "param_id", *[x.alias(a) for x, a in zip((*w, *m, *v), names("w", k) + names("m", k) + names("v", k))])
+
+
+def batch_of(batches: int, seed: int = 777) -> Column:
+    """The batch of a chunk: a hash of its key, so it is the same whatever the order of the rows."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in CHUNK_KEY]))
+    return (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % batches).cast("int")
+
+
+@dataclass
+class BatchFit:
+    params: DataFrame
+    history: DataFrame  # (model_id, step, dev_loss, best): evaluated steps only
+
+
+def fit_batches(params: DataFrame, chunks: DataFrame, k: int, lr: float, epochs: int, batches: int, dev_chunks: DataFrame,
+                eval_every: int, n_parts: int, body_rows: int | None = None, seed: int = 777) -> BatchFit:
+    """``epochs`` passes of ``batches`` Adam steps; each model keeps the evaluated step of lowest dev loss.
+
+    The samples are stored once, bucketed on the chunk and with a folder per batch, so a step reads
+    its own batch alone.  Steps are numbered from 1; the dev loss is taken every ``eval_every`` steps and
+    after the last one, and the earlier of equal steps wins.  The parameters of evaluated steps are stored
+    candidates; a model without dev chunks keeps the last step."""
+    spark = params.sparkSession
+    known = chunks.filter(F.col("label_idx").isNotNull()).withColumn("batch", batch_of(batches, seed))
+    stored = store_bucketed(known, n_parts, CHUNK_KEY, ("batch",))
+    dev = dev_chunks.filter(F.col("label_idx").isNotNull())
+    current = cut_lineage(with_moments(params, k))
+    last = epochs * batches
+    candidates, history = {}, []
+    for step in range(1, last + 1):
+        batch = stored.where(F.col("batch") == (step - 1) % batches).drop("batch")
+        current = cut_lineage(adam_step(current, batch, k, lr, step, body_rows))
+        if step % eval_every == 0 or step == last:
+            candidates[step] = current
+            history += [(r[MODEL], step, r["loss"]) for r in mean_loss(current, dev, k, body_rows).collect()]  # a row per model
+    told = spark.createDataFrame(history, f"{MODEL} int, step int, dev_loss double")
+    best = told.groupBy(MODEL).agg(F.min_by("step", F.struct("dev_loss", "step")).alias("best_step"))
+    models = current.select(MODEL).distinct().join(F.broadcast(best), MODEL, "left").select(MODEL, F.coalesce("best_step", F.lit(last)).alias("best_step"))
+    models = cut_lineage(models)  # one row per model
+    out = None
+    for step, p in candidates.items():
+        part = p.join(F.broadcast(models.where(F.col("best_step") == step).select(MODEL)), MODEL, "left_semi")
+        out = part if out is None else out.unionByName(part)
+    marked = told.join(F.broadcast(models), MODEL).select(MODEL, "step", "dev_loss", (F.col("step") == F.col("best_step")).alias("best"))
+    return BatchFit(out.drop(*names("m", k), *names("v", k)) if out is not None else params, marked)

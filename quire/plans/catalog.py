@@ -228,6 +228,15 @@ def q_best_epoch(spark, d):
     return _round_all(_plan(spark, d, PIPE_CFG).region_fit.history, ["dev_loss"])
 
 
+def q_fit_batches(spark, d):
+    p = _plan(spark, d, PIPE_CFG)
+    return _params_out(p.batch_fit.params, p.k)
+
+
+def q_best_step(spark, d):
+    return _round_all(_plan(spark, d, PIPE_CFG).batch_fit.history, ["dev_loss"])
+
+
 def _embedding_params(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("model_id"), "label",
@@ -484,6 +493,8 @@ QUERIES = {
     "untrained_metrics": q_untrained_metrics,
     "paragraph_chunks": q_paragraph_chunks,
     "fuse_stored": q_fuse_stored,
+    "fit_batches": q_fit_batches,
+    "best_step": q_best_step,
     "attach_gold_first": q_attach_gold_first,
     "average_blocks": q_average_blocks,
     "prediction_prompts": q_prediction_prompts,

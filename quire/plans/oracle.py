@@ -248,6 +248,45 @@ FROM {hist_all}""")
             for e, p in enumerate(per_epoch, start=1)))
         return final, hist
 
+    def batch(self, rows: str, number: int) -> str:
+        key = f"md5('{self.cfg.seed}:' || doc_id || ':' || region || ':' || sub)"
+        return self.q.add(f"SELECT * FROM {rows} WHERE ('0x' || substr({key}, 1, 8))::UBIGINT % {self.cfg.batches} = {number}")
+
+    def adam_step(self, params: str, samples: str, feats: str, lr: float, step: int) -> str:
+        """``params`` has moments; a gradient step of rate 1 from zero weights' place gives the mean gradient."""
+        k, q = self.k, self.q
+        moved = self.step(params, samples, feats, 1.0)  # w - g
+        sel = []
+        for c in range(k):
+            g = f"(b.w_{c} - n.w_{c})"
+            m = f"({dbl(0.9)} * b.m_{c} + {dbl(1 - 0.9)} * {g})"
+            v = f"({dbl(0.999)} * b.v_{c} + {dbl(1 - 0.999)} * {g} * {g})"
+            sel.append(f"b.w_{c} - {dbl(lr)} * ({m} / {dbl(1 - 0.9 ** step)}) / (sqrt({v} / {dbl(1 - 0.999 ** step)}) + {dbl(1e-8)}) AS w_{c}, "
+                       f"{m} AS m_{c}, {v} AS v_{c}")
+        return q.add(f"""SELECT b.model_id, b.part, b.param, b.param_id, {', '.join(sel)}
+FROM {params} b JOIN {moved} n ON n.model_id = b.model_id AND n.param_id = b.param_id""")
+
+    def batch_fit(self) -> tuple[str, str]:
+        """(final params, history) of the mini-batch steps."""
+        c, q, k = self.cfg, self.q, self.k
+        zeros = ", ".join(f"CAST(0.0 AS DOUBLE) AS {x}" for x in cols("m", k) + cols("v", k))
+        cur = q.add(f"SELECT *, {zeros} FROM {self.init_params(list(range(c.n_regions)))}")
+        s, f = self.samples(["train"], "region", True), self.feats(["train"], "region", True)
+        ds, df = self.samples(["dev"], "region", True), self.feats(["dev"], "region", True)
+        parts = [(self.batch(s, b), self.batch(f, b)) for b in range(c.batches)]
+        kept, losses, last = {}, [], c.epochs * c.batches
+        for step in range(1, last + 1):
+            cur = self.adam_step(cur, *parts[(step - 1) % c.batches], c.batch_lr, step)
+            if step % c.eval_every == 0 or step == last:
+                kept[step] = cur
+                losses.append(q.add(f"SELECT model_id, CAST({step} AS INTEGER) AS step, loss FROM {self.loss(cur, ds, df)}"))
+        told = q.add(" UNION ALL ".join(f"SELECT * FROM {x}" for x in losses))
+        hist = q.add(f"""SELECT model_id, step, loss AS dev_loss, row_number() OVER (PARTITION BY model_id ORDER BY loss, step) = 1 AS best
+FROM {told}""")
+        final = q.add(" UNION ALL ".join(f"SELECT p.* FROM {p} p WHERE p.model_id IN (SELECT model_id FROM {hist} WHERE best AND step = {n})"
+                                         for n, p in kept.items()))
+        return final, hist
+
     # stages
     def region_fit(self):
         if "region_fit" not in self._memo:
@@ -562,6 +601,10 @@ FROM m GROUP BY pos"""
     o["untrained_docs"] = b.q.render(f"SELECT doc_id, prediction, gold FROM {b.with_gold(b.base())}")
     b = _pipe(BASELINE_CFG)
     o["untrained_metrics"] = metrics_final(b.q, b.with_gold(b.base()))
+    p = _pipe()
+    o["fit_batches"] = params_final(p.q, p.batch_fit()[0], K_LANG)
+    p = _pipe()
+    o["best_step"] = p.q.render(f"SELECT model_id, step, {rnd('dev_loss', 'dev_loss')}, best FROM {p.batch_fit()[1]}")
     o["average_blocks"] = o["average_models"]
     o["attach_gold_first"] = """SELECT conv_id, role AS gold FROM (
   SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations) WHERE r = 1"""

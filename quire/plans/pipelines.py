@@ -23,7 +23,7 @@ from quire.operators.metrics import metrics
 from quire.operators.params import FUSED_ID, fuse_models
 from quire.operators.score import attach_gold, chunk_softmax, doc_argmax, doc_mean_probs, score_chunks
 from quire.operators.splits import split_recipe
-from quire.operators.train import FitResult, fit, init_params
+from quire.operators.train import BatchFit, FitResult, fit, fit_batches, init_params
 from quire.functions.joins import measure
 from quire.session import cut_lineage
 
@@ -39,6 +39,9 @@ class FusedConfig:
     lr: float = 8.0
     finetune_epochs: int = 3
     finetune_lr: float = 8.0
+    batches: int = 4
+    batch_lr: float = 0.3
+    eval_every: int = 2
     seed: int = 777
     weights: tuple | None = None
     apply_first_weight: bool = False
@@ -118,7 +121,16 @@ class FusedPlan:
         region = F.col("region")
         init = init_params(self.vocab, list(range(c.n_regions)), self.k)
         return fit(init, self.samples("train", region), self.k, c.lr, c.epochs, self.samples("dev", region),
-                   body_rows=self.vocab_rows * c.n_regions)
+                   body_rows=self.vocab_rows * c.n_regions, n_parts=self.n_parts)
+
+    @cached_property
+    def batch_fit(self) -> BatchFit:
+        """The region models by mini-batch steps, evaluated at step numbers."""
+        c = self.cfg
+        region = F.col("region")
+        init = init_params(self.vocab, list(range(c.n_regions)), self.k)
+        return fit_batches(init, self.samples("train", region), self.k, c.batch_lr, c.epochs, c.batches, self.samples("dev", region),
+                           c.eval_every, self.n_parts, self.vocab_rows * c.n_regions, c.seed)
 
     @cached_property
     def base(self) -> DataFrame:
@@ -136,7 +148,7 @@ class FusedPlan:
         c = self.cfg
         one = F.lit(FUSED_ID)
         return fit(self.fused, self.samples("finetune", one), self.k, c.finetune_lr, c.finetune_epochs,
-                   self.samples("dev", one), body_rows=self.vocab_rows)
+                   self.samples("dev", one), body_rows=self.vocab_rows, n_parts=self.n_parts)
 
     # -- prediction -------------------------------------------------------
     def chunk_scores(self, params: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from quire.functions.joins import fits_broadcast, measure
 from quire.operators.features import chunk_terms, feature_store, number_terms, term_rows, term_vocabulary
 from quire.operators.params import (FUSED_ID, assert_compatible, average_blocks, average_models, check_compatible, from_blocks,
                                     fuse_into, fuse_models, read_params, to_blocks, write_params)
-from quire.operators.train import fit, gradient_step, init_params
+from quire.operators.train import (adam_step, batch_of, fit, fit_batches, gradient_step, init_params, logits_by_term, term_store,
+                                   term_weights, with_moments)
 
 
 def vec_params(spark, rows):
@@ -198,3 +199,68 @@ def test_shuffle_paths_give_the_same_models(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 0)
     for a, b in zip(run(), small):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
+
+
+def test_term_buckets_give_the_same_models(spark, monkeypatch):
+    """Beyond the broadcast limits: equal results, and the weights join has no exchange below it."""
+    from quire.functions import joins
+    from quire.operators import train
+
+    _, vocab, store = _toy(spark)
+    init = init_params(vocab, [0], 2)
+    want = fit(init, store, 2, 1.0, 2, store)
+    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(train, "TERM_ROWS", 1)  # terms of two chunks have two salts
+    got = fit(init, store, 2, 1.0, 2, store, body_rows=vocab.count(), n_parts=4)
+    for a, b in zip(sorted(map(tuple, got.params.collect())), sorted(map(tuple, want.params.collect()))):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
+    a, b = (sorted((r.epoch, r.best, round(r.dev_loss, 12)) for r in x.history.collect()) for x in (got, want))
+    assert a == b
+    terms = term_store(store, 4)
+    assert terms.hot.count() > 0 and terms.rows.agg(F.max("salt")).first()[0] > 0
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = terms.rows.join(term_weights(init, terms, 2), train.TERM_KEY)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        whole = logits_by_term(store, init, term_weights(init, terms, 2), terms, 2, ["label_idx"])
+        # only partial logits move (the head is a broadcast): one hash exchange in the plan
+        assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_adam_step_matches_numpy(spark):
+    counts, vocab, store = _toy(spark)
+    params = with_moments(init_params(vocab, [0], 2), 2)
+    for step in (1, 2):
+        params = adam_step(params, store, 2, 0.1, step)
+    terms = sorted(r.term for r in vocab.collect())
+    X = np.ones((4, len(terms) + 1))
+    X[:, :-1] = 0
+    for r in counts.collect():
+        X[r.doc_id - 1, terms.index(r.term)] = r.tf
+    Y = np.eye(2)[[0, 1, 0, 1]]
+    w, m, v = np.zeros((3, len(terms) + 1, 2))
+    for step in (1, 2):
+        p = np.exp(X @ w) / np.exp(X @ w).sum(1, keepdims=True)
+        g = X.T @ (p - Y) / 4
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    got = {r.param: (r.w_0, r.w_1) for r in params.collect()}
+    for i, t in enumerate([*terms, "bias"]):
+        assert got[t] == pytest.approx(tuple(w[i]))
+
+
+def test_batches_reach_a_lower_loss_in_equal_passes(spark):
+    from quire.plans.pipelines import FusedConfig, FusedPlan
+
+    plan = FusedPlan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), FusedConfig(epochs=2))
+    full = {r.model_id: r.dev_loss for r in plan.region_fit.history.collect() if r.best}
+    rows = plan.batch_fit.history.collect()
+    assert {r.step for r in rows} == {2, 4, 6, 8} and sum(r.best for r in rows) == 3
+    best = {r.model_id: r.dev_loss for r in rows if r.best}
+    assert all(best[m] == min(r.dev_loss for r in rows if r.model_id == m) for m in best)
+    assert all(best[m] < full[m] for m in full)
+    sizes = dict(map(tuple, plan.samples("train", F.col("region")).groupBy(batch_of(4)).count().collect()))
+    assert sorted(sizes) == [0, 1, 2, 3] and min(sizes.values()) > max(sizes.values()) / 3
