@@ -59,13 +59,16 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """page_id, url, html, refers_to: null for a response, the response's page id for a revisit.
 
     Digest groups come from a partial aggregate over slim rows; pages meet them in a join whose
-    hot partitions adaptive execution splits."""
+    hot partitions adaptive execution splits.  Pages too small to be revisits stay out of the join."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("sha", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha1("html")))
-    groups = rows.where("sha IS NOT NULL").groupBy("sha").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(groups, "sha", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("keep")), F.lit(None)).otherwise(F.col("keep")).alias("refers_to"))
+    large = F.octet_length("html") >= REVISIT_BYTES
+    rest = rows.where(~large).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    rows = rows.where(large).withColumn("sha", F.sha1("html"))
+    groups = rows.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = rows.join(groups, "sha", "left").select(
+        "page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("keep")), F.lit(None)).otherwise(F.col("keep")).alias("refers_to"))
+    return joined.unionByName(rest)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -175,6 +178,18 @@ def decode_member(ahead: Ahead) -> tuple[dict[str, str], bytes, int] | None:
     return (top, block, used) if len(block) == int(top["content-length"]) else None
 
 
+def told_digest(value: str) -> str | None:
+    """The SHA-1 that a payload digest header names, base32 or hex, as bare lower-case hex; None for anything else."""
+    name, _, told = value.rpartition(":")
+    if name.lower() not in ("", "sha1"):
+        return None
+    try:
+        raw = bytes.fromhex(told) if len(told) == 40 else base64.b32decode(told.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
+
+
 def read_range(path: str, start: int, end: int) -> Iterator[tuple]:
     """RECORDS tuples of the records that start in [start, end)."""
     fs, base = open_fs(path)
@@ -189,10 +204,13 @@ def read_range(path: str, start: int, end: int) -> Iterator[tuple]:
             ahead.skip(length)
             number = lambda k: int(head[k]) if head.get(k, "").lstrip("-").isdigit() else None
             top, _, payload = block.partition(b"\r\n\r\n")
-            told = base64.b32decode(head.get("warc-payload-digest", "sha1:").partition(":")[2]).hex()
+            told = told_digest(head.get("warc-payload-digest", ""))
             if head["warc-type"] == "revisit":
-                fields = dict(x.split(b": ", 1) for x in top.split(b"\r\n")[1:])
-                digest, size, intact, payload = told, int(fields.get(b"Content-Length", b"0")), True, None
+                # The payload is elsewhere: its digest and length are those that the headers name, if they do.
+                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in top.split(b"\r\n")[1:])}
+                length = fields.get(b"content-length", b"")
+                size = int(length) if length.isdigit() else None
+                digest, intact, payload = told, told is not None and size is not None, None
             else:
                 digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
                 intact = digest == told

@@ -80,3 +80,24 @@ def test_empty_table(spark, tmp_path):
 def test_extra_columns_and_types(spark, archives):
     assert W.with_revisits(pages(spark, rows())).columns == ["page_id", "url", "html", "refers_to"]
     assert archives[1].select(F.sum("size")).first()[0] == sum(os.path.getsize(os.path.join(archives[0], f)) for f in os.listdir(archives[0]))
+
+
+def test_foreign_headers_do_not_stop_the_reader(tmp_path):
+    body = b"hello payload"
+    sha = hashlib.sha1(body).hexdigest()
+
+    def member(kind, digest, http, payload=b""):
+        block = http + b"\r\n\r\n" + payload
+        head = [f"WARC/1.0\r\nWARC-Type: {kind}"] + ([f"WARC-Payload-Digest: {digest}"] if digest is not None else []) + [f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    cases = [("response", f"sha1:{sha}", b"HTTP/1.1 200 OK", body), ("response", f"SHA1:{sha.upper()}", b"HTTP/1.1 200 OK", body),
+             ("response", "sha1:not base32!", b"HTTP/1.1 200 OK", body), ("response", "sha256:" + "ab" * 32, b"HTTP/1.1 200 OK", body),
+             ("response", None, b"HTTP/1.1 200 OK", body), ("revisit", f"sha1:{sha}", b"HTTP/1.1 200 OK\r\nno separator\r\ncontent-length:13"),
+             ("revisit", "x", b"HTTP/1.1 200 OK\r\nContent-Length: many"), ("warcinfo", None, b"software: x"), ("response", f"sha1:{sha}", b"HTTP/1.1 200 OK", body)]
+    path = tmp_path / "foreign.warc.gz"
+    path.write_bytes(b"".join(member(*c) for c in cases))
+    got = list(W.read_range(str(path), 0, path.stat().st_size))
+    assert [r[2] for r in got] == [c[0] for c in cases]
+    assert [r[8] for r in got] == [True, True, False, False, False, True, False, False, True]
+    assert [(r[5], r[6]) for r in got[:5]] == [(13, sha)] * 5 and (got[5][5], got[5][6]) == (13, sha) and (got[6][5], got[6][6]) == (None, None)
