@@ -39,6 +39,7 @@ UNKNOWN_PENALTY = 10.0    # fixed in the tokenizer's rules
 CACHE_WORDS = 800_000
 # Longer words are counted without being cached.
 CACHED_LENGTH = 64
+SPAN = 4096  # characters of a word whose states are held at once
 
 
 def default_model() -> str:
@@ -69,6 +70,7 @@ class ViterbiCounter:
             if piece != UNKNOWN:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in vocabulary if p != UNKNOWN), default=1)
         pieces = {p for p, _ in vocabulary}
         self.bytes = all(f"<0x{b:02X}>" in pieces for b in range(256))
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
@@ -79,30 +81,44 @@ class ViterbiCounter:
     def word(self, word: str) -> tuple[int, float]:
         """(number of tokens, score) of one word; U+2581 is already in front."""
         n = len(word)
-        best, count, ends_unknown = [0.0] + [-math.inf] * n, [0] * (n + 1), [False] * (n + 1)
+        # The states of at most ``SPAN`` characters are held, from ``base`` on: a long word's lists are moved on
+        # when they are used up, as no piece reaches back further than the longest.
+        span, base = min(n, max(SPAN, 2 * self.longest)), 0
+        best, count, ends_unknown = [0.0] + [-math.inf] * span, [0] * (span + 1), [False] * (span + 1)
         at, single = 0, False
 
-        def unknown(i: int) -> None:
+        def unknown(i: int, char: str) -> None:
             score = best[i] + self.unknown
             if score > best[i + 1]:
                 best[i + 1], ends_unknown[i + 1] = score, True
-                count[i + 1] = count[i] + (len(word[i].encode("utf-8", "surrogatepass")) if self.bytes else not ends_unknown[i])
+                count[i + 1] = count[i] + (len(char.encode("utf-8", "surrogatepass")) if self.bytes else not ends_unknown[i])
+
+        def move_on() -> int:
+            gone = span - self.longest
+            best[:] = best[gone:] + [-math.inf] * gone
+            count[:] = count[gone:] + [0] * gone
+            ends_unknown[:] = ends_unknown[gone:] + [False] * gone
+            return base + gone
 
         for end, (length, score) in self.automaton.iter(word):
             while at < end:
                 if not single:
-                    unknown(at)
+                    unknown(at - base, word[at])
                 at, single = at + 1, False
-            start = end + 1 - length
-            score += best[start]
-            if score > best[end + 1]:
-                best[end + 1], count[end + 1], ends_unknown[end + 1] = score, count[start] + 1, False
+                if at - base == span:
+                    base = move_on()
+            to = end + 1 - base
+            score += best[to - length]
+            if score > best[to]:
+                best[to], count[to], ends_unknown[to] = score, count[to - length] + 1, False
             single = single or length == 1
         while at < n:
             if not single:
-                unknown(at)
+                unknown(at - base, word[at])
             at, single = at + 1, False
-        return count[n], best[n]
+            if at - base == span and at < n:
+                base = move_on()
+        return count[n - base], best[n - base]
 
     def text(self, text: str) -> tuple[int, int, float]:
         """(tokens, words, score)."""

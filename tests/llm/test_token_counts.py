@@ -89,3 +89,11 @@ def test_frames(spark):
     got = sorted(((r.id, r.n_tokens) for r in T.token_counts(df).collect()), key=str)
     assert got == sorted(((r[0], n(r[1])) for r in rows), key=str)
     assert T.token_counts(df.where("false")).collect() == []
+
+
+def test_long_words_hold_a_bounded_state(monkeypatch):
+    words = [T.META + "".join(np.random.default_rng(i).choice(list("abetno漢"), size=300)) for i in range(5)] + [T.META + "ab" * 2000, T.META]
+    counter = T.ViterbiCounter(vocabulary())
+    want = [counter.word(w) for w in words]
+    monkeypatch.setattr(T, "SPAN", 1)  # then twice the longest piece
+    assert 2 * counter.longest < 300 and [counter.word(w) for w in words] == want
