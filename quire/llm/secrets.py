@@ -1,10 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-DataFrame and Spark ML functions only.  A candidate is a run of 16 or more characters of
+DataFrame and Spark ML functions only.  A candidate is a run of 15 or more characters of
 ``[A-Za-z0-9+/_-]`` with a digit in it (or a provider's format without one), plus up to two ``=``; or any
 quoted or unspaced value of 6 or more characters right after a keyword and ``=`` or ``:``.
 Its features: length, character classes and transitions between them, distinct characters, share of its characters covered by dictionary words,
-the kind of path the document comes from, and the words on both sides.  The dictionary is the corpus
+the kind of path the document comes from, and the words on both sides (hashed buckets).  The dictionary is the corpus
 itself: the words that all documents have outside the candidates, if at least ``WORD_SHARE`` of all words.  The forest is trained on labelled findings - a
 table given by the caller, or the findings whose label follows from their form: provider formats and
 assigned mixed values are secrets; plain numbers, UUIDs, checksums named as such, parts of addresses,
@@ -39,7 +39,7 @@ KEYWORD = r"(?i)(secret|token|passwo?r?d|passwd|pwd|api[_ -]?key|access[_ -]?key
 ASSIGNED = (r"(?<=[=:]\s{0,4}[\"'`]?)(?<=(?i:secret|token|passwo?r?d|passwd|pwd|api[_ -]?key|access[_ -]?key|credential|auth|bearer|private)"
             r"\w{0,20}[\"'`]?\s{0,4}[=:]\s{0,4}[\"'`]?)"
             r"(?:(?<=\")[^\"\r\n]{6,}(?=\")|(?<=')[^'\r\n]{6,}(?=')|(?<=`)[^`\r\n]{6,}(?=`)|(?<![\"'`])[^\s\"'`=:][^\s\"'`]{4,}[^\s\"'`,;.)\]}>])")
-RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|A[KS]IA[0-9A-Z]{16})[A-Za-z0-9+/_\-]{16,}={0,2}"
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|A[KS]IA[0-9A-Z]{16})[A-Za-z0-9+/_\-]{15,}={0,2}"
 CANDIDATE = f"{ASSIGNED}|{RUN}"
 PROVIDER = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
@@ -47,6 +47,9 @@ CHECKSUM = r"(?i)(sha-?[0-9]*|md5|checksum|digest|commit|revision|etag|integrity
 PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|dummy|x{6,}|0{8,}|123456789|abcdef)"
 ADDRESS = r"(@|://)\S*$"
 
+MARK = "\uffff"          # set around candidates; no character, one of a text counts as U+FFFD
+WORD_BUCKETS = 24        # of the hash of a neighbouring word
+
 FEATURES = ["length", "digits", "uppers", "lowers", "transitions", "distinct_chars", "is_hex", "covered", "path_kind",
             "keyword_before", "assigned", "quoted", "word_before", "word_after", "address_before"]
 
@@ -55,9 +58,20 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """id, path, start, stop (code points, end exclusive), value, before, after - one row per candidate.
 
     The gaps between candidates are the text split at them, so offsets are running sums of lengths."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), text_of(F.col(text_col)).alias("t"))
-    rows = rows.select("id", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("values"), "t").where(F.size("values") > 0)
-    rows = rows.select("id", "path", "values", F.split("t", CANDIDATE, -1).alias("gaps"))
+    return located(marked(df, id_col, text_col, path_col))
+
+
+def marked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """id, path, parts: each text cut at its candidates, found in one pass; gaps and candidates take turns."""
+    text = F.translate(text_of(F.col(text_col)), MARK, "\ufffd")
+    parts = F.split(F.regexp_replace(text, f"(?:{CANDIDATE})", f"{MARK}$0{MARK}"), MARK, -1)
+    return df.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), parts.alias("parts"))
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """The candidates of ``marked`` rows, as ``candidates`` gives them."""
+    every = lambda odd: F.filter("parts", lambda _, i: i % 2 == odd)
+    rows = rows.where(F.size("parts") > 1).select("id", "path", every(1).alias("values"), every(0).alias("gaps"))
     starts = F.aggregate(
         F.arrays_zip(F.slice("gaps", 1, F.size("values")).alias("gap"), F.col("values").alias("value")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
@@ -81,8 +95,14 @@ def dictionary(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The word counts of the text outside the candidates, without words rarer than WORD_SHARE.
 
     Copies of a secret thus never make its own letters words."""
-    outside = F.regexp_replace(text_of(F.col(text_col)), CANDIDATE, " ")
-    words = cut_lineage(word_counts(df.select(outside.alias("text"))))
+    only = df.select(text_of(F.col(text_col)).alias("text"), F.lit(None).alias("path"))
+    return known_words(marked(only, "text", "text", "path"))
+
+
+def known_words(rows: DataFrame) -> DataFrame:
+    """The dictionary from the gaps of ``marked`` rows."""
+    outside = F.array_join(F.filter("parts", lambda _, i: i % 2 == 0), " ")
+    words = cut_lineage(word_counts(rows.select(outside.alias("text"))))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return words.where(F.col("n") >= WORD_SHARE * total)
 
@@ -100,6 +120,8 @@ def with_features(found: DataFrame, words: DataFrame, min_count: int = 2) -> Dat
     v, before, after = F.col("value"), F.col("before"), F.col("after")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]+", "9"), "[a-z]+", "a"), "[A-Z]+", "A")
     yes = lambda cond: cond.cast("double")
+    # The word itself as a hashed bucket, 0 for none.
+    bucket = lambda word: F.when(word == "", 0.0).otherwise(1.0 + F.pmod(F.xxhash64(F.lower(word)), F.lit(WORD_BUCKETS)))
     return keyed.join(known, "cid", "left").withColumns({
         "length": F.length(v).cast("double"), "digits": share(v, "0-9"), "uppers": share(v, "A-Z"), "lowers": share(v, "a-z"),
         "transitions": (F.length(shape) - 1) / F.length(v), "distinct_chars": F.size(F.array_distinct(F.split(v, ""))) / F.length(v),
@@ -107,7 +129,7 @@ def with_features(found: DataFrame, words: DataFrame, min_count: int = 2) -> Dat
         "path_kind": F.when(F.col("path").isNull(), 0.0).when(F.col("path").rlike(r"(?i)(test|spec|example|fixture|doc)"), 1.0)
         .when(F.col("path").rlike(r"(?i)\.(env|ya?ml|json|ini|cfg|conf|properties|toml|pem)$"), 3.0).otherwise(2.0),
         "keyword_before": yes(before.rlike(KEYWORD)), "assigned": yes(before.rlike(r"[=:]\s*[\"']?$")), "quoted": yes(before.rlike("[\"'`]$")),
-        "word_before": yes(before.rlike(r"\p{L}{2,}\W{0,3}$")), "word_after": yes(after.rlike(r"^\W{0,3}\p{L}{2,}")),
+        "word_before": bucket(F.regexp_extract(before, r"(\p{L}{2,})\W{0,3}$", 1)), "word_after": bucket(F.regexp_extract(after, r"^\W{0,3}(\p{L}{2,})", 1)),
         "address_before": yes(before.rlike(ADDRESS))}).drop("known")
 
 
@@ -145,7 +167,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
     """One row per candidate: id, start, stop, value, label, probability, is_secret.
 
     ``labels`` (id, start, label) overrides the labels that follow from the form."""
-    found = cut_lineage(with_features(candidates(df, id_col, text_col, path_col), dictionary(df, text_col)).withColumn("label", form_label()))
+    parts = cut_lineage(marked(df, id_col, text_col, path_col))  # the one pass of the patterns
+    found = cut_lineage(with_features(located(parts), known_words(parts)).withColumn("label", form_label()))
     if labels is not None:
         given = labels.select(F.col("id").alias("__id"), F.col("start").alias("__start"), F.col("label").cast("double").alias("__label"))
         found = cut_lineage(found.join(given, found["id"].eqNullSafe(given["__id"]) & (found["start"] == given["__start"]), "left")
