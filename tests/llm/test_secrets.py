@@ -114,5 +114,5 @@ def test_assigned_values_of_any_form(spark):
 
 
 def test_shortest_provider_format_is_a_candidate(spark):
-    got = S.candidates(frame(spark, [(1, "use xoxb-1234567890 here"), (2, "and xoxb-123456789 there"), (3, "￿ a0b1c2d3e4f5g6h ￿")])).collect()
+    got = S.candidates(frame(spark, [(1, "use xoxb-1234567890 here", "p"), (2, "and xoxb-123456789 there", "p"), (3, "￿ a0b1c2d3e4f5g6h ￿", "p")])).collect()
     assert sorted((r.id, r.start, r.value) for r in got) == [(1, 4, "xoxb-1234567890"), (3, 2, "a0b1c2d3e4f5g6h")]
