@@ -5,19 +5,22 @@ patterns miss: numbers without the leading plus, written-out addresses, other se
 *zones*, the stretches around a digit, an at sign, a bracketed "at" or "dot" and a written-out address;
 outside zones no segment can be an entity.  A zone reaches as far as an entity around its trigger can, and
 its context.  A zone's tokens are cut into segments of at most ``MAX_TOKENS`` tokens, but for written-out
-addresses, which are segments at any length an address can have; a candidate segment is scored as a whole (digit groups, checksums, separators, neighbours, cue words), and dynamic programming
-picks boundaries and kinds together.  Base spans are fixed segments of that search.  A zone is decoded whole,
+addresses, which are segments at any length an address can have; a candidate segment is scored as a whole (digit groups, checksums, separators, neighbours, cue words)
+and by the kind of the entity before it in the zone, and dynamic programming with a state per previous kind
+picks boundaries and kinds together.  Base spans are fixed segments of that search: they set the state.  A zone is decoded whole,
 however long: the search keeps the scores of the boundaries that open segments reach, not of all before.
 
 Training is by conditional likelihood (forward-backward sums over all segmentations) on at most
 ``MAX_ZONES`` zones labelled by the base patterns - those with the smallest hash over all documents -
 where spans are also rewritten in the forms the patterns miss, beside numbers that are no personal data
-(dates, versions, amounts, failed checksums).  The weights, a few hundred numbers, go to the tasks; the
+(dates, versions, amounts, failed checksums), and every second example is two zones, so that kinds follow each other.  The weights, a few hundred numbers, go to the tasks; the
 texts are read in place and nothing is shuffled but the bounded sample.
 
 Defined results: null and empty texts have no spans; rows repeated in full are scanned row by row; an
 empty table, or one without a labelled zone, trains no field and gives the base spans; long texts are
-scanned whole in time linear in their length; only the id and the text are read.
+scanned whole in time linear in their length; only the id and the text are read.  Of segmentations that score
+the same with the same last kind, the one whose last segment ends (then starts) earlier is taken; between last
+kinds none goes first, then the kinds as listed.
 """
 
 from __future__ import annotations
@@ -116,7 +119,9 @@ _SHAPES = (r"\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}", r"(?:00|\+)?\d{1,3}[-. /]\(?\d{2,
            rf"[\w.%+-]+(?:{_SAID_DOT}[\w.%+-]+)*(?:\s?@\s?|\s?[\[({{<]\s?at\s?[\])}}>]\s?|\s{{1,2}}at\s{{1,2}}){_HOST}")
 _SHAPES = tuple(re.compile(p, re.I) for p in _SHAPES)
 _DIGIT_BINS = (0, 1, 4, 7, 10, 11, 12, 14, 16, 17, 20)
-N_FEATURES = 1 + len(_DIGIT_BINS) + 6 + 9 + len(_SHAPES) + 15
+N_OWN = 1 + len(_DIGIT_BINS) + 6 + 9 + len(_SHAPES) + 15
+STATES = 1 + len(KINDS)      # no entity before in the zone, or the last one's kind
+N_FEATURES = N_OWN + STATES  # the last columns weigh the state before a segment
 
 
 def addresses(text: str) -> Iterator[tuple[list[int], list[int]]]:
@@ -239,27 +244,46 @@ def segments(zone: str) -> tuple[array, list[tuple[int, int, list[int]]]]:
     return ends, list(candidates(zone, ends))
 
 
-def decode(zone: str, fixed: list[tuple[int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the best segmentation's entities that touch no fixed span.
+def decode(zone: str, fixed: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best segmentation's entities that touch no fixed span (start, kind, end).
 
-    ``best`` and ``path`` are those of the boundary ``at``; a path is (path before it, entity).  Open
-    segments wait at the boundary behind them, and no boundary passed is kept."""
+    ``best`` and ``path`` are those of the boundary ``at``, one per state; a path is (path before it, entity).
+    Open segments wait at the boundary behind them, and no boundary passed is kept.  The first boundary
+    behind a fixed span has that span's kind as its only state."""
     ends = boundaries(zone)
-    best, path, at = 0.0, None, 0
+    own, follows = weights[:, :N_OWN], weights[:, N_OWN:].tolist()
+    best, path, at = [0.0] + [-math.inf] * len(KINDS), [None] * STATES, 0
     waiting: dict[int, list] = {}
-    for i, j, feats in itertools.chain(candidates(zone, ends, fixed), [(len(ends) - 1, 0, None)]):
+    known, f = sorted(fixed, key=lambda x: (x[2], x[0], x[1])), 0
+
+    def entered(kind: int) -> tuple[float, int]:
+        """(score, state before) of the best path into an entity of the kind that starts here."""
+        score = [b + t for b, t in zip(best, follows[kind])]
+        state = max(range(STATES), key=score.__getitem__)
+        return score[state], state
+
+    bare = candidates(zone, ends, [(a, b) for a, _, b in fixed])
+    for i, j, feats in itertools.chain(bare, [(len(ends) - 1, 0, None)]):
         while at < i:
             at += 1
-            for score, through in waiting.pop(at, ()):
-                if score > best:
-                    best, path = score, through
+            for score, kind, through in waiting.pop(at, ()):
+                if score > best[kind + 1]:
+                    best[kind + 1], path[kind + 1] = score, through
+            while f < len(known) and known[f][2] <= ends[at]:
+                kind = known[f][1]
+                score, state = entered(kind)
+                best, path = [-math.inf] * STATES, [path[state] if s == kind + 1 else None for s in range(STATES)]
+                best[kind + 1] = score
+                f += 1
         if feats is not None:
-            scores = weights[:, feats].sum(axis=1)
-            kind = int(scores.argmax())
-            waiting.setdefault(j, []).append((best + float(scores[kind]) - MARGIN, (path, (ends[i], kind, ends[j]))))
-    out = []
-    while path is not None:
-        path, entity = path
+            scores = own[:, feats].sum(axis=1).tolist()
+            here = waiting.setdefault(j, [])
+            for kind, score in enumerate(scores):
+                before, state = entered(kind)
+                here.append((before + score - MARGIN, kind, (path[state], (ends[i], kind, ends[j]))))
+    through, out = path[max(range(STATES), key=best.__getitem__)], []
+    while through is not None:
+        through, entity = through
         out.append(entity)
     return out[::-1]
 
@@ -323,31 +347,48 @@ def matrix(found) -> np.ndarray:
 
 
 def likelihood_step(x: np.ndarray, spans: list[tuple[int, int]], n: int, hits: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
-    """Log-likelihood of the gold segmentation and its gradient, by forward and backward sums.
+    """Log-likelihood of the gold segmentation and its gradient, by forward and backward sums over
+    (boundary, state).
 
     ``spans`` are the segments' token bounds among ``n`` boundaries; ``hits`` (segment, kind) marks the gold."""
     scores = x @ weights.T
-    mass = np.logaddexp.reduce(scores, axis=1)  # of a segment over all kinds
-    forward, backward = [0.0] * n, [0.0] * n
-    by_end, by_start = [[] for _ in range(n)], [[] for _ in range(n)]
-    for (i, j), m in zip(spans, mass.tolist()):
-        by_end[j].append((i, m))
-        by_start[i].append((j, m))
-    for j in range(1, n):
-        terms = [forward[j - 1], *(forward[i] + m for i, m in by_end[j])]
-        forward[j] = _log_sum(terms)
-    for i in range(n - 2, -1, -1):
-        terms = [backward[i + 1], *(backward[j] + m for j, m in by_start[i])]
-        backward[i] = _log_sum(terms)
-    total = forward[n - 1]
-    outside = np.array([forward[i] + backward[j] for i, j in spans]) - total
-    share = np.exp(outside[:, None] + scores)
-    return float((hits * scores).sum()) - total, (hits - share).T @ x
-
-
-def _log_sum(terms: list[float]) -> float:
-    top = max(terms)
-    return top if len(terms) == 1 else top + math.log(sum(math.exp(t - top) for t in terms))
+    follows = weights[:, N_OWN:].T  # (state before, kind)
+    by_end, by_start = {}, {}
+    for s, (i, j) in enumerate(spans):
+        by_end.setdefault(j, []).append(s)
+        by_start.setdefault(i, []).append(s)
+    forward, backward = np.full((n, STATES), -np.inf), np.zeros((n, STATES))
+    forward[0, 0] = 0.0
+    into = np.full((len(spans), len(KINDS)), -np.inf)  # all paths up to and into a segment of a kind
+    onward = np.zeros_like(into)                       # and from behind it
+    for j in range(n):
+        if j:
+            forward[j] = forward[j - 1]
+            if j in by_end:
+                forward[j, 1:] = np.logaddexp.reduce(np.vstack([forward[j, 1:], into[by_end[j]] + scores[by_end[j]]]), axis=0)
+        if j in by_start:
+            into[by_start[j]] = np.logaddexp.reduce(forward[j][:, None] + follows, axis=0)
+    for i in range(n - 1, -1, -1):
+        if i < n - 1:
+            backward[i] = backward[i + 1]
+            if i in by_start:
+                found = by_start[i]
+                behind = np.logaddexp.reduce(scores[found] + onward[found], axis=0)  # of a kind, over the segments here
+                backward[i] = np.logaddexp(backward[i], np.logaddexp.reduce(follows + behind, axis=1))
+        if i in by_end:
+            onward[by_end[i]] = backward[i, 1:]
+    total = float(np.logaddexp.reduce(forward[n - 1]))
+    gradient = (hits - np.exp(into + scores + onward - total)).T @ x
+    starts = np.array([i for i, _ in spans])
+    # (segment, state, kind): the share of the segmentations in which the segment follows that state.
+    pairs = np.exp(forward[starts][:, :, None] + follows + (scores + onward - total)[:, None, :])
+    gradient[:, N_OWN:] -= pairs.sum(axis=0).T
+    value, state = -total, 0
+    for s, kind in sorted(zip(*map(np.ndarray.tolist, np.nonzero(hits))), key=lambda g: spans[g[0]]):
+        value += float(scores[s, kind] + follows[state, kind])
+        gradient[kind, N_OWN + state] += 1.0
+        state = kind + 1
+    return value, gradient
 
 
 def fit(sample: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOCHS, seed: int = SEED) -> np.ndarray | None:
@@ -358,6 +399,10 @@ def fit(sample: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOC
     data = []
     for zone, spans in sample:
         text, gold = examples(zone, spans, rng)
+        if rng.random() < 0.5:
+            more, behind = examples(*sample[int(rng.integers(len(sample)))], rng)
+            gold += [(len(text) + 1 + a, kind, len(text) + 1 + b) for a, kind, b in behind]
+            text += "\n" + more
         ends, found = segments(text)
         at = {e: k for k, e in enumerate(ends)}
         place = {(i, j): s for s, (i, j, _) in enumerate(found)}
@@ -419,7 +464,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
             k += 1
         i = k
         while i < len(base) and base[i][0] < b:
-            fixed.append((base[i][0] - a, base[i][2] - a))
+            fixed.append((base[i][0] - a, base[i][1], base[i][2] - a))
             i += 1
         out += [(a + s, kind, a + e) for s, kind, e in decode(text[a:b], fixed, weights)]
     return out
