@@ -79,7 +79,8 @@ def exact_split(df: DataFrame, frac: float, seed: int = DEFAULT_SEED, doc_col: s
                 first: str = "train", second: str = "test", split_col: str = "split",
                 where: Column | None = None) -> DataFrame:
     """Seeded split with exactly ``ceil(n * frac)`` rows (of those matching
-    ``where``) in ``second``."""
+    ``where``) in ``second``.  Rows with the same id go together, so no document is in both
+    parts: where ids repeat, ``second`` has the fewest whole ids that reach that number."""
     k = cut_key(df, frac, seed, doc_col, where)
     if k is None:
         new = F.lit(first)

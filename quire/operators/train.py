@@ -19,13 +19,17 @@ the checkpoint folder, which cuts the lineage.
 
 ``fit`` takes full-batch steps.  ``fit_batches`` takes mini-batch steps (batches by a hash
 of the chunk, stored as partitions), with the optimiser's moments as parameter columns, and
-evaluates at step numbers.
+evaluates at step numbers.  ``fit_local`` takes its mini-batch steps inside shards of the chunks, all
+shards at once in one job, and averages the shards' parameters by key after every round.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,13 +280,86 @@ def fit_batches(params: DataFrame, chunks: DataFrame, k: int, lr: float, epochs:
         if step % eval_every == 0 or step == last:
             candidates[step] = current
             history += [(r[MODEL], step, r["loss"]) for r in mean_loss(current, dev, k, body_rows).collect()]  # a row per model
-    told = spark.createDataFrame(history, f"{MODEL} int, step int, dev_loss double")
+    return _best(candidates, spark.createDataFrame(history, f"{MODEL} int, step int, dev_loss double"), current, last, k)
+
+
+def _best(candidates: dict[int, DataFrame], told: DataFrame, current: DataFrame, last: int, k: int) -> BatchFit:
+    """Each model's parameters at its evaluated step of lowest dev loss (``told``), and the marked history."""
     best = told.groupBy(MODEL).agg(F.min_by("step", F.struct("dev_loss", "step")).alias("best_step"))
     models = current.select(MODEL).distinct().join(F.broadcast(best), MODEL, "left").select(MODEL, F.coalesce("best_step", F.lit(last)).alias("best_step"))
     models = cut_lineage(models)  # one row per model
     out = None
     for step, p in candidates.items():
         part = p.join(F.broadcast(models.where(F.col("best_step") == step).select(MODEL)), MODEL, "left_semi")
+        part = part.select(MODEL, "part", "param", "param_id", *names("w", k))
         out = part if out is None else out.unionByName(part)
     marked = told.join(F.broadcast(models), MODEL).select(MODEL, "step", "dev_loss", (F.col("step") == F.col("best_step")).alias("best"))
-    return BatchFit(out.drop(*names("m", k), *names("v", k)) if out is not None else params, marked)
+    return BatchFit(current.select(MODEL, "part", "param", "param_id", *names("w", k)) if out is None else out, marked)
+
+
+SHARD_ROWS = 2_000  # chunks of a shard, about: what one task holds
+
+
+def local_steps(samples: pd.DataFrame, weights: pd.DataFrame, k: int, lr: float, batches: int) -> pd.DataFrame:
+    """``(model_id, param_id, d_0..d_{k-1})``: what one pass of ``batches`` gradient steps over a shard's
+    ``samples`` (model_id, label_idx, batch, ids, tfs) moves its ``weights`` (model_id, param_id, w_c)."""
+    start = weights[names("w", k)].to_numpy(dtype=float)
+    w = start.copy()
+    lengths = samples["ids"].str.len().to_numpy(dtype=np.int64)
+    row = np.repeat(np.arange(len(samples)), lengths)
+    ids, tf = (np.concatenate([np.asarray(x, dtype=t) for x in samples[c]] or [np.empty(0, t)]) for c, t in (("ids", np.int64), ("tfs", float)))
+    model = samples[MODEL].to_numpy()
+    place = pd.MultiIndex.from_frame(weights[[MODEL, "param_id"]]).get_indexer(pd.MultiIndex.from_arrays([model[row], ids]))
+    known = place >= 0
+    row, tf, place = row[known], tf[known], place[known]
+    label, batch, owner = samples["label_idx"].to_numpy(dtype=np.int64), samples["batch"].to_numpy(), weights[MODEL].to_numpy()
+    for b in range(batches):
+        mine = batch == b
+        of = mine[row]
+        r, t, at = row[of], tf[of], place[of]
+        logit = np.stack([np.bincount(r, t * w[at, c], minlength=len(samples)) for c in range(k)], axis=1)
+        e = np.exp(logit - logit.max(axis=1, keepdims=True))
+        resid = e / e.sum(axis=1, keepdims=True) - (label[:, None] == np.arange(k))
+        n = samples[MODEL][mine].value_counts().reindex(owner).to_numpy()  # of the model's chunks in the batch, or nan
+        grad = np.stack([np.bincount(at, t * resid[r, c], minlength=len(w)) for c in range(k)], axis=1)
+        w -= lr * np.nan_to_num(grad / n[:, None])
+    moved = pd.DataFrame(w - start, columns=names("d", k))
+    moved.insert(0, MODEL, owner)
+    moved.insert(1, "param_id", weights["param_id"].to_numpy())
+    return moved
+
+
+def fit_local(params: DataFrame, chunks: DataFrame, k: int, lr: float, rounds: int, batches: int, dev_chunks: DataFrame,
+              n_parts: int, body_rows: int | None = None, shard_rows: int = SHARD_ROWS, seed: int = 777) -> BatchFit:
+    """``rounds`` passes over the chunks, each one job: every shard starts from the common parameters, takes
+    ``batches`` gradient steps on its own chunks, and the shards' parameters are averaged by key.
+
+    Shards are a hash of the chunk, so their sizes vary little around ``shard_rows`` whatever the keys, and their
+    number grows with the chunks.  A shard gets the weights of its own terms only and gives back what it moved;
+    a shard without a term, or without a chunk of a model, holds it unmoved, so the sum of the moves over the
+    number of shards is the average.  Rows without a label index are left out.  The dev loss is taken after every
+    round (``step`` of the history); each model keeps its best round, the earlier of equal ones, and without dev
+    chunks the last."""
+    spark = params.sparkSession
+    known = chunks.filter(F.col("label_idx").isNotNull())
+    shards = max(1, math.ceil(known.count() / shard_rows))
+    feats = _with_head(F.col("feats"))
+    rows = known.select(batch_of(shards, seed + 1).alias("shard"), MODEL, "label_idx", batch_of(batches, seed).alias("batch"),
+                        feats["term_id"].alias("ids"), feats["tf"].alias("tfs"))
+    stored = store_bucketed(rows, n_parts, ["shard"])
+    wanted = store_bucketed(stored.select("shard", MODEL, F.explode("ids").alias("param_id")).distinct(), n_parts, [MODEL, "param_id"])
+    dev = dev_chunks.filter(F.col("label_idx").isNotNull())
+    current = cut_lineage(params)
+    schema = ", ".join([f"{MODEL} int", "param_id long", *(f"{c} double" for c in names("d", k))])
+    candidates, history = {}, []
+    for step in range(1, rounds + 1):
+        weights = wanted.join(broadcast_if_small(current.select(MODEL, "param_id", *names("w", k)), body_rows, 24 + 8 * k), [MODEL, "param_id"])
+        moves = stored.groupBy("shard").cogroup(weights.groupBy("shard")).applyInPandas(
+            lambda samples, mine: local_steps(samples, mine, k, lr, batches), schema)
+        total = moves.groupBy(MODEL, "param_id").agg(*[F.sum(d).alias(d) for d in names("d", k)])
+        current = cut_lineage(current.join(total, [MODEL, "param_id"], "left").select(
+            MODEL, "part", "param", "param_id",
+            *[(F.col(w) + F.coalesce(F.col(d), F.lit(0.0)) / shards).alias(w) for w, d in zip(names("w", k), names("d", k))]))
+        candidates[step] = current
+        history += [(r[MODEL], step, r["loss"]) for r in mean_loss(current, dev, k, body_rows).collect()]  # a row per model
+    return _best(candidates, spark.createDataFrame(history, f"{MODEL} int, step int, dev_loss double"), current, rounds, k)

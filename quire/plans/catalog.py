@@ -47,11 +47,12 @@ _PLANS: dict = {}
 
 def _plan(spark: SparkSession, sf_dir: str, cfg: FusedConfig, corpus: str = "documents") -> FusedPlan:
     """One plan per application, configuration and state of the input files: when the files
-    change, so do their names or their total size, and a new plan is built."""
+    change, so do their names, their total size or the time of the last write, and a new plan is built."""
     docs = table(spark, sf_dir, "documents")
     files = hashlib.sha256("\n".join(sorted(docs.inputFiles())).encode()).hexdigest()
     size = str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    key = (spark.sparkContext.applicationId, files, size, cfg, corpus)
+    written = docs.agg(F.max("_metadata.file_modification_time")).first()[0]  # reads no column
+    key = (spark.sparkContext.applicationId, files, size, written, cfg, corpus)
     plan = _PLANS.get(key)
     if plan is None or plan.docs.sparkSession is not spark:
         n_parts = partitions_for(docs)
@@ -237,6 +238,15 @@ def q_best_step(spark, d):
     return _round_all(_plan(spark, d, PIPE_CFG).batch_fit.history, ["dev_loss"])
 
 
+def q_fit_local(spark, d):
+    p = _plan(spark, d, PIPE_CFG)
+    return _params_out(p.local_fit.params, p.k)
+
+
+def q_best_round(spark, d):
+    return _round_all(_plan(spark, d, PIPE_CFG).local_fit.history, ["dev_loss"])
+
+
 def _embedding_params(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("model_id"), "label",
@@ -495,6 +505,8 @@ QUERIES = {
     "fuse_stored": q_fuse_stored,
     "fit_batches": q_fit_batches,
     "best_step": q_best_step,
+    "fit_local": q_fit_local,
+    "best_round": q_best_round,
     "attach_gold_first": q_attach_gold_first,
     "average_blocks": q_average_blocks,
     "prediction_prompts": q_prediction_prompts,

@@ -280,6 +280,10 @@ FROM {params} b JOIN {moved} n ON n.model_id = b.model_id AND n.param_id = b.par
             if step % c.eval_every == 0 or step == last:
                 kept[step] = cur
                 losses.append(q.add(f"SELECT model_id, CAST({step} AS INTEGER) AS step, loss FROM {self.loss(cur, ds, df)}"))
+        return self.best(kept, losses)
+
+    def best(self, kept: dict[int, str], losses: list[str]) -> tuple[str, str]:
+        q = self.q
         told = q.add(" UNION ALL ".join(f"SELECT * FROM {x}" for x in losses))
         hist = q.add(f"""SELECT model_id, step, loss AS dev_loss, row_number() OVER (PARTITION BY model_id ORDER BY loss, step) = 1 AS best
 FROM {told}""")
@@ -287,6 +291,29 @@ FROM {told}""")
                                          for n, p in kept.items()))
         return final, hist
 
+    def local_fit(self) -> tuple[str, str]:
+        """(final params, history) of the steps inside shards: a model's copy in a shard is a model of its own."""
+        c, q, k = self.cfg, self.q, self.k
+        s, f = self.samples(["train"], "region", True), self.feats(["train"], "region", True)
+        n = q.add(f"SELECT CAST(greatest(1, ceil(count(*) / {c.shard_rows})) AS BIGINT) AS n FROM {s}")
+        key = f"md5('{c.seed + 1}:' || CAST(r.doc_id AS VARCHAR) || ':' || CAST(r.region AS VARCHAR) || ':' || CAST(r.sub AS VARCHAR))"
+        own = lambda rows: q.add(f"""SELECT r.* REPLACE (r.model_id * n.n + CAST(('0x' || substr({key}, 1, 8))::UBIGINT % n.n AS BIGINT) AS model_id)
+FROM {rows} r, {n} n""")
+        own_s, own_f = own(s), own(f)
+        parts = [(self.batch(own_s, b), self.batch(own_f, b)) for b in range(c.batches)]
+        ds, df = self.samples(["dev"], "region", True), self.feats(["dev"], "region", True)
+        cur = self.init_params(list(range(c.n_regions)))
+        kept, losses = {}, []
+        for step in range(1, c.epochs + 1):
+            copies = q.add(f"SELECT p.* REPLACE (p.model_id * n.n + x.i AS model_id) FROM {cur} p, {n} n, (SELECT unnest(range(n)) AS i FROM {n}) x")
+            for part in parts:
+                copies = self.step(copies, *part, c.lr)
+            cur = q.add(f"""SELECT CAST(p.model_id // n.n AS INTEGER) AS model_id, p.part, p.param, p.param_id, {', '.join(f'avg(p.{w}) AS {w}' for w in cols('w', k))}
+FROM {copies} p, {n} n GROUP BY p.model_id // n.n, p.part, p.param, p.param_id""")
+            kept[step] = cur
+            losses.append(q.add(f"SELECT model_id, CAST({step} AS INTEGER) AS step, loss FROM {self.loss(cur, ds, df)}"))
+        return self.best(kept, losses)
+
     # stages
     def region_fit(self):
         if "region_fit" not in self._memo:
@@ -605,6 +632,10 @@ FROM m GROUP BY pos"""
     o["fit_batches"] = params_final(p.q, p.batch_fit()[0], K_LANG)
     p = _pipe()
     o["best_step"] = p.q.render(f"SELECT model_id, step, {rnd('dev_loss', 'dev_loss')}, best FROM {p.batch_fit()[1]}")
+    p = _pipe()
+    o["fit_local"] = params_final(p.q, p.local_fit()[0], K_LANG)
+    p = _pipe()
+    o["best_round"] = p.q.render(f"SELECT model_id, step, {rnd('dev_loss', 'dev_loss')}, best FROM {p.local_fit()[1]}")
     o["average_blocks"] = o["average_models"]
     o["attach_gold_first"] = """SELECT conv_id, role AS gold FROM (
   SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations) WHERE r = 1"""

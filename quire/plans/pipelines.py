@@ -23,7 +23,7 @@ from quire.operators.metrics import metrics
 from quire.operators.params import FUSED_ID, fuse_models
 from quire.operators.score import attach_gold, chunk_softmax, doc_argmax, doc_mean_probs, score_chunks
 from quire.operators.splits import split_recipe
-from quire.operators.train import BatchFit, FitResult, fit, fit_batches, init_params
+from quire.operators.train import SHARD_ROWS, BatchFit, FitResult, fit, fit_batches, fit_local, init_params
 from quire.functions.joins import measure
 from quire.session import cut_lineage
 
@@ -41,6 +41,7 @@ class FusedConfig:
     finetune_lr: float = 8.0
     batches: int = 4
     batch_lr: float = 0.3
+    shard_rows: int = SHARD_ROWS
     eval_every: int = 2
     seed: int = 777
     weights: tuple | None = None
@@ -132,6 +133,15 @@ class FusedPlan:
         return fit_batches(init, self.samples("train", region), self.k, c.batch_lr, c.epochs, c.batches, self.samples("dev", region),
                            c.eval_every, self.n_parts, self.vocab_rows * c.n_regions, c.seed)
 
+    @cached_property
+    def local_fit(self) -> BatchFit:
+        """The region models by steps inside shards, averaged after every round."""
+        c = self.cfg
+        region = F.col("region")
+        init = init_params(self.vocab, list(range(c.n_regions)), self.k)
+        return fit_local(init, self.samples("train", region), self.k, c.lr, c.epochs, c.batches, self.samples("dev", region),
+                         self.n_parts, self.vocab_rows * c.n_regions, c.shard_rows, c.seed)
+
     @cached_property
     def base(self) -> DataFrame:
         return init_params(self.vocab, [FUSED_ID], self.k)

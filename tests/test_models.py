@@ -9,7 +9,7 @@ from quire.functions.joins import fits_broadcast, measure
 from quire.operators.features import chunk_terms, feature_store, number_terms, term_rows, term_vocabulary
 from quire.operators.params import (FUSED_ID, assert_compatible, average_blocks, average_models, check_compatible, from_blocks,
                                     fuse_into, fuse_models, read_params, to_blocks, write_params)
-from quire.operators.train import (adam_step, batch_of, fit, fit_batches, gradient_step, init_params, logits_by_term, term_store,
+from quire.operators.train import (adam_step, batch_of, fit, fit_batches, fit_local, gradient_step, init_params, logits_by_term, term_store,
                                    term_weights, with_moments)
 
 
@@ -264,3 +264,63 @@ def test_batches_reach_a_lower_loss_in_equal_passes(spark):
     assert all(best[m] < full[m] for m in full)
     sizes = dict(map(tuple, plan.samples("train", F.col("region")).groupBy(batch_of(4)).count().collect()))
     assert sorted(sizes) == [0, 1, 2, 3] and min(sizes.values()) > max(sizes.values()) / 3
+
+
+def local_chunks(spark, n=60):
+    """Two models' chunks over six terms, one chunk without a term and one without a label."""
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, 0, i % 2, None if i == 7 else int(rng.integers(3)),
+             [] if i == 4 else [(int(t), float(rng.random())) for t in sorted(rng.choice(6, size=3, replace=False))]) for i in range(n)]
+    schema = "doc_id long, region int, sub int, model_id int, label_idx int, feats array<struct<term_id:bigint,tf:double>>"
+    vocab = spark.createDataFrame([(f"t{i}", i) for i in range(6)], "term string, term_id long")
+    return rows, spark.createDataFrame(rows, schema).repartition(3), init_params(vocab, [0, 1, 2], 3)
+
+
+def test_local_steps_against_brute_force(spark):
+    """Shards, batches and averages by whole parameter arrays, in another order of work."""
+    rows, chunks, params = local_chunks(spark)
+    kept = {r.doc_id: (r.s, r.b) for r in chunks.select("doc_id", batch_of(3, 778).alias("s"), batch_of(2).alias("b")).collect()}
+    w = np.zeros((3, 7, 3))  # model, term or head, class
+    for _ in range(2):
+        copies = []
+        for shard in range(3):
+            c = w.copy()
+            for b in range(2):
+                g, n = np.zeros_like(c), np.zeros(3)
+                for i, _, _, m, y, feats in rows:
+                    if y is not None and kept[i] == (shard, b):
+                        x = np.zeros(7)
+                        x[6] = 1.0
+                        for t, tf in feats:
+                            x[t] = tf
+                        p = np.exp(x @ c[m])
+                        g[m] += np.outer(x, p / p.sum() - np.eye(3)[y])
+                        n[m] += 1
+                c -= 2.0 * g / np.maximum(n, 1)[:, None, None]
+            copies.append(c)
+        w = np.mean(copies, axis=0)
+    fitted = fit_local(params, chunks, 3, 2.0, 2, 2, chunks.limit(0), 4, 21, shard_rows=20)
+    got = fitted.params.collect()
+    assert len(got) == 21 and fitted.history.count() == 0
+    for r in got:
+        assert [r.w_0, r.w_1, r.w_2] == pytest.approx(list(w[r.model_id, 6 if r.part == "head" else r.param_id]), abs=1e-12)
+
+
+def test_one_shard_and_batch_is_a_gradient_step(spark):
+    _, chunks, params = local_chunks(spark)
+    values = lambda df: {(r.model_id, r.param_id): pytest.approx((r.w_0, r.w_1, r.w_2)) for r in df.collect()}
+    whole = gradient_step(params, chunks.where("label_idx IS NOT NULL"), 3, 1.5, 21)
+    fitted = fit_local(params, chunks, 3, 1.5, 1, 1, chunks, 4, 21, shard_rows=1000)
+    assert {k: v for k, v in values(whole).items()} == {(r.model_id, r.param_id): (r.w_0, r.w_1, r.w_2) for r in fitted.params.collect()}
+    assert [(r.model_id, r.step, r.best) for r in fitted.history.orderBy("model_id").collect()] == [(0, 1, True), (1, 1, True)]
+    none = fit_local(params, chunks.limit(0), 3, 1.5, 1, 2, chunks, 4, 21)
+    assert all(r.w_0 == r.w_1 == r.w_2 == 0 for r in none.params.collect())
+
+
+def test_local_rounds_reach_a_lower_loss_in_equal_passes(spark):
+    from quire.plans.pipelines import FusedConfig, FusedPlan
+
+    plan = FusedPlan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), FusedConfig(epochs=2, shard_rows=100))
+    full = {r.model_id: r.dev_loss for r in plan.region_fit.history.collect() if r.best}
+    best = {r.model_id: r.dev_loss for r in plan.local_fit.history.collect() if r.best}
+    assert set(best) == set(full) and all(best[m] < full[m] for m in full)

@@ -26,6 +26,16 @@ def test_exact_split_takes_smallest_keys(spark):
     assert test_max < train_min
 
 
+def test_exact_split_keeps_repeated_ids_together(spark):
+    repeated = docs(spark, 90).select(F.explode(F.array_repeat("doc_id", 3)).alias("doc_id"))
+    out = exact_split(repeated, 0.2)
+    parts = out.groupBy("doc_id").agg(F.collect_set("split").alias("s")).collect()
+    assert all(len(r.s) == 1 for r in parts)
+    assert out.filter("split = 'test'").count() == 54
+    one = docs(spark, 1).select(F.explode(F.array_repeat("doc_id", 5)).alias("doc_id"))
+    assert exact_split(one, 0.2).filter("split = 'test'").count() == 5
+
+
 def test_recipes_cover_and_disjoint(spark):
     d = docs(spark, 500)
     for name in ["news", "cases", "crisis", "paragraph", "flagged"]:
