@@ -347,7 +347,10 @@ def fit_local(params: DataFrame, chunks: DataFrame, k: int, lr: float, rounds: i
     rows = known.select(batch_of(shards, seed + 1).alias("shard"), MODEL, "label_idx", batch_of(batches, seed).alias("batch"),
                         feats["term_id"].alias("ids"), feats["tf"].alias("tfs"))
     stored = store_bucketed(rows, n_parts, ["shard"])
-    wanted = store_bucketed(stored.select("shard", MODEL, F.explode("ids").alias("param_id")).distinct(), n_parts, [MODEL, "param_id"])
+    # Weights that are broadcast meet the shards' terms in the shard's bucket; others in their own, and then move.
+    small = body_rows is None or fits_broadcast(body_rows, 24 + 8 * k)
+    wanted = store_bucketed(stored.select("shard", MODEL, F.explode("ids").alias("param_id")).distinct(), n_parts,
+                            ["shard"] if small else [MODEL, "param_id"])
     dev = dev_chunks.filter(F.col("label_idx").isNotNull())
     current = cut_lineage(params)
     schema = ", ".join([f"{MODEL} int", "param_id long", *(f"{c} double" for c in names("d", k))])

@@ -306,6 +306,18 @@ def test_local_steps_against_brute_force(spark):
         assert [r.w_0, r.w_1, r.w_2] == pytest.approx(list(w[r.model_id, 6 if r.part == "head" else r.param_id]), abs=1e-12)
 
 
+def test_local_steps_beyond_the_broadcast_limits(spark, monkeypatch):
+    """Weights joined by shuffle give the same models."""
+    from quire.functions import joins
+
+    _, chunks, params = local_chunks(spark)
+    fitted = [fit_local(params, chunks, 3, 2.0, 2, 2, chunks, 4, 21, shard_rows=20)]
+    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 0)
+    fitted.append(fit_local(params, chunks, 3, 2.0, 2, 2, chunks, 4, 21, shard_rows=20))
+    small, large = ({(r.model_id, r.param_id): (r.w_0, r.w_1, r.w_2) for r in f.params.collect()} for f in fitted)
+    assert large == {k: pytest.approx(v) for k, v in small.items()}
+
+
 def test_one_shard_and_batch_is_a_gradient_step(spark):
     _, chunks, params = local_chunks(spark)
     values = lambda df: {(r.model_id, r.param_id): pytest.approx((r.w_0, r.w_1, r.w_2)) for r in df.collect()}
