@@ -134,30 +134,49 @@ def backslashes_before(file: pa.NativeFile, at: int) -> int:
     return n
 
 
-def json_signs(part: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(parity of the string quotes up to and including each byte, +1 / -1 per bracket, backslashes at the
-    end); ``run``: backslashes just before the bytes."""
-    place = np.arange(len(part))
-    other = np.maximum.accumulate(np.where(part != _BACKSLASH, place, -1))
-    before = np.concatenate([[-1], other[:-1]])  # the last byte before each that is no backslash
-    slashes = place - 1 - before + np.where(before < 0, run, 0)
-    real = (part == _QUOTE) & (slashes & 1 == 0)
-    step = np.isin(part, np.frombuffer(b"{[", np.uint8)).astype(np.int64) - np.isin(part, np.frombuffer(b"}]", np.uint8))
-    tail = len(part) - 1 - int(other[-1])
-    return np.cumsum(real) & 1, step, tail + (run if other[-1] < 0 else 0)
+_SIGN = np.zeros(256, bool)
+_SIGN[[_QUOTE, *b"{}[]"]] = True
+_STEP = np.zeros(256, np.int64)
+_STEP[list(b"{[")], _STEP[list(b"}]")] = 1, -1
+
+
+def json_signs(part: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The quotes and brackets of the bytes: (positions, parity of the string quotes up to and including
+    each, +1 / -1 per bracket, backslashes at the end of the bytes); ``run``: backslashes just before the bytes.
+    Only these positions, and those of backslashes, are held besides the bytes."""
+    at = np.flatnonzero(_SIGN[part])
+    sign = part[at]
+    real = sign == _QUOTE
+    slash = np.flatnonzero(part == _BACKSLASH)
+    if len(slash):
+        order = np.arange(len(slash))
+        starts = np.concatenate([[True], np.diff(slash) > 1])
+        length = order - np.maximum.accumulate(np.where(starts, order, 0)) + 1  # of the run that ends at each backslash
+        length += np.where(slash - length < 0, run, 0)  # a run from the first byte on goes on from before
+        before = np.searchsorted(slash, at) - 1  # the last backslash before each sign
+        touches = (before >= 0) & (slash[before] == at - 1)
+        real &= ~(touches & (length[before] & 1 == 1))
+    if run & 1 and len(at) and at[0] == 0:
+        real[0] = False
+    if len(slash) and slash[-1] == len(part) - 1:
+        run = int(length[-1])
+    else:
+        run = 0
+    return at, np.cumsum(real) & 1, _STEP[sign], run
 
 
 def json_effect(file: pa.NativeFile, start: int, end: int) -> tuple[int, int, int, int]:
     """(string parity, bracket sum if no string is open at the start, if one is, first visible byte or 0)."""
     run, open_string, sums, first = backslashes_before(file, start), 0, [0, 0], 0
     for _, part in chunks(file, start, end):
-        parity, step, run = json_signs(part, run)
+        at, parity, step, run = json_signs(part, run)
         parity = parity ^ open_string
         sums[0] += int(step[parity == 0].sum())
         sums[1] += int(step[parity == 1].sum())
-        if not first and len(seen := part[part > 32]):
-            first = int(seen[0])
-        open_string = int(parity[-1])
+        if not first and part[seen := int(np.argmax(part > 32))] > 32:
+            first = int(part[seen])
+        if len(at):
+            open_string = int(parity[-1])
     return open_string, sums[0], sums[1], first
 
 
@@ -165,14 +184,15 @@ def json_records(file: pa.NativeFile, start: int, end: int, inside: bool, depth:
     """The objects whose opening bracket, at depth ``base``, lies in [start, end)."""
     run, open_string = backslashes_before(file, start), int(inside)
     held: list[bytes] | None = None  # of an object that is being read
-    for at, part in chunks(file, start, None):
-        parity, step, run = json_signs(part, run)
+    for place, part in chunks(file, start, None):
+        at, parity, step, run = json_signs(part, run)
         parity = parity ^ open_string
-        level = depth + np.cumsum(np.where(parity == 0, step, 0))  # after each byte
         outside = parity == 0
-        begins = np.flatnonzero(outside & (part == ord("{")) & (level == base + 1))
-        stops = np.flatnonzero(outside & (part == ord("}")) & (level == base))
-        begins = begins[at + begins < end]
+        level = depth + np.cumsum(np.where(outside, step, 0))  # after each sign
+        sign = part[at]
+        begins = at[outside & (sign == ord("{")) & (level == base + 1)]
+        stops = at[outside & (sign == ord("}")) & (level == base)]
+        begins = begins[place + begins < end]
         cut = 0
         if held is not None:
             if not len(stops):
@@ -182,15 +202,16 @@ def json_records(file: pa.NativeFile, start: int, end: int, inside: bool, depth:
                 yield b"".join([*held, part[:cut].tobytes()])
                 held = None
         if held is None:
-            for b in begins[begins >= cut]:
-                k = np.searchsorted(stops, b)
+            begins = begins[begins >= cut]
+            for b, k in zip(begins, np.searchsorted(stops, begins)):
                 if k == len(stops):
                     held = [part[b:].tobytes()]
                     break
                 yield part[b:int(stops[k]) + 1].tobytes()
-        if held is None and at + len(part) >= end:
+        if held is None and place + len(part) >= end:
             return
-        depth, open_string = int(level[-1]), int(parity[-1])
+        if len(at):
+            depth, open_string = int(level[-1]), int(parity[-1])
     if held is not None:
         raise ValueError("the file ends inside a JSON object")
 
