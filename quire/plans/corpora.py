@@ -29,9 +29,12 @@ def q_tsv_corpus(spark, d) -> DataFrame:
 
 def q_json_records(spark, d) -> DataFrame:
     """documents as JSON lists of records with nested lists, read by byte range."""
-    record = F.struct("doc_id", "text", F.struct("lang", F.split("text", "\n").alias("lines")).alias("about"))
+    # the nested lists are made after the rows have moved
+    record = lambda r: F.struct(r["doc_id"].alias("doc_id"), r["text"].alias("text"),
+                                F.struct(r["lang"].alias("lang"), F.split(r["text"], "\n").alias("lines")).alias("about"))
     lists = (table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 500).alias("part"))
-             .agg(F.to_json(F.collect_list(record)).alias("value")).select("value"))
+             .agg(F.collect_list(F.struct("doc_id", "text", "lang")).alias("rows"))
+             .select(F.to_json(F.transform("rows", record)).alias("value")))
     path = stored_folder(spark)
     lists.write.text(path)
     schema = "doc_id long, text string, about struct<lang: string, lines: array<string>>"
