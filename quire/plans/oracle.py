@@ -618,7 +618,7 @@ SELECT CAST({FUSED_ID} AS INTEGER) AS model_id, 'body' AS part, CAST(pos AS VARC
 FROM m GROUP BY pos"""
 
     def baseline_params(b: PlanSql) -> str:
-        return b.q.add(f"SELECT CAST({FUSED_ID} AS INTEGER) AS model_id, part, param, {', '.join(cols('w', K_LANG))} FROM {b.region_fit()[0]}")
+        return b.q.add(f"SELECT CAST({FUSED_ID} AS INTEGER) AS model_id, part, param, param_id, {', '.join(cols('w', K_LANG))} FROM {b.region_fit()[0]}")
 
     b = _pipe(BASELINE_CFG)
     o["baseline_docs"] = b.q.render(f"SELECT doc_id, prediction, gold FROM {b.with_gold(baseline_params(b))}")
