@@ -14,7 +14,7 @@ from quire.operators import stats as S
 from quire.plans.prepare import prepare_cases, prepare_news
 from quire.sources.readers import read_flagged_corpus, read_json_records, read_paragraph_corpus, read_tsv_corpus
 from quire.sources.sinks import write_report, write_tsv_corpus
-from quire.session import stored_folder, table
+from quire.session import cut_lineage, stored_folder, table
 
 SPLIT_BYTES = 4 * 1024 * 1024  # of the one-file-many-tasks readers
 
@@ -63,6 +63,7 @@ def q_flagged_corpus(spark, d) -> DataFrame:
     """labelled documents with a boolean flag in split folders."""
     rows = (table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
             .select("doc_id", "text", (F.col("toxic") == 1).alias("hyperpartisan"), F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train").alias("split")))
+    rows = cut_lineage(rows, ("split",))  # joined once for both folders
     root = stored_folder(spark)
     for split in ("train", "validation"):
         rows.where(F.col("split") == split).drop("split").write.parquet(f"{root}/{split}")
