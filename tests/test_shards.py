@@ -85,3 +85,20 @@ def test_fit_in_shards_is_fit_by_joins(spark):
     init = init_params(spark.createDataFrame([(f"t{i}", i) for i in range(5)], "term string, term_id long"), [0, 1], 3)
     a, b = fit(init, chunks, 3, 1.0, 2, chunks), fit(init, chunks, 3, 1.0, 2, chunks, n_parts=3)
     assert {tuple(r)[:4]: tuple(r)[4:] for r in b.params.collect()} == values(a.params) and a.best_epoch == b.best_epoch
+
+
+def test_a_word_of_many_documents_meets_the_vocabulary_once(spark):
+    """Windows of two shards: repeated documents, empty words, words without an id, null and empty texts."""
+    from quire.operators.chunking import token_windows
+
+    rows = [(1, "a b a"), (1, "a b a"), (2, " a  "), (3, None), (4, ""), (5, "x"), (6, "b x a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = spark.createDataFrame([("", 1000), ("a", 1001), ("b", 1002)], "term string, term_id long")
+    out = token_windows(docs, vocab, body_len=2, n_parts=2)
+    got = sorted((r.doc_id, r.win, [i for i, m in zip(r.input_ids, r.attention_mask) if m]) for r in out.collect())
+    a = [(1, 0, [101, 1001, 1002, 102]), (1, 1, [101, 1001, 102])]
+    assert got == sorted([*a, *a, (2, 0, [101, 1000, 1001, 102]), (2, 1, [101, 1000, 1000, 102]), (4, 0, [101, 1000, 102]),
+                          (6, 0, [101, 1002, 1001, 102]), (6, 1, [101, 1002, 102])])
+    assert all(len(r.input_ids) == len(r.attention_mask) == 512 for r in out.collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "collect_list" not in plan
