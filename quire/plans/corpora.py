@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.operators import stats as S
 from quire.plans.prepare import prepare_cases, prepare_news
 from quire.sources.readers import read_flagged_corpus, read_json_records, read_paragraph_corpus, read_tsv_corpus
-from quire.sources.sinks import write_report, write_tsv_corpus
+from quire.sources.sinks import write_report, write_row_files, write_tsv_corpus
 from quire.session import stored_folder, table
 
 SPLIT_BYTES = 4 * 1024 * 1024  # of the one-file-many-tasks readers
@@ -90,10 +90,11 @@ def q_prepare_cases(spark, d) -> DataFrame:
 
 def q_prepare_news(spark, d) -> DataFrame:
     """pages as a folder corpus, one file each under its label, prepared into one tab-separated file."""
-    files = table(spark, d, "pages").select(F.regexp_replace(F.coalesce("html", F.lit("")), r"[^\x00-\x7F]", "?").alias("value"),
-                                            (F.col("page_id") % 4).alias("group"))
+    files = table(spark, d, "pages").select(
+        F.concat(F.lit("group="), F.coalesce((F.col("page_id") % 4).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))).alias("folder"),
+        F.regexp_replace(F.coalesce("html", F.lit("")), r"[^\x00-\x7F]", "?").alias("value"))
     root = stored_folder(spark)
-    files.write.partitionBy("group").option("maxRecordsPerFile", 1).text(f"{root}/raw")
+    write_row_files(files, f"{root}/raw")
     back = read_tsv_corpus(spark, prepare_news(spark, f"{root}/raw", f"{root}/out"))
     return back.select(F.regexp_extract("labels", r"([0-9]+)$", 1).alias("labels"), F.md5("text").alias("text_md5"))
 

@@ -28,11 +28,15 @@ CHUNK = 4 * 1024 * 1024
 _QUOTE, _LINE, _BACKSLASH = ord('"'), ord("\n"), ord("\\")
 
 
-def open_file(path: str) -> pa.NativeFile:
-    """A file of any file system that Arrow knows; ``file:/x``, as Spark writes it, is local."""
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Any file system that Arrow knows, and the path in it; ``file:/x``, as Spark writes it, is local."""
     if "://" not in path or path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path)
-    system, base = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str) -> pa.NativeFile:
+    system, base = file_system(path)
     return system.open_input_file(base)
 
 
@@ -44,10 +48,9 @@ def list_ranges(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
         "path", "start", F.least(F.col("start") + split_bytes, "size").alias("end"), "size")
 
 
-def dealt(ranges: DataFrame) -> DataFrame:
-    """One range per task, up to a bounded number of tasks."""
-    n = max(1, ranges.count())
-    return ranges.repartition(min(n, max(ranges.sparkSession.sparkContext.defaultParallelism * 4, n // 16)))
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """One of ``n`` ranges per task, up to a bounded number of tasks."""
+    return min(max(1, n), max(spark.sparkContext.defaultParallelism * 4, n // 16))
 
 
 def chunks(file: pa.NativeFile, start: int, end: int | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -222,7 +225,7 @@ EFFECT = "path string, start long, end long, size long, flips int, outside long,
 STATE = "path string, start long, end long, open boolean, depth long, base int"
 
 
-def start_states(ranges: DataFrame, kind: str) -> DataFrame:
+def start_states(ranges: DataFrame, kind: str, tasks: int) -> DataFrame:
     """STATE of every range: the effects are found in parallel and composed per file, in order."""
     def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,13 +251,16 @@ def start_states(ranges: DataFrame, kind: str) -> DataFrame:
         return pd.DataFrame({"path": found["path"], "start": found["start"], "end": found["end"], "open": [o for o, _ in told],
                              "depth": [d for _, d in told], "base": base})
 
-    return dealt(ranges).mapInArrow(effects, EFFECT).groupBy("path").applyInPandas(compose, STATE)
+    # a number of its own, or adaptive execution lets one task compose all files
+    return ranges.repartition(tasks).mapInArrow(effects, EFFECT).repartition(tasks, "path").groupBy("path").applyInPandas(compose, STATE)
 
 
 def read_records(spark: SparkSession, path: str, kind: str, split_bytes: int = SPLIT_BYTES, skip_first: bool = False, columns: int = 0) -> DataFrame:
     """The records of the files: ``value`` (JSON text), or for ``kind`` "table" the array ``fields``.
     ``skip_first`` leaves out each file's first record; a record with more than ``columns`` fields fails."""
-    states = dealt(start_states(list_ranges(spark, path, split_bytes), kind))
+    ranges = list_ranges(spark, path, split_bytes)
+    tasks = tasks_for(spark, ranges.count())  # a range has one state, so the states need no count of their own
+    states = start_states(ranges, kind, tasks).repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,18 @@ CASE_SCHEMA = T.StructType([
 TSV_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("labels", T.StringType())])
 
 
+def packed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` of a scan of many small ``files`` in tasks of about ``SPLIT_BYTES`` (no shuffle), at least four per core:
+    Spark counts a small file as several megabytes, and its tasks, and what they write, would grow with the files."""
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.coalesce(max(files.sparkSession.sparkContext.defaultParallelism * 4, math.ceil(size / SPLIT_BYTES)))
+
+
 def read_case_json(spark: SparkSession, directory: str, schema: T.StructType = CASE_SCHEMA) -> DataFrame:
     """One JSON object per file; the file name is kept as ``file_name``.  A malformed
     file fails the read: it must not turn into a case without any violation."""
     df = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(directory)
-    return df.select(F.col("_metadata.file_name").alias("file_name"), *schema.fieldNames())
+    return packed(df.select(F.col("_metadata.file_name").alias("file_name"), *schema.fieldNames()), df)
 
 
 # The Windows-1252 characters of bytes 0x80-0x9F, in byte order
@@ -57,8 +65,8 @@ def read_folder_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """``(path, label, text, decode_error)``: every file under ``<dir>/<label>/``,
     decoded as Windows-1252.  Files holding a byte that encoding leaves
     undefined are flagged (a strict decoder would refuse them)."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-           .select("path", "content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    raw = packed(files.select("path", "content"), files)
     latin = F.decode(F.col("content"), "ISO-8859-1")
     bad = "[" + "".join(chr(b) for b in CP1252_UNDEFINED) + "]"
     return raw.select(

@@ -7,7 +7,7 @@ import pytest
 from quire.plans.prepare import label_cases, news_corpus, prepare_cases, prepare_news
 from quire.sources.readers import (read_case_json, read_flagged_corpus, read_folder_corpus, read_json_records,
                                    read_paragraph_corpus, read_tsv_corpus)
-from quire.sources.sinks import write_report, write_tsv_corpus
+from quire.sources.sinks import write_report, write_row_files, write_tsv_corpus
 
 
 def _case_files(d):
@@ -114,3 +114,33 @@ def test_json_list_and_split_corpora(spark, tmpdir_path):
     fl = read_flagged_corpus(spark, flagged)
     assert sorted((r.split, r.labels) for r in fl.collect()) == [("test", 0), ("test", 1), ("train", 0), ("train", 1)]
     write_report(fl, os.path.join(tmpdir_path, "report"))
+
+
+def test_small_files_share_tasks_and_part_files(spark, tmpdir_path):
+    news, cases = os.path.join(tmpdir_path, "news"), os.path.join(tmpdir_path, "cases")
+    rows = spark.range(120).selectExpr("id", "concat('group=', id % 2) AS folder", "concat('row ', id) AS value")
+    assert write_row_files(rows, news) == 120
+    told = rows.selectExpr("'train' AS folder", "to_json(struct(array(value) AS TEXT, array('3') AS VIOLATED_ARTICLES)) AS value")
+    assert write_row_files(told, cases, ("train", "dev")) == 120
+    # as on many files: one a task
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        folder, records = read_folder_corpus(spark, news), read_case_json(spark, f"{cases}/train")
+        most = 4 * spark.sparkContext.defaultParallelism
+        assert folder.rdd.getNumPartitions() <= most and records.rdd.getNumPartitions() <= most
+        assert sorted(r[0] for r in folder.select("text").collect()) == sorted(f"row {i}\n" for i in range(120))
+        out = prepare_news(spark, news, os.path.join(tmpdir_path, "out"))
+        assert len([f for f in os.listdir(out) if f.startswith("part-")]) <= most
+        out = prepare_cases(spark, f"{cases}/train", f"{cases}/dev", f"{cases}/dev", os.path.join(tmpdir_path, "out"))
+        assert read_tsv_corpus(spark, out["train"]).where("labels = '1'").count() == 120 and read_tsv_corpus(spark, out["dev"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_row_files_are_whole_and_replaced_when_written_again(spark, tmpdir_path):
+    rows = spark.createDataFrame([("a", "one\ntwo"), ("a", ""), ("b", "three \u20ac")], "folder string, value string").coalesce(1)
+    for _ in range(2):
+        assert write_row_files(rows, f"file:{tmpdir_path}/raw", ("c",)) == 3
+    found = {f: sorted(open(os.path.join(tmpdir_path, "raw", f, n), "rb").read() for n in os.listdir(os.path.join(tmpdir_path, "raw", f))) for f in "abc"}
+    assert found == {"a": [b"\n", b"one\ntwo\n"], "b": ["three \u20ac\n".encode()], "c": []}
+    assert write_row_files(rows.limit(0), f"{tmpdir_path}/none", ("a",)) == 0 and os.listdir(f"{tmpdir_path}/none") == ["a"]
