@@ -72,13 +72,12 @@ def q_flagged_corpus(spark, d) -> DataFrame:
 def q_prepare_cases(spark, d) -> DataFrame:
     """pages as case files, one JSON object each, prepared into tab-separated splits."""
     some = lambda when, value: F.when(when, F.array(value)).otherwise(F.array().cast("array<string>"))
-    cases = table(spark, d, "pages").select(
+    case = F.to_json(F.struct(
         F.split("html", "\n").alias("TEXT"), some(F.col("page_id") % 3 == 0, F.lit("3")).alias("VIOLATED_ARTICLES"),
-        some(F.col("page_id") % 5 == 0, F.lit("3-1")).alias("VIOLATED_PARAGRAPHS"), some(F.col("page_id") % 7 == 0, F.lit("a")).alias("VIOLATED_BULLETPOINTS"),
-        F.when(F.col("page_id") % 10 == 0, "test").when(F.col("page_id") % 10 == 1, "dev").otherwise("train").alias("split"))
+        some(F.col("page_id") % 5 == 0, F.lit("3-1")).alias("VIOLATED_PARAGRAPHS"), some(F.col("page_id") % 7 == 0, F.lit("a")).alias("VIOLATED_BULLETPOINTS")))
+    split = F.when(F.col("page_id") % 10 == 0, "test").when(F.col("page_id") % 10 == 1, "dev").otherwise("train")
     root = stored_folder(spark)
-    for split in ("train", "test", "dev"):
-        cases.where(F.col("split") == split).drop("split").write.option("maxRecordsPerFile", 1).json(f"{root}/raw/{split}")
+    write_row_files(table(spark, d, "pages").select(split.alias("folder"), case.alias("value")), f"{root}/raw", ("train", "test", "dev"))
     paths = prepare_cases(spark, f"{root}/raw/train", f"{root}/raw/test", f"{root}/raw/dev", f"{root}/out")
     out = None
     for split, path in paths.items():
