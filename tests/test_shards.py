@@ -102,3 +102,40 @@ def test_a_word_of_many_documents_meets_the_vocabulary_once(spark):
     assert all(len(r.input_ids) == len(r.attention_mask) == 512 for r in out.collect())
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and "collect_list" not in plan
+
+
+def test_terms_of_many_rows_are_counted_together(spark, monkeypatch):
+    """Counted by numbers, a batch of rows at a time: null, empty and repeated texts, texts without a term, and portions."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(features, "COUNT_BYTES", 16)
+    texts = [None, "", " -- ", "b a B", "b a B", "\u00c9t\u00e9 d'\u00e9t\u00e9, \u65e5\u672c 12 x\u00b2\U0001f600y", "a " * 300 + "z", "_a_a-b"]
+    chunks = spark.createDataFrame([(i, 0, 0, t) for i, t in enumerate(texts)], "doc_id long, region int, sub int, chunk string")
+    out = features.chunk_terms(chunks)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "sort_array" not in plan
+    assert out.dtypes[-1] == ("terms", "array<struct<term:string,cnt:bigint,tf:double>>")
+    words = [[], [], ["b", "a", "b"], ["b", "a", "b"], ["\u00e9t\u00e9", "d", "\u00e9t\u00e9", "\u65e5\u672c", "12", "x\u00b2", "y"], ["a"] * 300 + ["z"], ["a", "a", "b"]]
+    got = {r.doc_id: r.terms for r in out.collect()}
+    assert got.pop(0) is None
+    for i, w in enumerate(words, start=1):
+        held = Counter(w)
+        norm = math.sqrt(sum(n * n for n in held.values()))
+        assert [tuple(t) for t in got[i]] == [(t, held[t], held[t] / norm) for t in sorted(held, key=str.encode)]
+
+
+def test_terms_move_once(spark):
+    """The texts are dealt to their shards; the terms counted there are written as they lie, a file per shard and split."""
+    plan = FusedPlan(documents(spark), FusedConfig(epochs=1), n_parts=4)
+    assert len(plan.terms.inputFiles()) == plan.terms.select("shard", "split").distinct().count()
+
+
+def test_one_region_without_a_limit_is_the_text(spark):
+    from quire.operators.chunking import chunk_documents
+
+    docs = spark.createDataFrame([(1, "a  b "), (2, ""), (3, None), (4, " "), (4, " ")], "doc_id long, text string")
+    out = chunk_documents(docs, "text", 1, None)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 0, "a  b "), (2, 0, 0, ""), (4, 0, 0, " "), (4, 0, 0, " ")]
+    assert out.dtypes[1:3] == [("region", "int"), ("sub", "int")]
+    assert "split" not in out._jdf.queryExecution().optimizedPlan().toString()
